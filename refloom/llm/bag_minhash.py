@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from refloom.llm.common import WordHashes, small_batches, stage, text_key, words_of
+from refloom.llm.common import WordHashes, one_of_each, small_batches, stage, text_key, words_of
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -148,13 +148,14 @@ def _leaders(members: DataFrame) -> DataFrame:
     """(band, a) -> (band, a, b): b is the bucket's member with the smallest hash; buckets of one go."""
     rank = F.struct(F.xxhash64("a").alias("r"), F.col("a").alias("b"))
     leader = members.groupBy("band").agg(F.min(rank).alias("m"), F.count("*").alias("c")).filter("c > 1")
-    return members.join(leader.select("band", F.col("m.b").alias("b")), "band").filter("a != b")
+    leader = stage(leader.select("band", F.col("m.b").alias("b")), "minhash-leaders")  # so that AQE can split a hot bucket
+    return members.join(leader, "band").filter("a != b")
 
 
 def links(keyed: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """Verified links (a, b) between different texts; keyed has k (content key) and text."""
-    signed = keyed.mapInPandas(_sign(bands, rows), "k binary, bands array<long>")
-    members = signed.select(F.col("k").alias("a"), F.explode("bands").alias("band")).distinct()
+    """Verified links (a, b) between different texts; keyed has doc_id, k (content key) and text."""
+    signed = keyed.select("k", "text").mapInPandas(_sign(bands, rows), "k binary, bands array<long>")
+    members = stage(signed.select(F.col("k").alias("a"), F.explode("bands").alias("band")).distinct(), "minhash-bands")
     buckets = stage(_leaders(members), "minhash-buckets")
     found, texts = None, None
     while True:
@@ -163,7 +164,7 @@ def links(keyed: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS,
             break
         if texts is None:
             needed = pairs.select(F.col("a").alias("k")).union(pairs.select("b")).distinct()
-            texts = stage(keyed.join(needed, "k", "left_semi").dropDuplicates(["k"]), "minhash-texts")
+            texts = stage(one_of_each(keyed, needed).dropDuplicates(["k"]), "minhash-texts")
         ta, tb = texts.select(F.col("k").alias("a"), F.col("text").alias("ta")), texts.select(F.col("k").alias("b"), F.col("text").alias("tb"))
         judged = stage(pairs.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb").mapInPandas(_verify(similarity), "a binary, b binary, ok boolean"), "minhash-judged")
         good = judged.filter("ok").select("a", "b")
@@ -211,7 +212,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     spark = docs.sparkSession
     small_batches(spark)
     keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), text_key(F.col("text")).alias("k"))
-    edges = links(keyed.select("k", "text"), similarity, bands, rows)
+    edges = links(keyed, similarity, bands, rows)
     roots = components(edges)
     degree = edges.select(F.explode(F.array("a", "b")).alias("k")).groupBy("k").agg(F.count("*").alias("n_links"))
     nodes = stage(
@@ -220,10 +221,12 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     )
     first = F.min(F.struct(F.col("id").isNull().alias("n"), "id", "k"))
     classes = nodes.groupBy("root").agg(F.min("id").alias("class_id"), F.sum("c").alias("class_size"), first.alias("f"))
-    members = nodes.join(classes, "root").select("k", "class_id", "class_size", "n_links", (F.col("f.k") == F.col("k")).alias("first"))
+    classes = stage(classes, "minhash-classes")
+    members = stage(nodes.join(classes, "root").select("k", "class_id", "class_size", "n_links", (F.col("f.k") == F.col("k")).alias("first")), "minhash-members")
     out = keyed.select("doc_id", "k", F.monotonically_increasing_id().alias("row"))
     ids = stage(out, "minhash-rows")
     kept = ids.join(members.filter("first").select("k", F.col("class_id").alias("c")), "k").filter("doc_id <=> c").groupBy("k").agg(F.min("row").alias("row"))
+    kept = stage(kept, "minhash-kept")
     return (
         ids.join(members, "k")
         .join(kept.select("k", F.col("row").alias("kept_row")), "k", "left")

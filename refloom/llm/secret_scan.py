@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from refloom.llm.common import text_key
+from refloom.llm.common import one_of_each, stage, text_key
 
 
 @dataclass(frozen=True)
@@ -144,7 +144,7 @@ def _matches(n: int, r: Rule) -> F.Column:
 
 
 def _spans(keyed: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """(k, rule, start, end) of each span in each different text; keyed has text and k, its content key."""
+    """(k, rule, start, end) of each span in each different text; keyed has doc_id, text and k, its content key."""
     spark = keyed.sparkSession
     queries = [trigram_query(r.regex) for r in rules]
     # of a conjunction, 62 trigrams are enough: a bit each, and leaving some out only adds candidates
@@ -165,7 +165,7 @@ def _spans(keyed: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
         every.append(keyed.select("k", scanned.alias("mask")).filter("mask != 0"))
     masks = every[0] if len(every) == 1 else every[0].unionByName(every[1])
     masks = masks.groupBy("k").agg(F.bit_or("mask").alias("mask"))
-    texts = keyed.select("k", "text").join(masks, "k").dropDuplicates(["k"])
+    texts = one_of_each(keyed, masks).dropDuplicates(["k"])
     pieces = [F.when(F.col("mask").bitwiseAND(1 << n) != 0, _matches(n, r)).otherwise(F.array().cast(_MATCHES)) for n, r in enumerate(rules)]
     rows = texts.select("k", F.explode(F.concat(*pieces)).alias("x")).select("k", "x.*").filter("whole is not null")  # the last piece has no match after it
     upto = F.sum((F.col("gap") + F.col("whole")).cast("long")).over(Window.partitionBy("k", "rule").orderBy("i").rowsBetween(Window.unboundedPreceding, 0))
@@ -192,17 +192,17 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     ordered = F.sort_array(F.collect_list(F.struct("start", "rule", "end")))
     per_text = _spans(keyed, rules).groupBy("k").agg(*[F.count_if(F.col("rule") == n).alias(c) for n, c in zip(base, counts, strict=True)], ordered.alias("all"))
     per_text = per_text.select("k", *counts, joined(F.filter("all", lambda x: x["rule"].isin(*base))).alias("base_spans"), joined(F.col("all")).alias("spans"))
-    out = keyed.select("doc_id", "k").join(per_text, "k", "left")
+    out = keyed.select("doc_id", "k").join(stage(per_text, "secret-spans"), "k", "left")  # staged, so that AQE can split a large group of copies
     return out.select("doc_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in counts], *[F.coalesce(c, F.lit("")).alias(c) for c in ("base_spans", "spans")])
 
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[SECRET]") -> DataFrame:
     """docs with each span replaced by mark (overlapping spans by one) and n_chars brought up to date.
 
-    docs needs text; n_chars, where there is one, is set for changed texts. Null
+    docs needs doc_id and text; n_chars, where there is one, is set for changed texts. Null
     texts stay null; other columns and rows stay as they are.
     """
-    keyed = docs.select("text", text_key(F.col("text")).alias("k")).filter("text is not null")
+    keyed = docs.select("doc_id", "text", text_key(F.col("text")).alias("k")).filter("text is not null")
     w = Window.partitionBy("k").orderBy("start", "end")
     before = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
     islands = _spans(keyed, rules).withColumn("new", (before.isNull() | (F.col("start") >= before)).cast("int")).withColumn("island", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
@@ -210,7 +210,7 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[SECRE
     nxt = F.lead("start").over(Window.partitionBy("k").orderBy("island"))
     cuts = merged.withColumn("next", nxt).groupBy(F.col("k").alias("__k")).agg(F.sort_array(F.collect_list(F.struct("start", "end", "next"))).alias("__cuts"))
     marked = docs.withColumn("__key", text_key(F.col("text")))
-    joined = marked.join(cuts, F.col("__key") == F.col("__k"), "left")
+    joined = marked.join(stage(cuts, "secret-cuts"), F.col("__key") == F.col("__k"), "left")
     whole = F.length("text")
     rest = F.transform("__cuts", lambda x: F.concat(F.lit(mark), F.substring(F.col("text"), (x["end"] + 1).cast("int"), (F.coalesce(x["next"], whole) - x["end"]).cast("int"))))
     text = F.when(F.col("__cuts").isNull() | F.col("text").isNull(), F.col("text")).otherwise(F.concat(F.substring(F.col("text"), F.lit(1), F.get("__cuts", F.lit(0))["start"].cast("int")), F.array_join(rest, "")))

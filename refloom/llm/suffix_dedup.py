@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from refloom.llm.common import small_batches, stage, text_key
+from refloom.llm.common import one_of_each, small_batches, stage, text_key
 
 GRAM = 32
 _BYTES = np.random.default_rng(20240607).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
@@ -309,20 +309,15 @@ def _find_runs(length: int):
 
 
 def _cut(length: int):
-    """(key, text, runs of it) -> the bytes right and left of each run's anchor.
+    """(text, runs of it) -> the bytes right and left of each run's anchor.
 
-    The join brings copies of a text one after another, and one of them is enough;
-    a second one elsewhere would add equal rows, which are repeats indeed.
+    A row that is there twice would add equal runs, which are repeats indeed.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last = None
         for batch in batches:
             rows = []
-            for key, text, runs in zip(batch["k"], batch["text"], batch["runs"], strict=True):
-                if key == last:
-                    continue
-                last = key
+            for text, runs in zip(batch["text"], batch["runs"], strict=True):
                 data = text.encode("utf-8", "surrogatepass")
                 for x in runs:
                     end = x["p"] + x["n"] - 1
@@ -405,7 +400,8 @@ def suffix_dedup(docs: DataFrame, length: int = 200, queue_bytes: int = 256 << 2
     small_batches(spark)
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), text_key(F.col("text")).alias("k"))
     runs = stage(texts.select("k", "text").mapInPandas(_find_runs(length), RUNS), "suffix-runs")
-    shared = runs.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1").select("h")
+    # staged sides make the joins plain exchanges, so that AQE can split a hot key
+    shared = stage(runs.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1").select("h"), "suffix-shared")
     runs = stage(runs.join(shared, "h"), "suffix-candidates")
     groups = runs.groupBy("h", "s").agg(F.count("*").alias("c"), F.min(F.struct("k", "p", "n", "o")).alias("x"))
     whole = groups.filter("c > 1").select("h", "s", F.col("x.o").alias("a"), (F.col("x.o") + F.col("x.n") - 1).alias("b"))
@@ -415,7 +411,7 @@ def suffix_dedup(docs: DataFrame, length: int = 200, queue_bytes: int = 256 << 2
         .groupBy(F.col("x.k").alias("k"))
         .agg(F.collect_list(F.struct("h", "s", F.col("x.p").alias("p"), F.col("x.n").alias("n"), F.col("x.o").alias("o"))).alias("runs"))
     )
-    cut = one.join(texts.select("k", "text"), "k").select("k", "text", "runs").mapInPandas(_cut(length), "h long, s long, r binary, l binary, o int")
+    cut = one_of_each(texts, one).mapInPandas(_cut(length), "h long, s long, r binary, l binary, o int")
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     found = cut.repartition(parts, "h").sortWithinPartitions("h", "r").mapInPandas(_sort_shards(length, queue_bytes, chunk_rows), "h long, s long, a int, b int")
     hits = stage(found.unionByName(whole), "suffix-hits")
@@ -427,7 +423,7 @@ def suffix_dedup(docs: DataFrame, length: int = 200, queue_bytes: int = 256 << 2
         .agg(F.collect_set(F.struct("a", "b")).alias("spans"))
     )
     return (
-        texts.join(spans, "k", "left")
+        texts.join(stage(spans, "suffix-spans"), "k", "left")
         .select("doc_id", "text", "spans")
         .mapInPandas(_remove(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<array<long>>, kept_text string")
     )

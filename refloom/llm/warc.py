@@ -98,7 +98,7 @@ def write_warc(pages: DataFrame, folder: str, min_revisit_bytes: int = 0, file_b
     plain = plain.withColumn("row", F.xxhash64("page_id", "url"))
     best = plain.groupBy("sha").agg(F.max(F.struct(F.coalesce("page_id", F.lit(-(2**63))).alias("i"), "page_id", "row")).alias("top"), F.count("*").alias("c"))
     known = best.filter("c > 1").select(F.col("sha").alias("s"), F.col("top.page_id").alias("first_id"), F.col("top.row").alias("first_row"))
-    joined = plain.join(known, F.col("sha") == F.col("s"), "left").select("page_id", "url", "html", "s", "first_id", "row", "first_row")
+    joined = plain.join(stage(known, "warc-known"), F.col("sha") == F.col("s"), "left").select("page_id", "url", "html", "s", "first_id", "row", "first_row")
     ready = joined.withColumn("candidate", F.col("page_id").eqNullSafe(F.col("first_id")) & (F.col("row") == F.col("first_row"))).drop("row", "first_row")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
