@@ -10,11 +10,15 @@ component; two documents agree in a component with the probability of their
 weighted Jaccard similarity. Points later than the latest component can't matter,
 so most shingles stop after a point or two.
 
-Signatures are cut into bands. In a band's bucket all members are compared with one
-leader, not with each other; those that fail against it form a smaller bucket with
-a new leader, until none is left. Candidates are verified by the overlap of the
-shingle multisets, and classes are the connected components of verified links.
-Equal texts are one node throughout.
+Signatures are cut into bands. In a band's bucket all members are first compared with
+one leader, not with each other: the text that meets most others in all buckets, such as
+the original of edited copies. In the buckets that still hold several classes, members of different
+classes are then compared by their whole signatures, in blocks of bounded size; only
+pairs whose signatures agree nearly enough go on. Candidates are verified by the
+overlap of the shingle multisets, and classes are the connected components of verified
+links. Equal texts are one node throughout. A link of exactly the least similarity
+shares no bucket with a chance of 3e-6, and its signatures agree too little with one of 2e-4, should
+no other path connect the two texts.
 """
 
 from __future__ import annotations
@@ -65,8 +69,11 @@ def weighted(text: str | None, hashes: WordHashes, size: int = SHINGLE) -> tuple
 
 def jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """Weighted Jaccard similarity of two multisets; 0 if both are empty."""
-    _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    common = int(np.minimum(a[1][i], b[1][j]).sum())
+    if not len(a[0]) or not len(b[0]):
+        return 0.0
+    at = np.minimum(np.searchsorted(b[0], a[0]), len(b[0]) - 1)
+    same = b[0][at] == a[0]
+    common = int(np.minimum(a[1][same], b[1][at[same]]).sum())
     total = int(a[1].sum() + b[1].sum()) - common
     return common / total if total else 0.0
 
@@ -116,62 +123,101 @@ def band_hashes(reg: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def _sign(bands: int, rows: int):
+    """Band hashes of each text, and its signature as 16 bits of each component."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
         for batch in batches:
             sets = [weighted(x, hashes) for x in batch["text"]]
             some = [i for i, x in enumerate(sets) if len(x[0])]
             if some:
-                found = band_hashes(signatures([sets[i] for i in some], bands * rows), bands, rows)
-                yield pd.DataFrame({"k": batch["k"].iloc[some].to_numpy(), "bands": list(found)})
+                reg = signatures([sets[i] for i in some], bands * rows)
+                short = _mix(reg.view(np.uint64)).astype(np.uint16)
+                yield pd.DataFrame({"k": batch["k"].iloc[some].to_numpy(), "sig": [x.tobytes() for x in short], "bands": list(band_hashes(reg, bands, rows))})
+
+    return run
+
+
+def _compare(bands: int, rows: int, least: float):
+    """Pairs of a block pair of one bucket that lie in different classes so far and agree in a share of at
+    least ``least`` of their components; a pair is left to the first of its common buckets."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        n, first, second = int(pdf["n"].iloc[0]), int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
+        sig = np.frombuffer(b"".join(pdf["sig"]), np.uint16).reshape(len(pdf), bands * rows)
+        root = pd.factorize(pdf["root"])[0]
+        block, key = pdf["block"].to_numpy(), pdf["k"].to_numpy()
+        right = np.flatnonzero(block == second)
+        out_a, out_b = [], []
+        for x in np.flatnonzero(block == first).tolist():
+            near = right[right > x] if first == second else right
+            near = near[root[near] != root[x]]
+            if len(near):
+                equal = sig[near] == sig[x]
+                good = equal.mean(axis=1) >= least
+                good &= equal.reshape(len(near), bands, rows).all(axis=2).argmax(axis=1) == n
+                for y in near[good].tolist():
+                    out_a.append(min(key[x], key[y]))
+                    out_b.append(max(key[x], key[y]))
+        return pd.DataFrame({"a": pd.Series(out_a, dtype=object), "b": pd.Series(out_b, dtype=object)})
 
     return run
 
 
 def _verify(similarity: float):
-    """Pairs come sorted by leader, so that one leader's multiset serves many members."""
+    """Multisets of the last texts seen are kept, as one text is in many pairs."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, last, leader = WordHashes(), None, None
+        hashes, seen = WordHashes(), {}
+
+        def of(key: bytes, text: str) -> tuple:
+            if key not in seen:
+                if len(seen) >= 500:
+                    seen.clear()
+                seen[key] = weighted(text, hashes)
+            return seen[key]
+
         for batch in batches:
-            good = []
-            for b, ta, tb in zip(batch["b"], batch["ta"], batch["tb"], strict=True):
-                if b != last:
-                    last, leader = b, weighted(tb, hashes)
-                good.append(jaccard(weighted(ta, hashes), leader) >= similarity)
+            good = [jaccard(of(a, ta), of(b, tb)) >= similarity for a, b, ta, tb in zip(batch["a"], batch["b"], batch["ta"], batch["tb"], strict=True)]
             yield pd.DataFrame({"a": batch["a"], "b": batch["b"], "ok": good})
 
     return run
 
 
-def _leaders(members: DataFrame) -> DataFrame:
-    """(band, a) -> (band, a, b): b is the bucket's member with the smallest hash; buckets of one go."""
-    rank = F.struct(F.xxhash64("a").alias("r"), F.col("a").alias("b"))
-    leader = members.groupBy("band").agg(F.min(rank).alias("m"), F.count("*").alias("c")).filter("c > 1")
-    leader = stage(leader.select("band", F.col("m.b").alias("b")), "minhash-leaders")  # so that AQE can split a hot bucket
-    return members.join(leader, "band").filter("a != b")
-
-
-def links(keyed: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """Verified links (a, b) between different texts; keyed has doc_id, k (content key) and text."""
-    signed = keyed.select("k", "text").mapInPandas(_sign(bands, rows), "k binary, bands array<long>")
-    members = stage(signed.select(F.col("k").alias("a"), F.explode("bands").alias("band")).distinct(), "minhash-bands")
-    buckets = stage(_leaders(members), "minhash-buckets")
-    found, texts = None, None
-    while True:
-        pairs = stage(buckets.select("a", "b").distinct(), "minhash-pairs")
-        if pairs.isEmpty():
-            break
-        if texts is None:
-            needed = pairs.select(F.col("a").alias("k")).union(pairs.select("b")).distinct()
-            texts = stage(one_of_each(keyed, needed).dropDuplicates(["k"]), "minhash-texts")
-        ta, tb = texts.select(F.col("k").alias("a"), F.col("text").alias("ta")), texts.select(F.col("k").alias("b"), F.col("text").alias("tb"))
-        judged = stage(pairs.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb").mapInPandas(_verify(similarity), "a binary, b binary, ok boolean"), "minhash-judged")
-        good = judged.filter("ok").select("a", "b")
-        found = good if found is None else found.unionByName(good)
-        failed = buckets.join(judged.filter("not ok").select("a", "b"), ["a", "b"]).select("band", "a")
-        buckets = stage(_leaders(failed), "minhash-buckets")
-    return found if found is not None else pairs
+BLOCK = 2000
+
+
+def links(keyed: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
+    """Verified links (a, b) that connect each class of texts; keyed has doc_id, k (content key) and text."""
+    signed = stage(keyed.select("k", "text").mapInPandas(_sign(bands, rows), "k binary, sig binary, bands array<long>"), "minhash-signed")
+    members = signed.select(F.col("k").alias("a"), F.posexplode("bands").alias("n", "band")).distinct()
+    several = stage(members.groupBy("band").agg(F.count("*").alias("c")).filter("c > 1"), "minhash-several")
+    live = stage(members.join(several, "band"), "minhash-live")
+    # a text that meets many others leads its buckets: the original of a group of edited copies is like each of them
+    degree = stage(live.groupBy("a").agg(F.sum("c").alias("d")), "minhash-degree")
+    order = F.struct("d", F.xxhash64("a").alias("r"), F.col("a").alias("b"))
+    leader = stage(live.join(degree, "a").groupBy("band").agg(F.max(order).alias("m")).select("band", "m.b"), "minhash-leaders")
+    pairs = stage(live.join(leader, "band").filter("a != b").select("a", "b").distinct(), "minhash-pairs")
+    needed = live.select(F.col("a").alias("k")).distinct()
+    texts = stage(one_of_each(keyed, needed).dropDuplicates(["k"]), "minhash-texts")
+    ta, tb = texts.select(F.col("k").alias("a"), F.col("text").alias("ta")), texts.select(F.col("k").alias("b"), F.col("text").alias("tb"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb")
+        return stage(both.mapInPandas(_verify(similarity), "a binary, b binary, ok boolean").filter("ok").select("a", "b"), "minhash-links")
+
+    found = verified(pairs)
+    # what a leader did not connect: pairs of different classes in one bucket, by whole signatures, in blocks
+    roots = components(found)
+    placed = live.join(roots.withColumnRenamed("k", "a"), "a", "left").select("band", "n", "a", "c", F.coalesce("root", "a").alias("root"))
+    open_ = stage(placed.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select("band"), "minhash-open")
+    blocks = F.ceil(F.col("c") / block).cast("int")
+    rest = stage(placed.join(open_, "band").withColumn("block", F.pmod(F.xxhash64("a"), blocks).cast("int")), "minhash-rest")
+    sigs = stage(signed.join(stage(rest.select(F.col("a").alias("k")).distinct(), "minhash-keys"), "k").select("k", "sig").distinct(), "minhash-signatures")
+    dealt = rest.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).select("band", "n", F.col("a").alias("k"), "root", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    least = similarity - 3.5 * (similarity * (1 - similarity) / (bands * rows)) ** 0.5
+    near = dealt.join(sigs, "k").groupBy("band", "i", "j").applyInPandas(_compare(bands, rows, least), "a binary, b binary")
+    return found.unionByName(verified(stage(near.join(pairs, (near["a"] == F.least(pairs["a"], pairs["b"])) & (near["b"] == F.greatest(pairs["a"], pairs["b"])), "left_anti"), "minhash-near")))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -202,8 +248,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
 
     docs needs doc_id and text; other columns, whatever their names, are not read.
     Returns one row per input row: doc_id, class_id (the smallest doc_id of the
-    class), class_size, n_links (verified links of its text), keep (true for one row
-    of each class). Equal texts are one class, null counting as empty; a text
+    class), class_size, keep (true for one row of each class). Equal texts are one class, null counting as empty; a text
     without words is like no other but its equals; a text of under five words has
     one shingle. A class whose doc_ids are all null has a null class_id. Of rows
     equal in doc_id and text, which one is kept can't be told apart. An empty table
@@ -214,15 +259,14 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), text_key(F.col("text")).alias("k"))
     edges = links(keyed, similarity, bands, rows)
     roots = components(edges)
-    degree = edges.select(F.explode(F.array("a", "b")).alias("k")).groupBy("k").agg(F.count("*").alias("n_links"))
     nodes = stage(
-        keyed.groupBy("k").agg(F.min("doc_id").alias("id"), F.count("*").alias("c")).join(roots, "k", "left").join(degree, "k", "left").select("k", "id", "c", F.coalesce("root", "k").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links")),
+        keyed.groupBy("k").agg(F.min("doc_id").alias("id"), F.count("*").alias("c")).join(roots, "k", "left").select("k", "id", "c", F.coalesce("root", "k").alias("root")),
         "minhash-nodes",
     )
     first = F.min(F.struct(F.col("id").isNull().alias("n"), "id", "k"))
     classes = nodes.groupBy("root").agg(F.min("id").alias("class_id"), F.sum("c").alias("class_size"), first.alias("f"))
     classes = stage(classes, "minhash-classes")
-    members = stage(nodes.join(classes, "root").select("k", "class_id", "class_size", "n_links", (F.col("f.k") == F.col("k")).alias("first")), "minhash-members")
+    members = stage(nodes.join(classes, "root").select("k", "class_id", "class_size", (F.col("f.k") == F.col("k")).alias("first")), "minhash-members")
     out = keyed.select("doc_id", "k", F.monotonically_increasing_id().alias("row"))
     ids = stage(out, "minhash-rows")
     kept = ids.join(members.filter("first").select("k", F.col("class_id").alias("c")), "k").filter("doc_id <=> c").groupBy("k").agg(F.min("row").alias("row"))
@@ -230,7 +274,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     return (
         ids.join(members, "k")
         .join(kept.select("k", F.col("row").alias("kept_row")), "k", "left")
-        .select("doc_id", "class_id", "class_size", "n_links", F.coalesce(F.col("row") == F.col("kept_row"), F.lit(False)).alias("keep"), "k")
+        .select("doc_id", "class_id", "class_size", F.coalesce(F.col("row") == F.col("kept_row"), F.lit(False)).alias("keep"), "k")
     )
 
 
