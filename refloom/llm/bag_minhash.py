@@ -138,28 +138,55 @@ def _sign(bands: int, rows: int):
     return run
 
 
-def _compare(bands: int, rows: int, least: float):
-    """Pairs of a block pair of one bucket that lie in different classes so far and agree in a share of at
-    least ``least`` of their components; a pair is left to the first of its common buckets."""
+def _compare(bands: int, rows: int, least: float, similarity: float):
+    """Links in a bucket between its classes so far. Rows come sorted by bucket and pair of blocks.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        n, first, second = int(pdf["n"].iloc[0]), int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
+    Members of different classes are compared by signature; those that agree in a share of at least ``least``
+    of their components are verified, each pair in the first of its common buckets.
+    """
+
+    def group(parts: list[pd.DataFrame], hashes: WordHashes, out: list[tuple]) -> None:
+        pdf = parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
+        n, first, second = (int(pdf[c].iloc[0]) for c in ("n", "i", "j"))
         sig = np.frombuffer(b"".join(pdf["sig"]), np.uint16).reshape(len(pdf), bands * rows)
         root = pd.factorize(pdf["root"])[0]
-        block, key = pdf["block"].to_numpy(), pdf["k"].to_numpy()
-        right = np.flatnonzero(block == second)
-        out_a, out_b = [], []
+        block, key, text = pdf["block"].to_numpy(), pdf["k"].tolist(), pdf["text"].tolist()
+        right, bags = np.flatnonzero(block == second), {}
+
+        def of(i: int) -> tuple:
+            if i not in bags:
+                bags[i] = weighted(text[i], hashes)
+            return bags[i]
+
         for x in np.flatnonzero(block == first).tolist():
             near = right[right > x] if first == second else right
             near = near[root[near] != root[x]]
             if len(near):
                 equal = sig[near] == sig[x]
                 good = equal.mean(axis=1) >= least
-                good &= equal.reshape(len(near), bands, rows).all(axis=2).argmax(axis=1) == n
-                for y in near[good].tolist():
-                    out_a.append(min(key[x], key[y]))
-                    out_b.append(max(key[x], key[y]))
-        return pd.DataFrame({"a": pd.Series(out_a, dtype=object), "b": pd.Series(out_b, dtype=object)})
+                near, equal = near[good], equal[good]
+                good = equal.reshape(len(near), bands, rows).all(axis=2).argmax(axis=1) == n
+                out += [(key[x], key[y]) for y in near[good].tolist() if jaccard(of(x), of(y)) >= similarity]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes, parts, now = WordHashes(), [], None
+        for batch in batches:
+            out: list[tuple] = []
+            keys = batch[["band", "i", "j"]].to_numpy(np.int64)
+            cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(batch)], strict=True):
+                if a == b:
+                    continue
+                if parts and tuple(keys[a]) != now:
+                    group(parts, hashes, out)
+                    parts = []
+                parts.append(batch.iloc[a:b])
+                now = tuple(keys[a])
+            yield pd.DataFrame(out, columns=["a", "b"])
+        out = []
+        if parts:
+            group(parts, hashes, out)
+        yield pd.DataFrame(out, columns=["a", "b"])
 
     return run
 
@@ -184,16 +211,19 @@ def _verify(similarity: float):
     return run
 
 
-BLOCK = 2000
+BLOCK = 500
 
 
 def links(keyed: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
     """Verified links (a, b) that connect each class of texts; keyed has doc_id, k (content key) and text."""
     signed = stage(keyed.select("k", "text").mapInPandas(_sign(bands, rows), "k binary, sig binary, bands array<long>"), "minhash-signed")
-    members = signed.select(F.col("k").alias("a"), F.posexplode("bands").alias("n", "band")).distinct()
-    several = stage(members.groupBy("band").agg(F.count("*").alias("c")).filter("c > 1"), "minhash-several")
-    live = stage(members.join(several, "band"), "minhash-live")
+    members = signed.select(F.col("k").alias("a"), F.posexplode("bands").alias("n", "band"))
+    short = F.xxhash64("a")
+    several = stage(members.groupBy("band").agg(F.min(short).alias("x"), F.max(short).alias("y")).filter("x != y").select("band"), "minhash-several")
+    live = stage(members.join(several.hint("merge"), "band").distinct(), "minhash-live")
     # a text that meets many others leads its buckets: the original of a group of edited copies is like each of them
+    counts = stage(live.groupBy("band").agg(F.count("*").alias("c")), "minhash-counts")
+    live = stage(live.join(counts, "band"), "minhash-counted")
     degree = stage(live.groupBy("a").agg(F.sum("c").alias("d")), "minhash-degree")
     order = F.struct("d", F.xxhash64("a").alias("r"), F.col("a").alias("b"))
     leader = stage(live.join(degree, "a").groupBy("band").agg(F.max(order).alias("m")).select("band", "m.b"), "minhash-leaders")
@@ -213,11 +243,15 @@ def links(keyed: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS,
     open_ = stage(placed.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select("band"), "minhash-open")
     blocks = F.ceil(F.col("c") / block).cast("int")
     rest = stage(placed.join(open_, "band").withColumn("block", F.pmod(F.xxhash64("a"), blocks).cast("int")), "minhash-rest")
-    sigs = stage(signed.join(stage(rest.select(F.col("a").alias("k")).distinct(), "minhash-keys"), "k").select("k", "sig").distinct(), "minhash-signatures")
+    keys = stage(rest.select(F.col("a").alias("k")).distinct(), "minhash-keys")
+    sigs = signed.join(keys, "k").select("k", "sig").distinct()
+    wide = stage(sigs.join(texts, "k"), "minhash-wide")
     dealt = rest.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).select("band", "n", F.col("a").alias("k"), "root", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     least = similarity - 3.5 * (similarity * (1 - similarity) / (bands * rows)) ** 0.5
-    near = dealt.join(sigs, "k").groupBy("band", "i", "j").applyInPandas(_compare(bands, rows, least), "a binary, b binary")
-    return found.unionByName(verified(stage(near.join(pairs, (near["a"] == F.least(pairs["a"], pairs["b"])) & (near["b"] == F.greatest(pairs["a"], pairs["b"])), "left_anti"), "minhash-near")))
+    parts = max(1, int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ordered = dealt.join(wide, "k").repartition(parts, "band", "i", "j").sortWithinPartitions("band", "i", "j")
+    more = ordered.mapInPandas(_compare(bands, rows, least, similarity), "a binary, b binary")
+    return found.unionByName(stage(more, "minhash-more"))
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -66,7 +66,8 @@ def one_of_each(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
     names = wanted.columns
     first = keyed.groupBy("k").agg(F.min("doc_id").alias("__id"))
     chosen = stage(wanted.join(first, "k"), "chosen").withColumnRenamed("k", "__k")
-    return keyed.join(chosen, (F.col("k") == F.col("__k")) & F.col("doc_id").eqNullSafe(F.col("__id"))).select("k", "text", *[c for c in names if c != "k"])
+    # a sort-merge join at every size: AQE splits what is skewed in it
+    return keyed.join(chosen.hint("merge"), (F.col("k") == F.col("__k")) & F.col("doc_id").eqNullSafe(F.col("__id"))).select("k", "text", *[c for c in names if c != "k"])
 
 
 def words_of(text: str | None) -> list[bytes]:
