@@ -1,0 +1,63 @@
+"""Person names as column expressions."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def last_name(c: Column) -> Column:
+    """What stands before the comma, else the last word, in lower case."""
+    name = F.trim(c)
+    return F.lower(F.when(F.contains(name, F.lit(",")), F.trim(F.regexp_extract(name, r"^([^,]*)", 1))).otherwise(F.regexp_extract(name, r"([^ ]+)$", 1)))
+
+
+def surnames(authors: Column) -> Column:
+    return F.array_distinct(F.filter(F.transform(authors, last_name), lambda x: x != ""))
+
+
+def surname_matches(a: Column, b: Column) -> Column:
+    """Equal, or one starts with the other and both have four letters."""
+    return (a == b) | ((F.length(a) >= 4) & (F.length(b) >= 4) & (a.startswith(b) | b.startswith(a)))
+
+
+def author_overlap(claimed: Column, canonical: Column) -> Column:
+    """Share of the claimed surnames that the record has; null without any."""
+    return F.try_divide(F.size(F.array_intersect(claimed, canonical)), F.size(claimed))
+
+
+def name_key(c: Column) -> Column:
+    """(surname, initial) of 'Last, First', 'Last FM' or 'First Last', in lower case."""
+    name = F.trim(c)
+    comma, vancouver = F.contains(name, F.lit(",")), name.rlike(r"^[^ ]+ [A-Z]{1,3}$")
+    initial = F.when(comma, F.regexp_extract(name, r",\s*(\p{L})", 1)).when(vancouver, F.regexp_extract(name, r" ([A-Z])", 1)).when(F.contains(name, F.lit(" ")), F.substring(name, 1, 1)).otherwise("")
+    surname = F.when(vancouver, F.lower(F.regexp_extract(name, r"^([^ ]+)", 1))).otherwise(last_name(name))
+    return F.struct(surname.alias("surname"), F.lower(initial).alias("initial"))
+
+
+def same_author(a: Column, b: Column) -> Column:
+    """Surnames match, and initials too where both have one."""
+    return surname_matches(a["surname"], b["surname"]) & ((a["initial"] == "") | (b["initial"] == "") | (a["initial"] == b["initial"]))
+
+
+def citation_label(authors: Column, title: Column, year: Column) -> Column:
+    """'A and B. Title. 2020', or 'A et al.' for three authors and more."""
+    n = F.size(F.coalesce(authors, F.array().cast("array<string>")))
+    who = F.when(n <= 0, F.lit(None)).when(n <= 2, F.array_join(authors, " and ")).otherwise(F.concat(F.get(authors, F.lit(0)), F.lit(" et al.")))
+    return F.concat_ws(". ", who, F.nullif(title, F.lit("")), year.cast("string"))
+
+
+def split_authors(c: Column) -> Column:
+    return F.filter(F.transform(F.split(c, r"\s+and\s+"), F.trim), lambda x: x != "")
+
+
+ORGANISATION = r"(?i)\b(team|lab|labs|inc|group|consortium|institute|university|openai|google|microsoft|meta|nvidia)\.?$"
+
+
+def author_issue(claimed: Column, canonical: Column) -> Column:
+    """An issue if the first authors differ (organisations aside) or under half of the claimed ones are in the record."""
+    a, b = F.transform(claimed, name_key), F.transform(canonical, name_key)
+    found = F.size(F.filter(a, lambda x: F.exists(b, lambda y: same_author(x, y))))
+    organisation = F.get(claimed, F.lit(0)).rlike(ORGANISATION)
+    differ = ~same_author(F.get(a, F.lit(0)), F.get(b, F.lit(0))) & ~organisation
+    return F.when((F.size(claimed) <= 0) | (F.size(canonical) <= 0), F.lit(None)).when(differ, F.lit("first author differs")).when(found < 0.5 * F.size(a), F.lit("most authors differ"))
