@@ -26,7 +26,7 @@ from refloom.llm.common import WORD, stage, text_key
 
 MAX_EPOCHS = 3
 MAX_SOURCES = 1_000_000
-SLICE_ROWS = 20_000
+SLICE_ROWS = 2_000
 
 
 def cyclic_weights(names: list[str | None]) -> list[float]:
