@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from refloom.functions.text import norm_title
 
@@ -92,7 +93,7 @@ def token_set_ratio(a: str, b: str) -> float:
     return max(indel_ratio(one, two), indel_ratio(both, one) if both else 0.0, indel_ratio(both, two) if both else 0.0)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def fuzzy_title_score(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """max(token sort ratio, token set ratio) of two normalised titles; 0 if either is empty."""
     for left, right in pairs:
