@@ -303,13 +303,11 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     members = stage(nodes.join(classes, "root").select("k", "class_id", "class_size", (F.col("f.k") == F.col("k")).alias("first")), "minhash-members")
     out = keyed.select("doc_id", "k", F.monotonically_increasing_id().alias("row"))
     ids = stage(out, "minhash-rows")
-    kept = ids.join(members.filter("first").select("k", F.col("class_id").alias("c")), "k").filter("doc_id <=> c").groupBy("k").agg(F.min("row").alias("row"))
-    kept = stage(kept, "minhash-kept")
-    return (
-        ids.join(members, "k")
-        .join(kept.select("k", F.col("row").alias("kept_row")), "k", "left")
-        .select("doc_id", "class_id", "class_size", F.coalesce(F.col("row") == F.col("kept_row"), F.lit(False)).alias("keep"), "k")
-    )
+    # min(row) per doc_id and text is combined before the shuffle; the last join has staged tables on both sides
+    each = ids.groupBy("k", "doc_id").agg(F.min("row").alias("row"))
+    kept = each.join(members.filter("first").select("k", F.col("class_id").alias("c")), "k").filter("doc_id <=> c").groupBy("k").agg(F.min("row").alias("kept_row"))
+    final = stage(members.join(kept, "k", "left").select("k", "class_id", "class_size", "kept_row"), "minhash-final")
+    return ids.join(final.hint("merge"), "k").select("doc_id", "class_id", "class_size", F.coalesce(F.col("row") == F.col("kept_row"), F.lit(False)).alias("keep"), "k")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
