@@ -305,7 +305,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     ids = stage(out, "minhash-rows")
     # min(row) per doc_id and text is combined before the shuffle; the last join has staged tables on both sides
     each = ids.groupBy("k", "doc_id").agg(F.min("row").alias("row"))
-    kept = each.join(members.filter("first").select("k", F.col("class_id").alias("c")), "k").filter("doc_id <=> c").groupBy("k").agg(F.min("row").alias("kept_row"))
+    first_rows = members.filter("first").select(F.col("k").alias("fk"), F.col("class_id").alias("c"))
+    kept = each.join(first_rows, (F.col("k") == F.col("fk")) & F.col("doc_id").eqNullSafe(F.col("c"))).groupBy("k").agg(F.min("row").alias("kept_row"))
     final = stage(members.join(kept, "k", "left").select("k", "class_id", "class_size", "kept_row"), "minhash-final")
     return ids.join(final.hint("merge"), "k").select("doc_id", "class_id", "class_size", F.coalesce(F.col("row") == F.col("kept_row"), F.lit(False)).alias("keep"), "k")
 
