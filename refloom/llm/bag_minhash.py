@@ -244,7 +244,7 @@ def links(keyed: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS,
     blocks = F.ceil(F.col("c") / block).cast("int")
     rest = stage(placed.join(open_, "band").withColumn("block", F.pmod(F.xxhash64("a"), blocks).cast("int")), "minhash-rest")
     keys = stage(rest.select(F.col("a").alias("k")).distinct(), "minhash-keys")
-    sigs = signed.join(keys, "k").select("k", "sig").distinct()
+    sigs = signed.groupBy("k").agg(F.first("sig").alias("sig")).join(keys, "k")  # copies are combined before the shuffle
     wide = stage(sigs.join(texts, "k"), "minhash-wide")
     dealt = rest.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).select("band", "n", F.col("a").alias("k"), "root", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     least = similarity - 3.5 * (similarity * (1 - similarity) / (bands * rows)) ** 0.5
