@@ -1,8 +1,10 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from refloom.functions.similarity import title_contradiction, title_tokens
 from refloom.operators import correctness, evidence, layout, linkage, report, usage
 from refloom.sources import records, tex
 from refloom.streaming import event_log
@@ -57,6 +59,29 @@ def test_matching_cascade(spark):
     assert all(r.score == 1.0 for r in got)
 
 
+@pytest.mark.parametrize(("cheap", "long"), [(1000, 40), (0, 40), (0, 4), (5, 6)])
+def test_title_pairs_lose_none_that_the_veto_passes(spark, cheap, long):
+    rng = random.Random(7)
+    words = [f"w{chr(97 + i)}x" for i in range(12)] + ["v2", "v3", "2020"]
+    titles = [" ".join(rng.sample(words, rng.randint(0, 9))) for _ in range(80)]
+    df = spark.createDataFrame(list(enumerate(titles)), "i int, title string").withColumn("tokens", title_tokens(F.col("title"))).cache()
+    r, c = df.select(F.col("i").alias("rk"), F.col("tokens").alias("r_tokens")), df.select(F.col("i").alias("ck"), "tokens")
+    passed = r.crossJoin(c).filter((F.size("tokens") > 0) & (F.size("r_tokens") > 0) & ~title_contradiction(F.col("r_tokens"), F.col("tokens")))
+    got = {tuple(x) for x in linkage.title_pairs(r, c, cheap, long).collect()}
+    want = {(x.rk, x.ck) for x in passed.collect()}
+    assert len(want) > 80 and want <= got and len(got) < 80 * 80
+
+
+def test_matching_of_repeated_rows(spark):
+    schema = "title string, surnames array<string>, year int, doi string, arxiv string"
+    ref = ("Graph networks for molecules and materials", ["lee"], 2019, None, "1706.03762v2")
+    refs = spark.createDataFrame([(i, *ref) for i in (1, 1, 2)] + [(3, None, None, None, None, None), (4, "", [], None, "10.1/B", "")], f"ref_id int, {schema}")
+    cands = spark.createDataFrame([(i, "Graph networks for molecules, and materials", ["lee"], 2019, "", "1706.03762V1") for i in (9, 8, 8)] + [(8, "Other", None, None, "10.1/b", None)], f"cand_id int, {schema}")
+    got = sorted((x.ref_id, x.cand_id, x.method) for x in linkage.match(refs, cands).collect())
+    assert got == [(1, 8, "arxiv"), (1, 8, "arxiv"), (2, 8, "arxiv"), (4, 8, "doi")]
+    assert linkage.match(refs, cands.limit(0)).count() == linkage.match(refs.limit(0), cands).count() == 0
+
+
 def test_veto_and_issues(spark):
     schema = "title string, authors array<string>, year int, venue string, url string, method string, r_title string, r_authors array<string>, r_year int, r_venue string, url_status string"
     rows = [
