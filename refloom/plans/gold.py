@@ -55,13 +55,12 @@ def gold_match(spark, sf_dir):
     return gold.match(refs, answers[0].unionByName(answers[1])).select("ref_id", "method", "source_ord", "score")
 
 
-@query("""SELECT doc_id, CASE WHEN length(t) > 400 THEN t[:400] || '…' ELSE t END AS title, '10.1/x' || doc_id AS doi, 1990 + doc_id % 30 AS year, '' AS arxiv_id, 'u' || doc_id AS oa_pdf FROM (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'), ' ') AS t FROM documents WHERE NOT contains(coalesce(text, ''), '<'))""")
+@query("""SELECT doc_id, CASE WHEN length(t) > 400 THEN t[:400] || '…' ELSE t END AS title, '10.1/x' || doc_id AS doi, 1990 + doc_id % 30 AS year, '' AS arxiv_id, 'u' || doc_id AS oa_pdf FROM (SELECT doc_id, trim(regexp_replace(regexp_replace(coalesce(text, ''), '<[^>]+>', ' ', 'g'), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'), ' ') AS t FROM documents)""")
 def semantic_scholar_items(spark, sf_dir):
     """Documents as titles of items, parsed back."""
     n = F.col("doc_id").cast("string")
     item = F.struct(F.col("text").alias("title"), (F.lit(1990) + F.col("doc_id") % 30).alias("year"), F.struct(F.concat(F.lit("10.1/X"), n).alias("DOI")).alias("externalIds"), F.struct(F.concat(F.lit(" u"), n).alias("url")).alias("openAccessPdf"))
-    docs = table(spark, sf_dir, "documents").filter(~F.coalesce(F.contains("text", F.lit("<")), F.lit(False)))
-    return candidates.semantic_scholar(docs.select("doc_id", F.to_json(item).alias("json")), carry=("doc_id",)).select("doc_id", "title", "doi", F.col("year").cast("bigint").alias("year"), "arxiv_id", "oa_pdf")
+    return candidates.semantic_scholar(table(spark, sf_dir, "documents").select("doc_id", F.to_json(item).alias("json")), carry=("doc_id",)).select("doc_id", "title", "doi", F.col("year").cast("bigint").alias("year"), "arxiv_id", "oa_pdf")
 
 
 @query("SELECT page_id, '10.1/p' || page_id AS doi, CAST(page_id AS VARCHAR) AS arxiv_id, 'https://doi.org/10.1/P' || page_id AS url, 'b a b' AS abstract FROM pages")
