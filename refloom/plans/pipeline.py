@@ -50,9 +50,15 @@ def markdown_report(spark, sf_dir):
 
 @query()
 def evidence_chunks(spark, sf_dir):
-    """Rows only: benchmark texts as claims against documents of the same number."""
-    claims = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("claim_id"), F.col("item_id").cast("int").alias("paper"), F.col("text").alias("claim"))
-    passages = table(spark, sf_dir, "documents").select((F.col("doc_id") % 40).cast("int").alias("paper"), F.col("doc_id").alias("section_no"), F.lit("").alias("heading"), "text")
+    """Rows only: benchmark texts as claims against documents of the same number.
+
+    Both are numbered by their ids modulo one count, of items or of documents if these are fewer, so that no claim is
+    without documents.
+    """
+    items, documents = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents")
+    papers = F.lit(max(1, min(items.select("item_id").distinct().count(), documents.select("doc_id").distinct().count())))
+    claims = items.select(F.col("item_id").alias("claim_id"), F.pmod("item_id", papers).cast("int").alias("paper"), F.col("text").alias("claim"))
+    passages = documents.select(F.pmod("doc_id", papers).cast("int").alias("paper"), F.col("doc_id").alias("section_no"), F.lit("").alias("heading"), "text")
     return evidence.top_chunks(claims, passages)
 
 
