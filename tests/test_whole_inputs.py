@@ -34,3 +34,19 @@ def test_every_claim_meets_its_documents(spark, tmp_path):
         got = [(x.claim_id, x.paper, x.place, x.chunk) for x in QUERIES["evidence_chunks"](spark, sf).collect()]
         assert sorted(got) == sorted(best_chunks(items, docs))
         assert {x[0] for x in got} == set(range(n_items))
+
+
+def test_sites_lie_behind_whole_texts(spark, tmp_path):
+    texts = ["word " * 400 + "End. Last sentence", "short", "a" * 81, "Half of it. 90% of\nthe rest, 5%", "x. " * 300, "", None]
+    sf = save(spark, tmp_path / "tex", documents=(list(enumerate(texts)), "doc_id long, text string"))
+    rows = QUERIES["latex_sites"](spark, sf).collect()
+    got = {(x.file, x.key): x for x in rows}
+    assert len(rows) == len(got) == 3 * sum(t is not None for t in texts)
+    for doc, text in enumerate(texts):
+        if text is None:
+            continue
+        tex = "\\section{Intro} " + text.replace("%", "\\%") + " "
+        cite = "\\citep[see][]{a%d, b}" % (doc % 7)
+        assert all((got[doc, k].start, got[doc, k].end, got[doc, k].section, got[doc, k].in_table) == (len(tex), len(tex + cite), "Intro", False) for k in (f"a{doc % 7}", "b"))
+        assert got[doc, "t"].in_table
+    assert got[0, "b"].sentence == "Last sentence \\citep[see][]{a0, b}."
