@@ -95,25 +95,23 @@ def write_warc(pages: DataFrame, folder: str, min_revisit_bytes: int = 0, file_b
     small_batches(pages.sparkSession)
     html = F.coalesce("html", F.lit(""))
     plain = pages.select(F.col("page_id").cast("long"), "url", html.alias("html"), F.sha1(html.cast("binary")).alias("sha"))
-    plain = plain.withColumn("row", F.xxhash64("page_id", "url"))
+    # staged, so that a row keeps its mark: of equal rows, wherever they are, one is the response
+    plain = stage(plain.withColumn("row", F.monotonically_increasing_id()), "warc-pages")
     best = plain.groupBy("sha").agg(F.max(F.struct(F.coalesce("page_id", F.lit(-(2**63))).alias("i"), "page_id", "row")).alias("top"), F.count("*").alias("c"))
     known = best.filter("c > 1").select(F.col("sha").alias("s"), F.col("top.page_id").alias("first_id"), F.col("top.row").alias("first_row"))
-    joined = plain.join(stage(known, "warc-known"), F.col("sha") == F.col("s"), "left").select("page_id", "url", "html", "s", "first_id", "row", "first_row")
-    ready = joined.withColumn("candidate", F.col("page_id").eqNullSafe(F.col("first_id")) & (F.col("row") == F.col("first_row"))).drop("row", "first_row")
+    joined = plain.join(stage(known, "warc-known"), F.col("sha") == F.col("s"), "left")
+    ready = joined.select("page_id", "url", "html", "s", "first_id", (F.col("row") == F.col("first_row")).alias("chosen"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, path, sink, at = None, None, None, 0
-        written: set = set()  # of equal candidate rows in this task, the first is the response
         try:
             for batch in batches:
                 rows = []
-                for page_id, url, text, s, first, candidate in zip(batch["page_id"].astype("Int64"), batch["url"], batch["html"], batch["s"], batch["first_id"].astype("Int64"), batch["candidate"], strict=True):
+                for page_id, url, text, s, first, chosen in zip(batch["page_id"].astype("Int64"), batch["url"], batch["html"], batch["s"], batch["first_id"].astype("Int64"), batch["chosen"], strict=True):
                     page_id, first = (None if pd.isna(x) else int(x) for x in (page_id, first))
                     payload = text.encode("utf-8", "surrogatepass")
                     digest = base32_sha1(payload)
-                    lead = s is None or len(payload) < min_revisit_bytes or (bool(candidate) and s not in written)
-                    if s is not None and candidate:
-                        written.add(s)
+                    lead = s is None or len(payload) < min_revisit_bytes or bool(chosen)
                     data = _gzip(build_record(page_id, url, payload, digest, None if lead else (first,)))
                     if sink is None or at + len(data) > file_bytes:
                         if sink is not None:

@@ -36,6 +36,16 @@ def test_round_trip(spark):
     assert parse_record(gzip.decompress(data))[0]["WARC-Type"] == "revisit"
 
 
+def test_equal_rows_in_many_partitions_have_one_response(spark):
+    rows = [(300, "t", "twice")] * 40 + [(300, "u", "twice"), (7, "t", "twice"), (None, "n", "null")] + [(None, "n", "null")] * 9
+    pages = spark.createDataFrame(spark.sparkContext.parallelize(rows, 16), "page_id long, url string, html string")
+    folder = fresh_dir(spark, "warc-test")
+    got = read_warc(write_warc(pages, folder), folder).collect()
+    assert len(got) == len(rows)
+    assert sorted(str(x.page_id) for x in got if x.record_type == "response") == ["300", "None"]
+    assert all(x.refers_to == (None if x.payload_digest == base32_sha1(b"null") else 300) for x in got if x.record_type == "revisit")
+
+
 def test_minimum_size_and_empty_table(spark):
     pages = spark.createDataFrame([(1, "u", "abc"), (2, "u", "abc"), (3, "u", "abcdef"), (4, "u", "abcdef")], "page_id long, url string, html string")
     folder = fresh_dir(spark, "warc-test")
