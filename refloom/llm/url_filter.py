@@ -1,9 +1,9 @@
 """URL filtering: host rules first, gradient-boosted trees on lexical features for the rest.
 
 Everything that touches all rows is a DataFrame expression: the rules, the features
-and the trees, which are compiled to nested conditions. The trees are fitted on the
-driver on a bounded sample of labelled URLs (those that a rule decides), of
-which only binned feature vectors and labels are collected.
+the trees, which are compiled to nested conditions, and the suffix statistics, which
+are those of all labelled URLs (those that a rule decides). The trees are fitted on
+the driver on a bounded sample of the distinct ones, each with its number of rows.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from refloom.llm.common import stage
+
 #: (verdict, rule): a rule is a host, with all its subdomains, and the start of a path.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 #: Bound of the training sample, and the size of the ensemble.
@@ -80,7 +82,7 @@ class Trees:
 
     base: float
     trees: list
-    suffixes: list[tuple[str, float, float]]  # suffix, smoothed share of blocked, log of its count
+    prior: float  # the share of blocked among all labelled rows, for suffixes without a label
 
     def score(self) -> Column:
         def column(node) -> Column:
@@ -95,11 +97,12 @@ class Trees:
         return out
 
 
-def boost(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH, bins: int = BINS, rate: float = RATE) -> tuple[float, list]:
-    """Gradient-boosted trees for the logistic loss, with histograms of gradients per bin."""
+def boost(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH, bins: int = BINS, rate: float = RATE, weight: np.ndarray | None = None) -> tuple[float, list]:
+    """Gradient-boosted trees for the logistic loss, with histograms of gradients per bin; a row counts weight times."""
     if not len(y):
         return 0.0, []
-    share = (y.sum() + 1.0) / (len(y) + 2.0)
+    w = np.ones(len(y)) if weight is None else weight
+    share = ((w * y).sum() + 1.0) / (w.sum() + 2.0)
     base = float(np.log(share / (1 - share)))
     cuts = [np.unique(np.quantile(x[:, j], np.arange(1, bins) / bins, method="lower")) for j in range(x.shape[1])]
     binned = np.stack([np.searchsorted(c, x[:, j], "left") for j, c in enumerate(cuts)], axis=1)
@@ -128,30 +131,30 @@ def boost(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH,
 
     for _ in range(trees):
         p = 1 / (1 + np.exp(-margin))
-        out.append(grow(np.arange(len(y)), p - y, p * (1 - p), 0))
+        out.append(grow(np.arange(len(y)), w * (p - y), w * p * (1 - p), 0))
     return base, out
 
 
-def train(labelled: DataFrame, rows: int = TRAIN_ROWS) -> Trees:
-    """Fit on at most ``rows`` labelled URLs (columns of lexical() and label 0/1), chosen by a hash of the URL."""
-    total = labelled.count()
+def train(labelled: DataFrame, rows: int = TRAIN_ROWS) -> tuple[Trees, DataFrame]:
+    """(trees, statistics by suffix) from labelled URLs (columns of lexical() and label 0/1).
+
+    The statistics are of all labelled rows. The trees are fitted on at most ``rows`` distinct URLs, the first
+    by a hash of the URL, with the number of their rows as weights.
+    """
+    total, blocked, urls = labelled.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0)), F.approx_count_distinct("url")).first()
+    prior = (blocked + 1) / (total + 2)
+    by_suffix = labelled.groupBy("suffix").agg(F.sum("label").alias("b"), F.count("*").alias("n"))
+    stats = stage(by_suffix.select(F.col("suffix").alias("s"), ((F.col("b") + 5 * prior) / (F.col("n") + 5)).alias("f_suffix_rate"), F.log1p("n").alias("f_suffix_count")), "url-suffixes")
+    # few more hashes than needed pass, so that the limit below has little to sort
+    bound = 1 << 40
+    h = F.pmod(F.xxhash64("url"), F.lit(bound))
     features = [f"f_{n}" for n in FEATURES[:-2]]
-    chosen = labelled.select("url", "suffix", "label", *features)
-    if total > rows // 2:
-        chosen = chosen.filter(F.pmod(F.xxhash64("url"), F.lit(1_000_000)) < int(1_000_000 * rows / 2 / total) + 1)
-    sample = sorted((tuple(r) for r in chosen.limit(rows).toLocalIterator()), key=lambda r: (r[0] or "", r[2]))
-    y = np.array([r[2] for r in sample], np.float64)
-    counts: dict[str, list[float]] = {}
-    for r in sample:
-        c = counts.setdefault(r[1], [0.0, 0.0])
-        c[0] += r[2]
-        c[1] += 1
-    prior = (y.sum() + 1) / (len(y) + 2)
-    suffixes = [(s, float((b + 5 * prior) / (n + 5)), float(np.log1p(n))) for s, (b, n) in sorted(counts.items())]
-    known = {s: (a, b) for s, a, b in suffixes}
-    x = np.array([[*r[3:], *known[r[1]]] for r in sample], np.float64).reshape(len(sample), len(FEATURES))
-    base, trees = boost(x, y)
-    return Trees(base, trees, suffixes)
+    chosen = labelled.filter(h < min(bound, bound * (2 * rows + 64) // max(1, urls))).groupBy("url", "suffix", "label", *features).agg(F.count("*").alias("weight"))
+    chosen = chosen.withColumn("h", h).orderBy("h", "url").limit(rows)
+    sample = sorted((tuple(r) for r in chosen.join(stats, F.col("suffix") == F.col("s")).select("url", "label", "weight", *(f"f_{n}" for n in FEATURES)).toLocalIterator()), key=lambda r: r[0] or "")
+    x = np.array([r[3:] for r in sample], np.float64).reshape(len(sample), len(FEATURES))
+    base, trees = boost(x, np.array([r[1] for r in sample], np.float64), weight=np.array([r[2] for r in sample], np.float64))
+    return Trees(base, trees, float(prior)), stats
 
 
 def filter_urls(pages: DataFrame, rules=RULES, train_rows: int = TRAIN_ROWS) -> DataFrame:
@@ -165,15 +168,12 @@ def filter_urls(pages: DataFrame, rules=RULES, train_rows: int = TRAIN_ROWS) ->
     allow all (a score of 0.5 or more needs evidence). Repeated rows get equal
     results; an empty table gives none.
     """
-    spark = pages.sparkSession
     host, path = split_url(F.col("url"))
     judged = pages.select("page_id", "url", host.alias("host"), path.alias("path")).withColumn("r", rule_of(F.col("host"), F.col("path"), rules))
     wide = lexical(judged)
     label = (F.col("r.verdict") == "block").cast("int").alias("label")
-    model = train(wide.filter("r.verdict is not null").select("*", label), train_rows)
-    stats = spark.createDataFrame(model.suffixes, "s string, f_suffix_rate double, f_suffix_count double")
-    prior = 1 / (1 + np.exp(-model.base)) if model.trees else 0.0
-    scored = wide.join(F.broadcast(stats), F.col("suffix") == F.col("s"), "left").fillna({"f_suffix_rate": float(prior), "f_suffix_count": 0.0})
+    model, stats = train(wide.filter("r.verdict is not null").select("*", label), train_rows)
+    scored = wide.join(stats, F.col("suffix") == F.col("s"), "left").fillna({"f_suffix_rate": model.prior if model.trees else 0.0, "f_suffix_count": 0.0})
     score = 1 / (1 + F.exp(-model.score())) if model.trees else F.lit(0.0)
     scored = scored.withColumn("score", score)
     verdict = F.coalesce("r.verdict", F.when(F.col("score") >= 0.5, "block").otherwise("allow"))

@@ -2,7 +2,7 @@ import re
 
 import numpy as np
 
-from refloom.llm.url_filter import RULES, boost, filter_urls
+from refloom.llm.url_filter import RULES, boost, filter_urls, lexical, rule_of, split_url, train
 
 
 def brute(url):
@@ -54,6 +54,50 @@ def test_trees_learn_an_interaction():
     assert np.mean(right) > 0.95
 
 
+def labelled(pages):
+    from pyspark.sql import functions as F
+
+    host, path = split_url(F.col("url"))
+    wide = lexical(pages.select("url", host.alias("host"), path.alias("path")).withColumn("r", rule_of(F.col("host"), F.col("path"))))
+    return wide.filter("r.verdict is not null").withColumn("label", (F.col("r.verdict") == "block").cast("int"))
+
+
+def test_suffixes_count_all_labelled_rows(spark):
+    urls = [f"http://a.s{i}.{'net' if i % 3 else 'org'}/fr/{k}" for i in range(60) for k in range(1 + i % 4)] + ["http://hot.net/1"] * 70
+    pages = spark.createDataFrame([(u,) for u in urls], "url string").repartition(7)
+    want = {}
+    for u in urls:
+        _, _, _, verdict = brute(u)
+        suffix = ".".join(u.split("/")[2].split(".")[-2:])
+        b, n = want.get(suffix, (0, 0))
+        want[suffix] = (b + (verdict == "block"), n + 1)
+    prior = (sum(b for b, _ in want.values()) + 1) / (len(urls) + 2)
+    got = {}
+    for rows in (4, 40, 20_000):
+        model, stats = train(labelled(pages), rows)
+        assert abs(model.prior - prior) < 1e-12
+        got[rows] = {x.s: (x.f_suffix_rate, x.f_suffix_count) for x in stats.collect()}
+        assert got[rows].keys() == want.keys()
+        for s, (b, n) in want.items():
+            assert np.allclose(got[rows][s], ((b + 5 * prior) / (n + 5), np.log1p(n)))
+
+
+def test_few_distinct_urls_are_never_an_empty_sample(spark):
+    for k in range(12):
+        pages = spark.createDataFrame([(i, f"http://h{k}.net/") for i in range(50)] + [(99, f"http://h{k}.com/")], "page_id long, url string")
+        got = filter_urls(pages, train_rows=2).filter("page_id = 99").first()
+        assert got.score > 0.5 and got.verdict == "block"
+
+
+def test_weights_count_as_copies():
+    r = np.random.default_rng(2)
+    x, w = np.tile(np.arange(8.0), 5).reshape(-1, 1), r.integers(1, 6, 40)
+    y = (r.random(40) < 0.4).astype(float)
+    cuts_alike = [np.concatenate([x, x]), np.concatenate([y, y])]
+    assert np.allclose(boost(x, y, weight=np.full(40, 2.0))[0], boost(*cuts_alike)[0])
+    assert boost(x, y, weight=w.astype(float))[0] != boost(x, y)[0]
+
+
 def test_empty_table_and_no_labels(spark):
     pages = spark.createDataFrame([(1, "http://a.com/x"), (2, None)], "page_id long, url string")
     assert [x.verdict for x in filter_urls(pages).collect()] == ["allow", "allow"]
