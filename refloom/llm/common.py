@@ -7,7 +7,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word is a maximal run of bytes other than space and TAB..CR.
@@ -22,8 +22,8 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as a URI.
 
-    It is the session's spark.checkpoint.dir; only where that is unset (tests on
-    one machine) a new temporary folder takes its place.
+    It is the session's spark.checkpoint.dir. Only where that is unset and the session
+    runs in one process (tests) a new temporary folder takes its place.
     """
     sc = spark.sparkContext
     configured = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
@@ -32,6 +32,8 @@ def shared_dir(spark: SparkSession) -> str:
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get().rstrip("/")
+    if not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="refloom-shared-"))
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
@@ -44,11 +46,39 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write a table into the shared folder and read it again."""
     path = fresh_dir(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def discard(*staged: DataFrame) -> None:
+    """Delete tables of stage() whose last reader has been staged itself, so that nothing can need them again."""
+    for df in staged:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._staged_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def running(df: DataFrame, order: list, sums: tuple[str, ...], name: str) -> DataFrame:
+    """df, staged, with <c>_before for each c of sums: the sum of c over all rows that come earlier by order.
+
+    Rows are sorted by ranges, the partitions' totals are added up (one row for each partition), and
+    windows run inside one partition only, so no group is ever in one task.
+    """
+    spark = df.sparkSession
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = stage(df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()), name)
+    totals = dealt.groupBy("__part").agg(*[F.sum(c).alias(c) for c in sums])
+    upto = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(F.col("__part").alias("__at"), *[F.coalesce(F.sum(c).over(upto), F.lit(0)).alias(f"__{c}") for c in sums])
+    local = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    summed = dealt.select("*", *[F.coalesce(F.sum(c).over(local), F.lit(0)).alias(f"{c}_before") for c in sums])
+    out = summed.join(F.broadcast(offsets), F.col("__part") == F.col("__at"))
+    return out.withColumns({f"{c}_before": F.col(f"{c}_before") + F.col(f"__{c}") for c in sums}).drop("__part", "__at", *[f"__{c}" for c in sums])
 
 
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Bound the rows that an Arrow batch holds, since single texts can be long."""
+    """Bound the rows that an Arrow batch holds, since single texts can be long. It is a setting of the session."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 

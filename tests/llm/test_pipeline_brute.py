@@ -1,16 +1,16 @@
 """The pipeline's chain of stages against a brute-force version in plain Python."""
 
-import hashlib
 import random
 import re
+from collections import Counter
 
 import test_bag_minhash
+import test_mixing
 import test_repetition
 import test_secret_scan
 import test_tiling
 
 import corpus_pipeline as cp
-from refloom.llm.mixing import fill_targets
 
 
 def documents(items):
@@ -41,21 +41,13 @@ def redacted(text):
 
 
 def mixed(rows):
-    """Words served one by one in the order of their virtual finish times, up to time 1."""
-    queues = {}
-    for doc, text, lang, source, n in rows:
-        key = hashlib.md5(f"mix:{doc}:{hashlib.md5(text.encode()).hexdigest()}".encode()).hexdigest()
-        queues.setdefault(source, []).append((key, doc, len(re.findall(r"\S+", text)), lang, n))
-    names = sorted(queues, key=lambda s: (s is None, s or ""))
-    sizes = [sum(x[2] for x in queues[s]) for s in names]
-    targets = dict(zip(names, fill_targets(sizes, [i % 3 + 1 for i in range(len(names))], sum(sizes), 3), strict=True))
-    words = {s: [doc for _, doc, size, *_ in sorted(queues[s]) for _ in range(size)] * 3 for s in names}
-    served = sorted(((k + 1) / targets[s], str(s), doc) for s in names for k, doc in enumerate(words[s]))
-    taken = {}
-    for time, _, doc in served:
-        if time <= 1 + 1e-9:
-            taken[doc] = taken.get(doc, 0) + 1
-    return {(doc, lang, s, n, size, sum(x[2] for x in queues[s]), taken[doc], round(targets[s], 6)) for s in names for _, doc, size, lang, n in queues[s] if doc in taken}
+    """The rows of the mix: packets by virtual finish time up to the budget."""
+    targets, taken = test_mixing.brute([(doc, text, source) for doc, text, _, source, _ in rows])
+    sizes = Counter()
+    for _, size, source, _ in taken:
+        sizes[source] += size
+    pairs = zip(rows, taken, strict=True)
+    return {(doc, text, lang, s, n, size, sizes[s], words, round(targets[s], 6)) for (doc, text, lang, s, n), (_, size, _, words) in pairs if words}
 
 
 def test_chain_equals_brute_force(spark, tmp_path):
@@ -76,5 +68,5 @@ def test_chain_equals_brute_force(spark, tmp_path):
     for (name, step), want in zip(cp.STAGES, (good, single, clean, safe), strict=False):
         now = step(spark, now, str(tmp_path)).cache()
         assert sorted(map(tuple, now.collect())) == sorted(want), name
-    got = [(x.doc_id, x.lang, x.source, x.n_chars, x.size, x.source_size, x.taken, round(x.target, 6)) for x in cp.run(spark, str(tmp_path)).collect()]
+    got = [(x.doc_id, x.text, x.lang, x.source, x.n_chars, x.size, x.source_size, x.taken, round(x.target, 6)) for x in cp.run(spark, str(tmp_path)).collect()]
     assert len(got) == len(set(got)) and set(got) == mixed(safe)
