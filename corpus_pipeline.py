@@ -16,35 +16,46 @@ from refloom.llm.secret_scan import redact
 from refloom.llm.tiling import drop_contaminated
 
 
+# Of every stage: a null text counts as empty and has no word; texts go through whole; rows equal in all columns are
+# judged alike; an empty table gives an empty one; columns beside those of documents are not read, whatever their names.
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the repetition rules keep."""
+    """Documents that the repetition rules keep, all their columns. Null, empty and short texts (under 50 words) go."""
     return repetition_rules(doc_columns(docs), DOC_COLUMNS).filter("kept").select(*DOC_COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class."""
+    """One document of each near-duplicate class: that of the smallest doc_id (null last).
+
+    Documents are told apart by doc_id and text: of rows equal in both, one stays, whatever their other columns hold.
+    """
     return drop_near_duplicates(doc_columns(docs))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark text."""
+    """Documents that hold no benchmark text. A null or empty text, on either side, matches nothing and stays."""
     return drop_contaminated(doc_columns(docs), read(spark, sf_dir, "benchmark"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with secrets replaced by a mark."""
+    """All documents, with secrets replaced by a mark and n_chars brought up to date; a null text stays null."""
     return redact(doc_columns(docs))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents of the mix and how many words of each it takes, by virtual finish time."""
-    mixed = mix(doc_columns(docs), carry=("lang", "n_chars")).filter("taken > 0")
-    return mixed.select("doc_id", "lang", "source", "n_chars", "size", "source_size", "target", "taken", "finish_time")
+    """The documents of the mix, as they came (doc_id, text, lang, source, n_chars), and how many words of each it takes.
+
+    Rows come by virtual finish time. Documents of which nothing is taken go: those without words, and those that
+    the total budget does not reach. A null source is a source.
+    """
+    mixed = mix(doc_columns(docs), carry=("text", "lang", "n_chars")).filter("taken > 0")
+    return mixed.select(*DOC_COLUMNS, "size", "source_size", "target", "taken", "finish_time")
 
 
 STAGES = [("quality rules", quality), ("near-dedup", near_dedup), ("decontamination", decontaminate), ("secret scan", secrets), ("mixing", mixture)]
 
-#: Suffix arrays, signatures and tilings have no SQL form; tests compare run() with a brute-force version.
+#: Suffix arrays and tilings have no SQL form; tests/llm/test_pipeline_brute.py compares each stage and run() with a brute-force version.
 ORACLE_SQL = None
 
 
