@@ -2,13 +2,13 @@
 
 Two texts are compared by the n-grams (n = 1, 2, 3 characters) that occur in both:
 k(x, y) = |A(x) & A(y)| / sqrt(|A(x)| |A(y)|) with A the set of n-grams present in the
-whole text. Characters are folded to a fixed number of classes first: the most
-frequent letters of the training texts have a class each, other letters share one,
-and everything else is a gap. Nystroem: m landmark texts span the feature space,
+whole text in lower case. Every letter of every script is a character of its own; all
+that is no letter is one gap. An n-gram is a 63-bit number, three code points of 21 bits, so
+none are folded together and none are left out. Nystroem: m landmark texts span the feature space,
 phi(x) = K_mm^(-1/2) k_m(x). One-versus-rest kernel ridge regression on phi gives one
-weight vector per language. Batches of texts are scored by matrix products; as k_m is
-linear in the presence vector up to its norm, the landmark matrix and the weights
-are multiplied once, after fitting.
+weight vector per language. Batches of texts are scored by products of their sparse
+presence matrix; as k_m is linear in the presence vector up to its norm, the landmark
+matrix and the weights are multiplied once, after fitting.
 """
 
 from __future__ import annotations
@@ -24,96 +24,114 @@ from pyspark.sql import functions as F
 
 from refloom.llm.common import small_batches
 
-CLASSES = 48
-GRAMS = CLASSES + CLASSES**2 + CLASSES**3
-#: Bounds of the sample that the classifier is fitted on.
-TRAIN_ROWS, TRAIN_CHARS, LANDMARKS, RIDGE = 1600, 8_000_000, 192, 1e-3
+#: Bounds of the sample that the classifier is fitted on, and of the landmarks in it.
+TRAIN_ROWS, TRAIN_CHARS, LANDMARKS, LANDMARK_CHARS, RIDGE = 1600, 8_000_000, 192, 2_000_000, 1e-3
+_GAP, _BITS = 1, 21
+#: Characters that are scored at a time, a longer text alone.
+BATCH_CHARS = 1 << 20
+_LETTER = np.frombuffer(bytes(chr(code).isalpha() for code in range(0x110000)), bool)
 
 
-def fold(text: str, table: np.ndarray) -> np.ndarray:
-    """Class numbers of the whole text's characters, a gap before the first and after the last."""
-    folded = table[np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)]
-    out = np.zeros(len(folded) + 2, np.int32)
-    out[1:-1] = folded
-    return out
+def _sorted_set(values: np.ndarray) -> np.ndarray:
+    """The different ones of sorted values."""
+    return values[np.concatenate(([True], values[1:] != values[:-1]))] if len(values) else values
 
 
-def presence(texts: list[str], table: np.ndarray) -> np.ndarray:
-    """One row per text: which n-grams occur in it."""
-    out = np.zeros((len(texts), GRAMS), bool)
-    for row, text in zip(out, texts, strict=True):
-        c = fold(text, table)
-        row[c] = True
-        two = c[:-1] * CLASSES + c[1:]
-        row[CLASSES + two] = True
-        row[CLASSES + CLASSES**2 + two[:-1] * CLASSES + c[2:]] = True
-    return out
+def grams(text: str) -> np.ndarray:
+    """The n-grams present in a whole text, sorted: characters between gaps at both ends, shorter ones with zeros in front."""
+    codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    c = np.full(len(codes) + 2, _GAP, np.int64)
+    c[1:-1] = np.where(_LETTER[codes], codes, _GAP)
+    two = (c[:-1] << _BITS) | c[1:]
+    three = _sorted_set(np.sort((two[:-1] << _BITS) | c[2:]))
+    pairs = _sorted_set(np.sort(np.append(_sorted_set(three >> _BITS), two[-1])))
+    return np.concatenate((_sorted_set(np.sort(np.append(_sorted_set(pairs >> _BITS), c[-1]))), pairs, three))
 
 
 @dataclass
 class Model:
     languages: list[str]
-    table: np.ndarray
+    vocabulary: np.ndarray  # the landmarks' n-grams, sorted
     weights: np.ndarray  # n-grams x languages
 
     def scores(self, texts: list[str]) -> np.ndarray:
-        x = presence(texts, self.table)
-        norm = np.sqrt(x.sum(axis=1, dtype=np.float64))
-        return (x.astype(np.float32) @ self.weights) / norm[:, None]
-
-
-def fit(rows: list[tuple[str, str]], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
-    """rows: (text, language). Rows are taken in the given order, so equal rows give equal models."""
-    counts = Counter(ch for text, _ in rows for ch in text.lower() if ch.isalpha())
-    top = [ch for ch, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[: CLASSES - 2]]
-    table = np.frombuffer(bytes(chr(code).isalpha() for code in range(0x110000)), np.int8).copy()
-    for i, ch in enumerate(top):
-        table[ord(ch)] = i + 2
+        """One row per text: the presence matrix times the weights, over the texts' norms."""
+        found = [grams(t) for t in texts]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        out = np.zeros((len(texts), len(self.languages)))
+        if not len(self.vocabulary):
+            return out
+        every = np.concatenate(found) if found else np.zeros(0, np.int64)
+        at = np.minimum(np.searchsorted(self.vocabulary, every), len(self.vocabulary) - 1)
+        known = self.vocabulary[at] == every
+        row = np.repeat(np.arange(len(found)), sizes)[known]
+        for k in range(len(self.languages)):
+            out[:, k] = np.bincount(row, self.weights[at[known], k], len(found))
+        return out / np.sqrt(sizes)[:, None]
+
+
+def fit(rows: list[tuple[str, str]], landmarks: int = LANDMARKS, ridge: float = RIDGE, landmark_chars: int = LANDMARK_CHARS) -> Model:
+    """rows: (text, language). Rows are taken in the given order, so equal rows give equal models.
+
+    Landmarks are taken from the languages in turn, up to ``landmarks`` texts of together ``landmark_chars`` characters
+    (each language's first one in any case).
+    """
     languages = sorted({lang for _, lang in rows})
     if not languages:
-        return Model([], table, np.zeros((GRAMS, 0), np.float32))
+        return Model([], np.zeros(0, np.int64), np.zeros((0, 0), np.float32))
     by_language = {lang: [i for i, x in enumerate(rows) if x[1] == lang] for lang in languages}
-    chosen, depth = [], 0
-    while len(chosen) < min(landmarks, len(rows)):  # round robin over languages
+    chosen, chars = [], 0
+    for depth in range(max(map(len, by_language.values()))):  # round robin over languages
         for lang in languages:
-            if depth < len(by_language[lang]) and len(chosen) < landmarks:
-                chosen.append(by_language[lang][depth])
-        depth += 1
-    marks = presence([rows[i][0] for i in chosen], table)
-    used = np.flatnonzero(marks.any(axis=0))
-    z = marks[:, used].astype(np.float32)
-    z /= np.sqrt(z.sum(axis=1, keepdims=True))
-    kernel = (z @ z.T).astype(np.float64)
-    values, vectors = np.linalg.eigh(kernel)
+            if depth < len(by_language[lang]):
+                i = by_language[lang][depth]
+                if depth and (len(chosen) >= landmarks or chars + len(rows[i][0]) > landmark_chars):
+                    continue
+                chosen.append(i)
+                chars += len(rows[i][0])
+    sets = [grams(rows[i][0]) for i in chosen]
+    vocabulary = _sorted_set(np.sort(np.concatenate(sets)))
+    # postings: the landmarks that have each n-gram
+    where = np.concatenate([np.searchsorted(vocabulary, s) for s in sets])
+    mark = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    order = np.argsort(where, kind="stable")
+    mark = mark[order]
+    begin = np.searchsorted(where[order], np.arange(len(vocabulary) + 1))
+    norms = np.sqrt([len(s) for s in sets])
+
+    def kernel(present: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(vocabulary, present), len(vocabulary) - 1)
+        at = at[vocabulary[at] == present]
+        n = begin[at + 1] - begin[at]
+        flat = np.repeat(begin[at + 1] - np.cumsum(n), n) + np.arange(n.sum())
+        return np.bincount(mark[flat], minlength=len(sets)) / (norms * np.sqrt(len(present)))
+
+    values, vectors = np.linalg.eigh(np.stack([kernel(s) for s in sets]))
     good = values > 1e-6 * values.max()
     root = (vectors[:, good] / np.sqrt(values[good])) @ vectors[:, good].T  # K_mm^(-1/2)
-    features = []
-    for at in range(0, len(rows), 64):
-        x = presence([t for t, _ in rows[at : at + 64]], table)
-        norm = np.sqrt(x.sum(axis=1, dtype=np.float64))
-        features.append((x[:, used].astype(np.float32) @ z.T) / norm[:, None] @ root)
-    phi = np.concatenate(features)
+    phi = np.stack([kernel(grams(t)) for t, _ in rows]) @ root
     wanted = np.array([[1.0 if lang == x[1] else -1.0 for lang in languages] for x in rows])
     # balance: each language weighs the same
     weight = np.array([1.0 / len(by_language[x[1]]) for x in rows])
     beta = np.linalg.solve(phi.T @ (phi * weight[:, None]) + ridge * np.eye(phi.shape[1]), phi.T @ (wanted * weight[:, None]))
-    weights = np.zeros((GRAMS, len(languages)), np.float32)
-    weights[used] = z.T @ (root @ beta)
-    return Model(languages, table, weights)
+    of_mark = (root @ beta) / norms[:, None]
+    weights = np.stack([np.bincount(where, np.repeat(of_mark[:, k], [len(s) for s in sets]), len(vocabulary)) for k in range(len(languages))], axis=1)
+    return Model(languages, vocabulary, weights.astype(np.float32))
 
 
 def train(labelled: DataFrame, rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) -> Model:
-    """Fit on a bounded sample of labelled (text, lang): at most ``rows`` texts, an equal share for each
-    language, and of these no more than ``chars`` characters. Which texts depends on a hash of their content."""
-    useful = labelled.filter("text is not null and lang is not null").select("text", "lang")
-    n = {r["lang"]: r["n"] for r in useful.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(rows).collect()}
+    """Fit on a bounded sample of labelled (text, lang): at most ``rows`` different texts, an equal share for each
+    language, and of these no more than ``chars`` characters. Which texts depends on a hash of their content; copies count once.
+    Of more than ``rows`` languages, those with the most texts are learned."""
+    useful = labelled.filter("text is not null and lang is not null").select("text", "lang", F.xxhash64("text").alias("o"))
+    counted = useful.groupBy("lang").agg(F.approx_count_distinct("o", 0.02).alias("n"))
+    n = {r["lang"]: r["n"] for r in counted.orderBy(F.desc("n"), "lang").limit(rows).collect()}
     share = max(1, rows // max(1, len(n)))
-    order = F.xxhash64("text")
-    # a hash threshold leaves about twice the share of each language; of these the first are taken
+    # a hash threshold leaves about twice the share of each language's different texts; of these the first are taken
     limit = F.lit(None)
     for lang, count in n.items():
-        limit = F.when(F.col("lang") == lang, F.lit(min(1.0, (2.0 * share + 20) / count))).otherwise(limit)
-    kept = useful.withColumn("o", order).filter(F.pmod("o", F.lit(1_000_000)) < limit * 1_000_000).dropDuplicates(["o", "lang"]) if n else None
+        limit = F.when(F.col("lang") == lang, F.lit(min(1.0, (2.0 * share + 20) / max(1, count)))).otherwise(limit)
+    kept = useful.filter(F.pmod("o", F.lit(1_000_000)) < limit * 1_000_000).dropDuplicates(["o", "lang"]) if n else None
     taken: Counter = Counter()
     sample, total = [], 0
     for r in kept.orderBy("o", "text").toLocalIterator() if n else ():
@@ -127,13 +145,15 @@ def train(labelled: DataFrame, rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS)
 def identify(docs: DataFrame, model: Model, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The language of each whole text: columns of carry, lang_pred, score.
 
-    docs needs text and the columns of carry; others are not read. lang_pred is a
+    docs needs text and the columns of carry (lang_pred and score can't be carried); others are not read. lang_pred is a
     language of the model, or 'und' with score 0 if the text is null or has no
     letter, or if the model was fitted on nothing. score is the share of the best
     language in the softmax of the regression scores. Of tied languages the first
-    in code point order is taken. Repeated rows get equal results; an empty table
+    in code point order is taken. Long texts are scored whole, alone. Repeated rows get equal results; an empty table
     gives none.
     """
+    if {"lang_pred", "score"} & set(carry):
+        raise ValueError("lang_pred and score are columns of the result")
     small_batches(docs.sparkSession)
     chosen = docs.select(*carry, F.col("text").alias("__text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -145,8 +165,13 @@ def identify(docs: DataFrame, model: Model, carry: tuple[str, ...] = ("doc_id",)
             texts = batch["__text"].tolist()
             lang, score = ["und"] * len(texts), [0.0] * len(texts)
             ready = [i for i, x in enumerate(texts) if x and model.languages and any(map(str.isalpha, x))]
-            for at in range(0, len(ready), 64):
-                part = ready[at : at + 64]
+            at = 0
+            while at < len(ready):
+                end, size = at + 1, len(texts[ready[at]])
+                while end < len(ready) and size + len(texts[ready[end]]) <= BATCH_CHARS:
+                    size += len(texts[ready[end]])
+                    end += 1
+                part, at = ready[at:end], end
                 s = model.scores([texts[i] for i in part])
                 share = np.exp(3 * (s - s.max(axis=1, keepdims=True)))
                 best = s.argmax(axis=1)
