@@ -1,20 +1,22 @@
 """Near-duplicate classes by BagMinHash over multisets of word shingles.
 
 A document is a multiset of shingles (five words). The weight of a shingle is its
-count, discretised at the integers. Dyadic intervals [0,1), [1,2), [2,4), [4,8)...
-of the weight axis each own a Poisson process per shingle, seeded by shingle and
-interval, with the interval's width as its rate; a point has a time, one of ``m``
-components, and a position in the interval found by halving it, and counts if the
-position lies under the weight. The signature keeps the earliest time in each
-component; two documents agree in a component with the probability of their
-weighted Jaccard similarity. Points later than the latest component can't matter,
-so most shingles stop after a point or two.
-
-Signatures are cut into bands. In a band's bucket all members are first compared with
+count, discretised at the integers. The weight axis is cut into [0,1), [1,2), [2,4), [4,8)...,
+and each of these intervals is the root of a hierarchy of Poisson processes per shingle, seeded by shingle and
+interval, with the interval's width as its rate. A process gives its earliest point: a time, one of ``m``
+components, and a position in the interval; the point counts if the position lies under the weight. From that
+time on the process is split into those of the interval's two halves, which go on by themselves (at unit width:
+into its own continuation). A half is only followed if it begins under the weight, and no process is followed
+past the latest time of a component, so points that can't matter are never drawn. All documents see the
+same hierarchy of a shingle, so the signature, the earliest time in each component, agrees
+between two documents in a component with the probability of their
+weighted Jaccard similarity. Most shingles stop after a point or two.
+
+Signatures are cut into bands; each different text has one. In a band's bucket all members are first compared with
 one leader, not with each other: the text that meets most others in all buckets, such as
 the original of edited copies. In the buckets that still hold several classes, members of different
-classes are then compared by their whole signatures, in blocks of bounded size; only
-pairs whose signatures agree nearly enough go on. Candidates are verified by the
+classes are then compared by their whole signatures, without texts, in blocks of bounded size; only
+pairs whose signatures agree nearly enough go on, each once. Candidates are verified by the
 overlap of the shingle multisets, and classes are the connected components of verified
 links. Equal texts are one node throughout. A link of exactly the least similarity
 shares no bucket with a chance of 3e-6, and its signatures agree too little with one of 2e-4, should
@@ -30,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from refloom.llm.common import WordHashes, one_of_each, small_batches, stage, text_key, words_of
+from refloom.llm.common import WordHashes, discard, one_of_each, small_batches, stage, text_key, words_of
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -90,27 +92,37 @@ def signatures(sets: list[tuple[np.ndarray, np.ndarray]], m: int) -> np.ndarray:
         if not len(on):
             break
         seed = _mix(h[on] ^ _mix(np.full(1, level + 1, np.uint64) * _P))
-        parts.append((doc[on], seed, np.full(len(on), float(width)), w[on] - low))
+        parts.append((doc[on], seed, np.full(len(on), width), w[on] - low))
         level, low, width = level + 1, low + width, max(1, low + width)
     reg = np.full((len(sets), m), np.inf)
     if not parts:
         return reg
-    doc, seed, rate, room = (np.concatenate(x) for x in zip(*parts, strict=True))
+    # room: how much of a process's interval lies under the weight
+    doc, seed, width, room = (np.concatenate(x) for x in zip(*parts, strict=True))
     t = np.zeros(len(doc))
-    flat, latest, r = reg.reshape(-1), np.full(len(sets), np.inf), 0
+    flat, latest, begun = reg.reshape(-1), np.full(len(sets), np.inf), False
     while len(doc):
-        r += 1
-        u = _mix(seed + np.uint64(r * int(_P) & _ALL))
-        t = t - np.log(((u >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53) / rate
+        u = _mix(seed + _P)
+        t = t - np.log(((u >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53) / width
         useful = t < latest[doc]
         if not useful.all():
-            doc, seed, rate, room, t = doc[useful], seed[useful], rate[useful], room[useful], t[useful]
-        v = _mix(seed ^ np.uint64(r * 0xD6E8FEB86659FD93 & _ALL))
+            doc, seed, width, room, t = doc[useful], seed[useful], width[useful], room[useful], t[useful]
+        v = _mix(seed ^ np.uint64(0xD6E8FEB86659FD93))
         component = ((v & np.uint64(0xFFFFFFFF)) * np.uint64(m)) >> np.uint64(32)
-        inside = (rate <= room) | ((v >> np.uint64(32)).astype(np.float64) / 2.0**32 * rate < room)
+        inside = (width <= room) | ((v >> np.uint64(32)).astype(np.float64) / 2.0**32 * width < room)
         np.minimum.at(flat, doc[inside] * m + component[inside].astype(np.int64), t[inside])
-        touched = np.unique(doc) if r > 1 else np.arange(len(sets))
-        latest[touched] = reg[touched].max(axis=1)
+        touched = np.unique(doc) if begun else np.arange(len(sets))
+        latest[touched], begun = reg[touched].max(axis=1), True
+        half = np.maximum(width // 2, 1)
+        seed = _mix(seed + np.uint64(2 * int(_P) & _ALL))  # the lower half, or the continuation
+        upper = np.flatnonzero((width > 1) & (room > half))
+        if len(upper):
+            doc, t = np.concatenate((doc, doc[upper])), np.concatenate((t, t[upper]))
+            room = np.concatenate((room, room[upper] - half[upper]))
+            width = np.concatenate((half, half[upper]))
+            seed = np.concatenate((seed, _mix(seed[upper] ^ np.uint64(0xA0761D6478BD642F))))
+        else:
+            width = half
     return reg
 
 
@@ -138,26 +150,20 @@ def _sign(bands: int, rows: int):
     return run
 
 
-def _compare(bands: int, rows: int, least: float, similarity: float):
-    """Links in a bucket between its classes so far. Rows come sorted by bucket and pair of blocks.
+def _compare(bands: int, rows: int, least: float):
+    """Candidates in a bucket between its classes so far. Rows come sorted by bucket and pair of blocks.
 
     Members of different classes are compared by signature; those that agree in a share of at least ``least``
-    of their components are verified, each pair in the first of its common buckets.
+    of their components are candidates, each pair in the first of its common buckets.
     """
 
-    def group(parts: list[pd.DataFrame], hashes: WordHashes, out: list[tuple]) -> None:
+    def group(parts: list[pd.DataFrame], out: list[tuple]) -> None:
         pdf = parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
         n, first, second = (int(pdf[c].iloc[0]) for c in ("n", "i", "j"))
         sig = np.frombuffer(b"".join(pdf["sig"]), np.uint16).reshape(len(pdf), bands * rows)
         root = pd.factorize(pdf["root"])[0]
-        block, key, text = pdf["block"].to_numpy(), pdf["k"].tolist(), pdf["text"].tolist()
-        right, bags = np.flatnonzero(block == second), {}
-
-        def of(i: int) -> tuple:
-            if i not in bags:
-                bags[i] = weighted(text[i], hashes)
-            return bags[i]
-
+        block, key = pdf["block"].to_numpy(), pdf["k"].tolist()
+        right = np.flatnonzero(block == second)
         for x in np.flatnonzero(block == first).tolist():
             near = right[right > x] if first == second else right
             near = near[root[near] != root[x]]
@@ -166,10 +172,10 @@ def _compare(bands: int, rows: int, least: float, similarity: float):
                 good = equal.mean(axis=1) >= least
                 near, equal = near[good], equal[good]
                 good = equal.reshape(len(near), bands, rows).all(axis=2).argmax(axis=1) == n
-                out += [(key[x], key[y]) for y in near[good].tolist() if jaccard(of(x), of(y)) >= similarity]
+                out += [(min(key[x], key[y]), max(key[x], key[y])) for y in near[good].tolist()]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, parts, now = WordHashes(), [], None
+        parts, now = [], None
         for batch in batches:
             out: list[tuple] = []
             keys = batch[["band", "i", "j"]].to_numpy(np.int64)
@@ -178,14 +184,14 @@ def _compare(bands: int, rows: int, least: float, similarity: float):
                 if a == b:
                     continue
                 if parts and tuple(keys[a]) != now:
-                    group(parts, hashes, out)
+                    group(parts, out)
                     parts = []
                 parts.append(batch.iloc[a:b])
                 now = tuple(keys[a])
             yield pd.DataFrame(out, columns=["a", "b"])
         out = []
         if parts:
-            group(parts, hashes, out)
+            group(parts, out)
         yield pd.DataFrame(out, columns=["a", "b"])
 
     return run
@@ -211,47 +217,46 @@ def _verify(similarity: float):
     return run
 
 
-BLOCK = 500
+#: Signatures of two blocks are compared at a time, some 600 KB each.
+BLOCK = 2000
 
 
 def links(keyed: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
     """Verified links (a, b) that connect each class of texts; keyed has doc_id, k (content key) and text."""
-    signed = stage(keyed.select("k", "text").mapInPandas(_sign(bands, rows), "k binary, sig binary, bands array<long>"), "minhash-signed")
+    # one row of each different text, so that copies are signed and compared once
+    single = stage(one_of_each(keyed).dropDuplicates(["k"]), "minhash-texts")
+    signed = stage(single.mapInPandas(_sign(bands, rows), "k binary, sig binary, bands array<long>"), "minhash-signed")
     members = signed.select(F.col("k").alias("a"), F.posexplode("bands").alias("n", "band"))
-    short = F.xxhash64("a")
-    several = stage(members.groupBy("band").agg(F.min(short).alias("x"), F.max(short).alias("y")).filter("x != y").select("band"), "minhash-several")
-    live = stage(members.join(several.hint("merge"), "band").distinct(), "minhash-live")
+    several = stage(members.groupBy("band").agg(F.count("*").alias("c")).filter("c > 1"), "minhash-several")
+    live = stage(members.join(several.hint("merge"), "band"), "minhash-live")
     # a text that meets many others leads its buckets: the original of a group of edited copies is like each of them
-    counts = stage(live.groupBy("band").agg(F.count("*").alias("c")), "minhash-counts")
-    live = stage(live.join(counts, "band"), "minhash-counted")
     degree = stage(live.groupBy("a").agg(F.sum("c").alias("d")), "minhash-degree")
     order = F.struct("d", F.xxhash64("a").alias("r"), F.col("a").alias("b"))
     leader = stage(live.join(degree, "a").groupBy("band").agg(F.max(order).alias("m")).select("band", "m.b"), "minhash-leaders")
     pairs = stage(live.join(leader, "band").filter("a != b").select("a", "b").distinct(), "minhash-pairs")
-    needed = live.select(F.col("a").alias("k")).distinct()
-    texts = stage(one_of_each(keyed, needed).dropDuplicates(["k"]), "minhash-texts")
+    texts = stage(single.join(degree.select(F.col("a").alias("k")), "k", "left_semi"), "minhash-needed")
     ta, tb = texts.select(F.col("k").alias("a"), F.col("text").alias("ta")), texts.select(F.col("k").alias("b"), F.col("text").alias("tb"))
+    discard(single, several)
 
-    def verified(pairs: DataFrame) -> DataFrame:
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
         both = pairs.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb")
-        return stage(both.mapInPandas(_verify(similarity), "a binary, b binary, ok boolean").filter("ok").select("a", "b"), "minhash-links")
+        return stage(both.mapInPandas(_verify(similarity), "a binary, b binary, ok boolean").filter("ok").select("a", "b"), name)
 
-    found = verified(pairs)
+    found = verified(pairs, "minhash-links")
     # what a leader did not connect: pairs of different classes in one bucket, by whole signatures, in blocks
     roots = components(found)
-    placed = live.join(roots.withColumnRenamed("k", "a"), "a", "left").select("band", "n", "a", "c", F.coalesce("root", "a").alias("root"))
+    placed = stage(live.join(roots.withColumnRenamed("k", "a"), "a", "left").select("band", "n", "a", "c", F.coalesce("root", "a").alias("root")), "minhash-placed")
     open_ = stage(placed.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select("band"), "minhash-open")
     blocks = F.ceil(F.col("c") / block).cast("int")
     rest = stage(placed.join(open_, "band").withColumn("block", F.pmod(F.xxhash64("a"), blocks).cast("int")), "minhash-rest")
-    keys = stage(rest.select(F.col("a").alias("k")).distinct(), "minhash-keys")
-    sigs = signed.groupBy("k").agg(F.first("sig").alias("sig")).join(keys, "k")  # copies are combined before the shuffle
-    wide = stage(sigs.join(texts, "k"), "minhash-wide")
     dealt = rest.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).select("band", "n", F.col("a").alias("k"), "root", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     least = similarity - 3.5 * (similarity * (1 - similarity) / (bands * rows)) ** 0.5
     parts = max(1, int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ordered = dealt.join(wide, "k").repartition(parts, "band", "i", "j").sortWithinPartitions("band", "i", "j")
-    more = ordered.mapInPandas(_compare(bands, rows, least, similarity), "a binary, b binary")
-    return found.unionByName(stage(more, "minhash-more"))
+    ordered = dealt.join(signed.select("k", "sig"), "k").repartition(parts, "band", "i", "j").sortWithinPartitions("band", "i", "j")
+    near = stage(ordered.mapInPandas(_compare(bands, rows, least), "a binary, b binary"), "minhash-near")
+    more = verified(near, "minhash-more")
+    discard(signed, live, degree, leader, pairs, texts, placed, open_, rest, near)
+    return found.unionByName(more)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -273,7 +278,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = near.join(least, "u").filter("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
         least = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(least, "hi").filter("lo != m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
-        now = stage(small.union(least.select("hi", F.col("m").alias("lo"))).distinct(), "components")
+        last, now = now, stage(small.union(least.select("hi", F.col("m").alias("lo"))).distinct(), "components")
+        discard(last)
     return now.select(F.col("hi").alias("k"), F.col("lo").alias("root")).union(now.select(F.col("lo").alias("k"), F.col("lo").alias("root")).distinct())
 
 
@@ -308,6 +314,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     first_rows = members.filter("first").select(F.col("k").alias("fk"), F.col("class_id").alias("c"))
     kept = each.join(first_rows, (F.col("k") == F.col("fk")) & F.col("doc_id").eqNullSafe(F.col("c"))).groupBy("k").agg(F.min("row").alias("kept_row"))
     final = stage(members.join(kept, "k", "left").select("k", "class_id", "class_size", "kept_row"), "minhash-final")
+    discard(nodes, classes, members)
     return ids.join(final.hint("merge"), "k").select("doc_id", "class_id", "class_size", F.coalesce(F.col("row") == F.col("kept_row"), F.lit(False)).alias("keep"), "k")
 
 
@@ -317,14 +324,31 @@ def query(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents")).drop("k")
 
 
+#: DuckDB: all pairs of different texts that share a shingle, their exact similarity, and the components of those alike enough.
+ORACLE = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+t AS (SELECT t, row_number() OVER (ORDER BY min(doc_id)) AS k FROM d GROUP BY t),
+w AS (SELECT k, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM t),
+s AS (SELECT k, array_to_string(w[i:i+{SHINGLE - 1}], ' ') AS g FROM (SELECT k, w, unnest(range(1, greatest(1, len(w) - {SHINGLE - 1}) + 1)) AS i FROM w WHERE len(w) > 0)),
+b AS (SELECT k, g, count(*) AS c FROM s GROUP BY k, g), n AS (SELECT k, sum(c) AS n FROM b GROUP BY k),
+p AS (SELECT x.k AS a, y.k AS b, sum(least(x.c, y.c)) AS c FROM b x JOIN b y ON x.g = y.g AND x.k < y.k GROUP BY x.k, y.k),
+e AS (SELECT p.a, p.b FROM p JOIN n x ON p.a = x.k JOIN n y ON p.b = y.k WHERE CAST(p.c AS DOUBLE) / (x.n + y.n - p.c) >= CAST({SIMILARITY} AS DOUBLE)),
+l AS (SELECT a, b FROM e UNION SELECT b, a FROM e), reach(k, r) AS (SELECT k, k FROM t UNION SELECT reach.k, l.b FROM reach JOIN l ON reach.r = l.a),
+o AS (SELECT k, min(r) AS root FROM reach GROUP BY k), m AS (SELECT d.doc_id, o.root FROM d JOIN t ON d.t = t.t JOIN o ON t.k = o.k),
+c AS (SELECT root, min(doc_id) AS class_id, count(*) AS class_size FROM m GROUP BY root)
+SELECT m.doc_id, c.class_id, c.class_size, m.doc_id = c.class_id AS keep FROM m JOIN c ON m.root = c.root
+"""
+
+
 def drop_near_duplicates(docs: DataFrame, **kw) -> DataFrame:
-    """docs with one document of each near-duplicate class; all columns stay.
+    """docs with one document of each near-duplicate class, that of the smallest doc_id (null last); all columns stay.
 
-    Rows are told apart by doc_id and text; of rows equal in both, one stays.
+    docs needs doc_id and text; its other columns may have any names but __key, __id and __k. Rows are told apart by doc_id and text;
+    of rows equal in both, one stays, whatever their other columns hold. Null texts count as empty, and all texts that are
+    empty are one class; texts are compared whole; an empty table gives none.
     """
     judged = near_duplicates(docs.select("doc_id", "text"), **kw)
     keep = judged.filter("keep").select(F.col("doc_id").alias("__id"), F.col("k").alias("__k"))
-    columns = [docs[c] for c in docs.columns]
     marked = docs.withColumn("__key", text_key(F.col("text")))
     joined = marked.join(keep, F.col("__key").eqNullSafe(F.col("__k")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    return joined.dropDuplicates(["__key", "doc_id"]).select(*docs.columns) if columns else joined
+    return joined.dropDuplicates(["__key", "doc_id"]).select(*docs.columns)

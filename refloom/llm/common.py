@@ -87,15 +87,15 @@ def text_key(col) -> F.Column:
     return F.unhex(F.md5(F.coalesce(col, F.lit("")).cast("binary")))
 
 
-def one_of_each(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
-    """wanted (k and more columns, one row per k) with the text of each k, from keyed (doc_id, k, text).
+def one_of_each(keyed: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """wanted (k and more columns, one row per k; default: every k) with the text of each k, from keyed (doc_id, k, text).
 
     Of equal texts that of the smallest doc_id is taken, by a join on both, so that
     a large group of copies is spread over tasks. Rows equal in both give a row each.
     """
-    names = wanted.columns
     first = keyed.groupBy("k").agg(F.min("doc_id").alias("__id"))
-    chosen = stage(wanted.join(first, "k"), "chosen").withColumnRenamed("k", "__k")
+    names = ["k"] if wanted is None else wanted.columns
+    chosen = stage(first if wanted is None else wanted.join(first, "k"), "chosen").withColumnRenamed("k", "__k")
     # a sort-merge join at every size: AQE splits what is skewed in it
     return keyed.join(chosen.hint("merge"), (F.col("k") == F.col("__k")) & F.col("doc_id").eqNullSafe(F.col("__id"))).select("k", "text", *[c for c in names if c != "k"])
 
