@@ -3,11 +3,14 @@
 Everything that touches all rows is a DataFrame expression: the rules, the features
 the trees, which are compiled to nested conditions, and the suffix statistics, which
 are those of all labelled URLs (those that a rule decides). The trees are fitted on
-the driver on a bounded sample of the distinct ones, each with its number of rows.
+the driver on a bounded sample of the distinct ones, each with its number of rows; what a
+URL of the sample is told of its suffix comes from other folds of the URLs, so its label can't leak into
+its features. evaluate() holds out a fifth of the distinct URLs and gives the log-loss there.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,6 +23,8 @@ from refloom.llm.common import stage
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 #: Bound of the training sample, and the size of the ensemble.
 TRAIN_ROWS, TREES, DEPTH, BINS, RATE, L2 = 20_000, 20, 3, 16, 0.3, 1.0
+#: Distinct labelled URLs fall into folds by a hash; what a URL is told of its suffix comes from the other folds.
+FOLDS = 5
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789./:-_?=&%#+~"
 FEATURES = ("length", "host_length", "labels", "depth", "digit_ratio", "entropy", "parameters", "fragment", "hyphens", "suffix_rate", "suffix_count")
@@ -83,6 +88,7 @@ class Trees:
     base: float
     trees: list
     prior: float  # the share of blocked among all labelled rows, for suffixes without a label
+    labelled: int  # how many labelled rows there are
 
     def score(self) -> Column:
         def column(node) -> Column:
@@ -97,6 +103,37 @@ class Trees:
         return out
 
 
+def margins(base: float, trees: list, x: np.ndarray) -> Iterator[np.ndarray]:
+    """The margin of each row of x with no tree, with one, with two..."""
+    out = np.full(len(x), base)
+    yield out.copy()
+
+    def add(node, rows: np.ndarray) -> None:
+        if isinstance(node, tuple):
+            left = x[rows, node[0]] <= node[1]
+            add(node[2], rows[left])
+            add(node[3], rows[~left])
+        else:
+            out[rows] += node
+
+    for tree in trees:
+        add(tree, np.arange(len(x)))
+        yield out.copy()
+
+
+def useful_trees(x: np.ndarray, y: np.ndarray, weight: np.ndarray, fold: np.ndarray, **kw) -> int:
+    """How many trees have the least log-loss on rows held out, over all folds."""
+    if len(y) < 2 * FOLDS:
+        return kw.get("trees", TREES)
+    loss = 0.0
+    for k in range(FOLDS):
+        out = fold == k
+        steps = margins(*boost(x[~out], y[~out], weight=weight[~out], **kw), x[out])
+        each = np.array([(weight[out] * np.logaddexp(0, np.where(y[out] > 0, -m, m))).sum() for m in steps])
+        loss = loss + np.pad(each, (0, kw.get("trees", TREES) + 1 - len(each)), "edge")
+    return int(np.argmin(loss))
+
+
 def boost(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH, bins: int = BINS, rate: float = RATE, weight: np.ndarray | None = None) -> tuple[float, list]:
     """Gradient-boosted trees for the logistic loss, with histograms of gradients per bin; a row counts weight times."""
     if not len(y):
@@ -139,22 +176,59 @@ def train(labelled: DataFrame, rows: int = TRAIN_ROWS) -> tuple[Trees, DataFrame
     """(trees, statistics by suffix) from labelled URLs (columns of lexical() and label 0/1).
 
     The statistics are of all labelled rows. The trees are fitted on at most ``rows`` distinct URLs, the first
-    by a hash of the URL, with the number of their rows as weights.
+    by a hash of the URL, with the number of their rows as weights; there are as many trees as lower the log-loss on held-out folds.
     """
     total, blocked, urls = labelled.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0)), F.approx_count_distinct("url")).first()
     prior = (blocked + 1) / (total + 2)
-    by_suffix = labelled.groupBy("suffix").agg(F.sum("label").alias("b"), F.count("*").alias("n"))
-    stats = stage(by_suffix.select(F.col("suffix").alias("s"), ((F.col("b") + 5 * prior) / (F.col("n") + 5)).alias("f_suffix_rate"), F.log1p("n").alias("f_suffix_count")), "url-suffixes")
+    fold = F.pmod(F.xxhash64(F.concat(F.lit("fold"), "url")), F.lit(FOLDS)).cast("int")
+    by_fold = stage(labelled.groupBy("suffix", fold.alias("in_fold")).agg(F.sum("label").alias("fb"), F.count("*").alias("fn")), "url-folds")
+    by_suffix = stage(by_fold.groupBy("suffix").agg(F.sum("fb").alias("b"), F.sum("fn").alias("n")), "url-suffixes")
+
+    def described(b, n) -> tuple:
+        return ((b + 5 * prior) / (n + 5)).alias("f_suffix_rate"), F.log1p(n).alias("f_suffix_count")
+
     # few more hashes than needed pass, so that the limit below has little to sort
     bound = 1 << 40
     h = F.pmod(F.xxhash64("url"), F.lit(bound))
     features = [f"f_{n}" for n in FEATURES[:-2]]
     chosen = labelled.filter(h < min(bound, bound * (2 * rows + 64) // max(1, urls))).groupBy("url", "suffix", "label", *features).agg(F.count("*").alias("weight"))
     chosen = chosen.withColumn("h", h).orderBy("h", "url").limit(rows)
-    sample = sorted((tuple(r) for r in chosen.join(stats, F.col("suffix") == F.col("s")).select("url", "label", "weight", *(f"f_{n}" for n in FEATURES)).toLocalIterator()), key=lambda r: r[0] or "")
-    x = np.array([r[3:] for r in sample], np.float64).reshape(len(sample), len(FEATURES))
-    base, trees = boost(x, np.array([r[1] for r in sample], np.float64), weight=np.array([r[2] for r in sample], np.float64))
-    return Trees(base, trees, float(prior)), stats
+    others = described(F.col("b") - F.coalesce("fb", F.lit(0)), F.col("n") - F.coalesce("fn", F.lit(0)))
+    known = chosen.withColumn("fold", fold).join(by_suffix.withColumnRenamed("suffix", "s"), F.col("suffix") == F.col("s"))
+    wide = known.join(by_fold.withColumnRenamed("suffix", "fs"), (F.col("suffix") == F.col("fs")) & (F.col("fold") == F.col("in_fold")), "left").select("url", "label", "weight", "fold", *features, *others)
+    sample = sorted((tuple(r) for r in wide.toLocalIterator()), key=lambda r: r[0] or "")
+    x = np.array([r[4:] for r in sample], np.float64).reshape(len(sample), len(FEATURES))
+    y, weight, folds = (np.array([r[i] for r in sample], np.float64) for i in (1, 2, 3))
+    base, trees = boost(x, y, trees=useful_trees(x, y, weight, folds), weight=weight)
+    return Trees(base, trees, float(prior), total), by_suffix.select(F.col("suffix").alias("s"), *described(F.col("b"), F.col("n")))
+
+
+def scored(urls: DataFrame, model: Trees, stats: DataFrame) -> DataFrame:
+    """Adds score, the trees' probability of a block, to columns of lexical()."""
+    known = urls.join(stats, F.col("suffix") == F.col("s"), "left").fillna({"f_suffix_rate": model.prior, "f_suffix_count": 0.0})
+    return known.withColumn("score", 1 / (1 + F.exp(-model.score())) if model.labelled else F.lit(0.0))
+
+
+def evaluate(pages: DataFrame, rules=RULES, train_rows: int = TRAIN_ROWS) -> DataFrame:
+    """Held-out figures of the trees: n, accuracy, log_loss, and prior_log_loss (that of the labels' share alone).
+
+    A fifth of the labelled distinct URLs, by a hash, is judged by trees and statistics from the other four.
+    """
+    labelled = _labelled(lexical(_judged(pages, rules)))
+    held = F.pmod(F.xxhash64(F.concat(F.lit("held"), "url")), F.lit(5)) == 0
+    model, stats = train(labelled.filter(~held), train_rows)
+    p = F.least(F.greatest("score", F.lit(1e-6)), F.lit(1 - 1e-6))
+    loss = lambda q: -F.avg(F.col("label") * F.log(q) + (1 - F.col("label")) * F.log(1 - q))
+    return scored(labelled.filter(held), model, stats).agg(F.count("*").alias("n"), F.avg(((F.col("score") >= 0.5) == (F.col("label") == 1)).cast("double")).alias("accuracy"), loss(p).alias("log_loss"), loss(F.lit(model.prior)).alias("prior_log_loss"))
+
+
+def _judged(pages: DataFrame, rules) -> DataFrame:
+    host, path = split_url(F.col("url"))
+    return pages.select("page_id", "url", host.alias("host"), path.alias("path")).withColumn("r", rule_of(F.col("host"), F.col("path"), rules))
+
+
+def _labelled(wide: DataFrame) -> DataFrame:
+    return wide.filter("r.verdict is not null").select("*", (F.col("r.verdict") == "block").cast("int").alias("label"))
 
 
 def filter_urls(pages: DataFrame, rules=RULES, train_rows: int = TRAIN_ROWS) -> DataFrame:
@@ -168,16 +242,10 @@ def filter_urls(pages: DataFrame, rules=RULES, train_rows: int = TRAIN_ROWS) ->
     allow all (a score of 0.5 or more needs evidence). Repeated rows get equal
     results; an empty table gives none.
     """
-    host, path = split_url(F.col("url"))
-    judged = pages.select("page_id", "url", host.alias("host"), path.alias("path")).withColumn("r", rule_of(F.col("host"), F.col("path"), rules))
-    wide = lexical(judged)
-    label = (F.col("r.verdict") == "block").cast("int").alias("label")
-    model, stats = train(wide.filter("r.verdict is not null").select("*", label), train_rows)
-    scored = wide.join(stats, F.col("suffix") == F.col("s"), "left").fillna({"f_suffix_rate": model.prior if model.trees else 0.0, "f_suffix_count": 0.0})
-    score = 1 / (1 + F.exp(-model.score())) if model.trees else F.lit(0.0)
-    scored = scored.withColumn("score", score)
+    wide = lexical(_judged(pages, rules))
+    model, stats = train(_labelled(wide), train_rows)
     verdict = F.coalesce("r.verdict", F.when(F.col("score") >= 0.5, "block").otherwise("allow"))
-    return scored.select("page_id", "host", "path", F.col("r.rule").alias("rule"), verdict.alias("verdict"), "score")
+    return scored(wide, model, stats).select("page_id", "host", "path", F.col("r.rule").alias("rule"), verdict.alias("verdict"), "score")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -1,8 +1,10 @@
 import re
 
+import duckdb
 import numpy as np
+from pyspark.sql import functions as F
 
-from refloom.llm.url_filter import RULES, boost, filter_urls, lexical, rule_of, split_url, train
+from refloom.llm.url_filter import FEATURES, RULES, boost, evaluate, filter_urls, lexical, rule_of, scored, split_url, train, useful_trees
 
 
 def brute(url):
@@ -55,8 +57,6 @@ def test_trees_learn_an_interaction():
 
 
 def labelled(pages):
-    from pyspark.sql import functions as F
-
     host, path = split_url(F.col("url"))
     wide = lexical(pages.select("url", host.alias("host"), path.alias("path")).withColumn("r", rule_of(F.col("host"), F.col("path"))))
     return wide.filter("r.verdict is not null").withColumn("label", (F.col("r.verdict") == "block").cast("int"))
@@ -102,3 +102,74 @@ def test_empty_table_and_no_labels(spark):
     pages = spark.createDataFrame([(1, "http://a.com/x"), (2, None)], "page_id long, url string")
     assert [x.verdict for x in filter_urls(pages).collect()] == ["allow", "allow"]
     assert filter_urls(pages.limit(0)).collect() == []
+
+
+def test_compiled_conditions_equal_the_trees(spark):
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(URLS)], "page_id long, url string")
+    model, stats = train(labelled(pages))
+    assert model.trees
+    got = scored(labelled(pages), model, stats).select("score", *[f"f_{n}" for n in FEATURES]).collect()
+
+    def value(node, row):
+        while isinstance(node, tuple):
+            node = node[2] if row[node[0] + 1] <= node[1] else node[3]
+        return node
+
+    for row in got:
+        margin = model.base + sum(value(t, row) for t in model.trees)
+        assert abs(row.score - 1 / (1 + np.exp(-margin))) < 1e-9
+
+
+def test_held_out_loss_is_below_the_prior(spark):
+    # labels that lexical features can tell: deep paths with numbers are blocked
+    rows = [(i, f"http://h{i % 37}.org/fr/{'9/8/7/' if i % 3 else 'a'}{i}") for i in range(1500)]
+    rules = (("allow", "org/fr/"), ("block", "org/fr/9/"))
+    x = evaluate(spark.createDataFrame(rows, "page_id long, url string"), rules).first()
+    assert x.n > 200 and x.log_loss < 0.2 * x.prior_log_loss and x.accuracy > 0.98
+
+
+def test_labels_that_no_feature_tells_give_no_trees():
+    r = np.random.default_rng(3)
+    x, y, w = r.random((400, 6)), (r.random(400) < 0.5).astype(float), np.ones(400)
+    fold = np.arange(400) % 5
+    assert useful_trees(x, y, w, fold) <= 2 and useful_trees(x, (x[:, 2] > 0.4).astype(float), w, fold) > 10
+
+
+def test_held_out_loss_on_pages_is_no_worse_than_the_prior(spark):
+    x = evaluate(spark.read.parquet("/root/testdata/sf0.1/pages.parquet")).first()
+    assert x.n > 100 and x.log_loss < 1.02 * x.prior_log_loss
+
+
+def test_a_url_is_not_told_its_own_label(spark):
+    # hosts of one URL each, labelled at random: a leaking suffix rate would separate them
+    pages = spark.createDataFrame([(i, f"http://h{i}q.{'net' if i * 7919 % 13 < 6 else 'org'}/fr/x") for i in range(300)], "page_id long, url string")
+    rows = labelled(pages).withColumn("suffix", F.concat(F.lit("only"), F.col("url"))).withColumn("label", (F.pmod(F.hash("url"), F.lit(2))).cast("int"))
+    model, _ = train(rows)
+    assert not any(_uses(t, len(FEATURES) - 2) for t in model.trees)
+
+
+def _uses(node, feature):
+    return isinstance(node, tuple) and (node[0] == feature or _uses(node[2], feature) or _uses(node[3], feature))
+
+
+def test_long_urls_and_repeated_rows(spark):
+    long = "http://a.com/" + "x/1?" * 100_000
+    pages = spark.createDataFrame([(1, long), (1, long), (2, "http://" + "h" * 50_000 + ".net/")], "page_id long, url string")
+    got = filter_urls(pages).collect()
+    assert len(got) == 3 and got[0] == got[1]
+    assert [(x.rule, x.verdict, len(x.host)) for x in got if x.page_id == 2] == [("net/", "block", 50_004)]
+
+
+def test_base_columns_equal_sql(spark):
+    sf_dir = "/root/testdata/sf0.01"
+    rule = lambda host, tail: f"(host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '/{tail}')"
+    by_length = sorted(RULES, key=lambda x: -len(x[1]))
+    case = " ".join(f"WHEN {rule(*r.split('/', 1))} THEN '{r}'" for _, r in by_length)
+    sql = rf"""
+      WITH s AS (SELECT page_id, CASE WHEN contains(url, '://') THEN regexp_extract(substr(url, instr(url, '://') + 3), '^[^?#]*', 0) ELSE '' END AS stem FROM '{sf_dir}/pages.parquet'),
+      h AS (SELECT page_id, stem, regexp_extract(stem, '^[^/]*', 0) AS host FROM s),
+      p AS (SELECT page_id, translate(host, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, substr(stem, length(host) + 1) AS path FROM h)
+      SELECT page_id, host, path, CASE {case} END AS rule FROM p"""
+    want = duckdb.sql(sql).fetchall()
+    got = filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "host", "path", "rule").collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
