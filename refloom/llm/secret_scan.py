@@ -129,6 +129,17 @@ def trigram_query(regex: str) -> list[frozenset[str]] | None:
     return None if query is None else sorted(set(query), key=sorted)
 
 
+def index_regex(vocabulary: list[str]) -> str:
+    """A regex that finds, at each place of a text, the trigram of the vocabulary that stands there (group 1): a trie, looked ahead."""
+    quote = lambda c: c if c.isalnum() else "\\" + c
+    tree: dict[str, dict[str, list[str]]] = {}
+    for a, b, c in vocabulary:
+        tree.setdefault(a, {}).setdefault(b, []).append(c)
+    one = lambda chars: "[" + "".join(map(quote, chars)) + "]"
+    branches = [quote(a) + "(?:" + "|".join(quote(b) + one(c) for b, c in sorted(inner.items())) + ")" for a, inner in sorted(tree.items())]
+    return f"(?=({'|'.join(branches)}))"
+
+
 _MATCHES = "array<struct<rule:int,i:int,gap:int,whole:int,good:boolean>>"
 
 
@@ -153,7 +164,7 @@ def _spans(keyed: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     every = []
     if vocabulary:
         low = keyed.select("k", F.lower("text").alias("low"))
-        grams = F.array_compact(F.array(*[F.when(F.contains("low", F.lit(g)), F.lit(g)) for g in vocabulary]))
+        grams = F.array_distinct(F.regexp_extract_all("low", F.lit(index_regex(vocabulary)), F.lit(1)))  # one pass over the text
         postings = low.select("k", F.explode(grams).alias("gram"))
         wanted = F.broadcast(spark.createDataFrame(terms, "rule int, part int, gram string, bit long, all long"))  # its size depends on the rules only
         met = postings.join(wanted, "gram").groupBy("k", "rule", "part", "all").agg(F.bit_or("bit").alias("bits")).filter(F.col("bits") == F.col("all"))
@@ -231,3 +242,27 @@ def query(spark, sf_dir: str) -> DataFrame:
 
     found = scan(read(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(F.col("base_spans").cast("binary"), 256).alias("base_sha256"), "spans")
+
+
+def _oracle() -> str:
+    """DuckDB: each rule scans every text; a match starts after all pieces and matches before it."""
+    scans = []
+    for n, r in enumerate(RULES):
+        regex = r.regex.replace("'", "''")
+        scans.append(f"SELECT row, {n} AS rule, string_split_regex(t, '{regex}') AS p, regexp_extract_all(t, '{regex}', 0) AS w, regexp_extract_all(t, '{regex}', {r.group}) AS g, {r.least} AS least FROM d")
+    kinds = ", ".join(f"'{r.kind}'" for r in RULES)
+    base = ", ".join(str(n) for n, r in enumerate(RULES) if r.base)
+    counts = ", ".join(f"count_if(rule = {n}) AS n_{r.kind}" for n, r in enumerate(RULES) if r.base)
+    names = [f"n_{r.kind}" for r in RULES if r.base]
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, row_number() OVER () AS row FROM documents),
+s AS ({" UNION ALL ".join(scans)}),
+m AS (SELECT row, rule, i, length(p[i]) AS gap, length(w[i]) AS whole, length(g[i]) >= least AS good FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM s)),
+x AS (SELECT row, rule, good, whole, CAST(sum(gap + whole) OVER (PARTITION BY row, rule ORDER BY i) AS BIGINT) AS stop FROM m),
+f AS (SELECT row, rule, stop - whole AS start, ([{kinds}])[rule + 1] || ':' || (stop - whole) || ':' || stop AS span FROM x WHERE good),
+a AS (SELECT row, {counts}, string_agg(span, ',' ORDER BY start, rule) FILTER (WHERE rule IN ({base})) AS base, string_agg(span, ',' ORDER BY start, rule) AS spans FROM f GROUP BY row)
+SELECT doc_id, {", ".join(f"CAST(coalesce({c}, 0) AS BIGINT) AS {c}" for c in names)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN a ON d.row = a.row
+"""
+
+
+ORACLE = _oracle()
