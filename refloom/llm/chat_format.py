@@ -175,3 +175,26 @@ def query(spark, sf_dir: str) -> DataFrame:
     extra = spark.createDataFrame([(-7, 0, "user", HOSTILE), (-7, 1, "assistant", HOSTILE)], "conv_id long, turn long, role string, text string")
     turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
     return read_back(format_chat(turns))
+
+
+#: DuckDB: a turn is escaped at the least level at which it reparses. At 0 there must be no backslash, no end mark in the text and no
+#: ': ' in the role; at 1, which escapes backslashes and end marks, no ': ' in the role; 2 escapes '###' and all colons too.
+def _oracle() -> str:
+    one = "replace(replace(replace({x}, '\\', '\\\\'), ' </turn>' || chr(10), '\\ </turn>' || chr(10)), '</turn>', '\\</turn>')"
+    two = f"replace(replace({one}, '###', '\\###'), ':', '\\:')"
+    plain = "NOT contains(r || t, '\\') AND NOT contains(t, ' </turn>' || chr(10))"
+    escaped = {x: f"CASE WHEN contains(r, ': ') THEN {two.format(x=x)} WHEN {plain} THEN {x} ELSE {one.format(x=x)} END" for x in "rt"}
+    return f"""
+WITH c AS (
+  SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations
+  UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '{HOSTILE}'), (-7, 1, 'assistant', '{HOSTILE}')) v(a, b, c, d)
+), e AS (SELECT *, '### ' || {escaped['r']} || ': ' || {escaped['t']} || ' </turn>' || chr(10) AS rendered FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(r || chr(10) || t || chr(10), '' ORDER BY turn NULLS FIRST, rendered)) AS turns_sha256,
+  CAST(coalesce(sum(length(t)) FILTER (WHERE r = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(t, '' ORDER BY turn NULLS FIRST, rendered) FILTER (WHERE r = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length(rendered)) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+
+ORACLE = _oracle()

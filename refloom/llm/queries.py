@@ -21,4 +21,13 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc": warc.ORACLE, "op8_mix_sources": mixing.ORACLE}
+    """SQL of the queries that it can express: not of boosted trees, kernel regression and greedy tiling."""
+    return {
+        "op1_bag_minhash": bag_minhash.ORACLE,
+        "op3_suffix_dedup": suffix_dedup.ORACLE,
+        "op4_warc": warc.ORACLE,
+        "op5_repetition_rules": repetition.ORACLE,
+        "op6_chat_format": chat_format.ORACLE,
+        "op7_secret_scan": secret_scan.ORACLE,
+        "op8_mix_sources": mixing.ORACLE,
+    }

@@ -154,11 +154,16 @@ def repetition_rules(
     """Judge each whole text; returns the columns ``carry`` and the figures of FIGURES.
 
     docs needs text and the columns of carry (which may hold text); columns beside these
-    are not read, and none of carry may be named like a figure. A null or empty text has
+    are not read, and a name in carry that is a figure's is an error, as is a min_repeat under 3. A null or empty text has
     no word and fails the base rules; rows are judged one by one, so repeated rows get
     equal figures; an empty table gives none. Texts go through in batches of about
     batch_bytes, a longer text alone.
     """
+    clash = {x.split()[0] for x in FIGURES.split(", ")} & set(carry)
+    if clash:
+        raise ValueError(f"carry names figures of the result: {', '.join(sorted(clash))}")
+    if min_repeat < 3:
+        raise ValueError("min_repeat must be at least 3")
     small_batches(docs.sparkSession)
     chosen = docs.select(*carry, F.col("text").alias("__text"))
 
@@ -184,3 +189,23 @@ def query(spark, sf_dir: str) -> DataFrame:
     from refloom.llm.common import read
 
     return repetition_rules(read(spark, sf_dir, "documents"))
+
+
+#: DuckDB: a word is covered if a window of MIN_REPEAT words around it occurs twice in its text; the longest repeat is the longest
+#: stretch of places whose windows are equal to those a fixed distance further on.
+ORACLE = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, row_number() OVER () AS row FROM documents),
+w AS (SELECT row, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM d),
+u AS (SELECT row, len(w) AS n, i, w[i] AS a, w[i:i+2] AS three, CASE WHEN i + {MIN_REPEAT - 1} <= len(w) THEN md5_number(array_to_string(w[i:i+{MIN_REPEAT - 1}], ' ')) END AS ten FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM w)),
+c AS (SELECT *, i + 2 <= n AND count(*) OVER (PARTITION BY row, three) > 1 AS again3, ten IS NOT NULL AND count(*) OVER (PARTITION BY row, ten) > 1 AS again10 FROM u),
+v AS (SELECT row, a, bool_or(again3) OVER (PARTITION BY row ORDER BY i ROWS 2 PRECEDING) AS in3, bool_or(again10) OVER (PARTITION BY row ORDER BY i ROWS {MIN_REPEAT - 1} PRECEDING) AS in10 FROM c),
+f AS (SELECT row, count(*) AS n_words, sum(length(a)) AS word_chars, count_if(in3) AS n_repeat_words, count_if(in10) AS covered_words FROM v GROUP BY row),
+p AS (SELECT x.row, x.i, y.i - x.i AS gap FROM c x JOIN c y ON x.row = y.row AND x.ten = y.ten AND x.i < y.i WHERE x.again10 AND y.again10),
+r AS (SELECT row, max(k) + {MIN_REPEAT - 1} AS longest FROM (SELECT row, count(*) AS k FROM (SELECT row, gap, i - row_number() OVER (PARTITION BY row, gap ORDER BY i) AS island FROM p) GROUP BY row, gap, island) GROUP BY row),
+l AS (SELECT row, count(*) - count(DISTINCT line) AS n_dup_lines FROM (SELECT row, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY row),
+g AS (SELECT doc_id, coalesce(n_words, 0) AS n_words, CAST(coalesce(word_chars, 0) AS BIGINT) AS word_chars, CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
+  CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(covered_words, 0) AS BIGINT) AS covered_words, CAST(coalesce(longest, 0) AS BIGINT) AS longest_repeat
+  FROM d LEFT JOIN f ON d.row = f.row LEFT JOIN r ON d.row = r.row LEFT JOIN l ON d.row = l.row),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM g)
+SELECT *, NOT base_failed AND covered_words <= CAST({MAX_COVERED} AS DOUBLE) * n_words AND longest_repeat <= greatest({MAX_LONGEST}, CAST({MAX_LONGEST_SHARE} AS DOUBLE) * n_words) AS kept FROM b
+"""

@@ -433,3 +433,18 @@ def query(spark, sf_dir: str) -> DataFrame:
     from refloom.llm.common import read
 
     return suffix_dedup(read(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+#: DuckDB: every 200-byte string of every text by its start, counted over all; texts are spelt in hex, two characters a byte.
+ORACLE = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, row_number() OVER () AS row FROM documents),
+w AS (SELECT row, i, md5_number(substr(h, 2 * i + 1, 400)) AS s FROM (SELECT row, h, unnest(range(0, length(h) // 2 - 199)) AS i FROM d WHERE length(h) >= 400)),
+a AS (SELECT row, i FROM (SELECT row, i, count(*) OVER (PARTITION BY s) AS c FROM w) WHERE c > 1),
+g AS (SELECT row, i, sum(CAST(i > coalesce(p + 200, -1) AS INT)) OVER (PARTITION BY row ORDER BY i) AS k FROM (SELECT row, i, lag(i) OVER (PARTITION BY row ORDER BY i) AS p FROM a)),
+r AS (SELECT row, k, min(i) AS b, max(i) + 200 AS e FROM g GROUP BY row, k),
+q AS (SELECT *, lag(e, 1, 0) OVER (PARTITION BY row ORDER BY k) AS p FROM r),
+x AS (SELECT d.row, sum(e - b) AS n_removed, count(*) AS n_spans, max(e) AS last, string_agg(substr(h, 2 * p + 1, 2 * (b - p)), '' ORDER BY k) AS kept FROM q JOIN d ON q.row = d.row GROUP BY d.row)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(CASE WHEN n_spans IS NULL THEN h ELSE kept || substr(h, 2 * last + 1) END)) AS kept_sha256
+FROM d LEFT JOIN x ON d.row = x.row
+"""

@@ -2,6 +2,8 @@ import random
 import re
 from collections import Counter
 
+import pytest
+
 from refloom.llm.repetition import MAX_COVERED, MAX_LONGEST, MAX_LONGEST_SHARE, repetition_rules
 
 
@@ -49,3 +51,21 @@ def test_empty_and_repeated_rows(spark):
     schema = "doc_id long, text string"
     assert repetition_rules(spark.createDataFrame([], schema)).collect() == []
     assert len(repetition_rules(spark.createDataFrame([(None, "a"), (None, "a")], schema)).collect()) == 2
+
+
+def test_names_that_clash_and_short_repeats_are_errors(spark):
+    docs = spark.createDataFrame([(1, "a", True)], "doc_id long, text string, kept boolean")
+    with pytest.raises(ValueError, match="kept"):
+        repetition_rules(docs, carry=("doc_id", "kept"))
+    with pytest.raises(ValueError, match="min_repeat"):
+        repetition_rules(docs, min_repeat=2)
+    assert repetition_rules(docs, carry=("doc_id", "text")).first().text == "a"
+
+
+def test_very_long_text(spark):
+    r = random.Random(5)
+    words = [f"w{r.randrange(10**9)}" for _ in range(200_000)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words + words[:50_000]))], "doc_id long, text string")
+    got = {x.doc_id: x for x in repetition_rules(docs).collect()}
+    assert (got[1].n_words, got[1].longest_repeat, got[1].kept) == (200_000, 0, True)
+    assert (got[2].n_words, got[2].longest_repeat, got[2].covered_words) == (250_000, 50_000, 100_000)
