@@ -103,6 +103,8 @@ def tile(pattern: list[int], text: list[int], min_match: int = MIN_MATCH) -> lis
 
 _P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _LEAST_BITS, _MOST_BITS = 16, 27
+#: The places of a seed in the bitmap, from its two hashes.
+PROBES = (lambda h, g: h, lambda h, g: g, lambda h, g: h >> np.uint64(32))
 CHUNK_CHARS = 1 << 20
 
 
@@ -177,17 +179,19 @@ def _scan(shared, sizes: tuple[int, ...]):
                     end += 1
                 lines = [tokens(t) for t in texts[at:end]]
                 ends = np.cumsum([len(x) for x in lines])
+                begins = np.concatenate(([0], ends[:-1]))
                 ids = np.fromiter(map(hashes.__getitem__, chain.from_iterable(lines)), np.uint64, int(ends[-1]))
                 rows = []
                 for size in sizes:
                     h, g = _seeds(ids, size)
-                    bit = h & mask
-                    found = np.flatnonzero((bitmap[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1)
+                    found = np.arange(len(h))
+                    for probe in PROBES:  # each sees only what the ones before let through
+                        bit = probe(h[found], g[found]) & mask
+                        found = found[((bitmap[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)]
                     doc = np.searchsorted(ends, found, "right")
                     inside = found + size <= ends[doc] if len(found) else np.zeros(0, bool)
                     found, doc = found[inside], doc[inside]
-                    begin = ends[doc] - np.fromiter((len(lines[d]) for d in doc.tolist()), np.int64, len(doc))
-                    rows += [(keys[at + d], a, b, x.tolist()) for d, a, b, x in _grouped(doc, h[found], g[found], found - begin)]
+                    rows += [(keys[at + d], a, b, x.tolist()) for d, a, b, x in _grouped(doc, h[found], g[found], found - begins[doc])]
                 if rows:
                     yield pd.DataFrame(rows, columns=["k", "h", "g", "ps"])
                 at = end
@@ -230,11 +234,12 @@ FOUND = "k binary, ik binary, item_tokens long, covered_tokens long, n_tiles lon
 
 
 def _bitmap(seeds: DataFrame) -> bytes:
-    """A bit for each seed hash: 16 bits a seed, within fixed bounds, built by groups of 32,768 bits."""
-    count = seeds.count()
-    bits = min(_MOST_BITS, max(_LEAST_BITS, (16 * count).bit_length()))
-    at = F.col("h").bitwiseAND((1 << bits) - 1)
-    parts = seeds.groupBy(F.shiftright(at, 15).alias("b")).agg(F.bitmap_construct_agg((at % 32768)).alias("m"))
+    """Three places for each seed (PROBES) among 64 bits a seed or more, within fixed bounds, built by groups of 32,768 bits."""
+    bits = min(_MOST_BITS, max(_LEAST_BITS, (64 * seeds.count()).bit_length()))
+    at = F.col("at")
+    places = F.array(F.col("h"), F.col("g"), F.shiftrightunsigned("h", 32))
+    placed = seeds.select(F.explode(places).alias("p")).select(F.col("p").bitwiseAND((1 << bits) - 1).alias("at"))
+    parts = placed.groupBy(F.shiftright(at, 15).alias("b")).agg(F.bitmap_construct_agg((at % 32768)).alias("m"))
     out = bytearray(1 << (bits - 3))
     for row in parts.toLocalIterator():  # 4 KiB a row, 16 MiB at most
         out[row["b"] * 4096 : (row["b"] + 1) * 4096] = row["m"]
