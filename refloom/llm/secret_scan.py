@@ -1,8 +1,8 @@
 """Secret scanning by a trigram inverted index.
 
 From each rule's regex a Boolean query over trigrams is derived: a match must
-contain all trigrams of one of the query's conjunctions. The index lists, for each
-trigram that some query names, the texts that contain it (in lower case, so that
+contain all trigrams of one of the query's conjunctions. The index lists, for each of the two rarest
+trigrams of a conjunction, the texts that contain it (in lower case, so that
 one index serves rules of either case). Postings are intersected by counting the
 trigrams of each conjunction per text; candidates are then verified by the regex itself. A
 rule whose query is empty (no trigram is mandatory) scans every text. Equal texts are one entry.
@@ -129,15 +129,16 @@ def trigram_query(regex: str) -> list[frozenset[str]] | None:
     return None if query is None else sorted(set(query), key=sorted)
 
 
-def index_regex(vocabulary: list[str]) -> str:
-    """A regex that finds, at each place of a text, the trigram of the vocabulary that stands there (group 1): a trie, looked ahead."""
-    quote = lambda c: c if c.isalnum() else "\\" + c
-    tree: dict[str, dict[str, list[str]]] = {}
-    for a, b, c in vocabulary:
-        tree.setdefault(a, {}).setdefault(b, []).append(c)
-    one = lambda chars: "[" + "".join(map(quote, chars)) + "]"
-    branches = [quote(a) + "(?:" + "|".join(quote(b) + one(c) for b, c in sorted(inner.items())) + ")" for a, inner in sorted(tree.items())]
-    return f"(?=({'|'.join(branches)}))"
+#: Letters from frequent to rare; trigrams of rare ones are looked up, as few texts have them.
+_BY_FREQUENCY = "etaoinshrdlcumwfgypbvkjxqz"
+#: Trigrams of a conjunction that are looked up; leaving some out only adds candidates.
+LOOKED_UP = 2
+
+
+def rarest(conjunction: frozenset[str], most: int = LOOKED_UP) -> list[str]:
+    """The trigrams of a conjunction that texts are least likely to have; what is no letter is rarer than all letters."""
+    rank = lambda c: _BY_FREQUENCY.index(c) if c in _BY_FREQUENCY else len(_BY_FREQUENCY)
+    return sorted(conjunction, key=lambda g: (-sum(map(rank, g)), g))[:most]
 
 
 _MATCHES = "array<struct<rule:int,i:int,gap:int,whole:int,good:boolean>>"
@@ -158,13 +159,12 @@ def _spans(keyed: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     """(k, rule, start, end) of each span in each different text; keyed has doc_id, text and k, its content key."""
     spark = keyed.sparkSession
     queries = [trigram_query(r.regex) for r in rules]
-    # of a conjunction, 62 trigrams are enough: a bit each, and leaving some out only adds candidates
-    terms = [(n, c, gram, 1 << b, (1 << min(len(conj), 62)) - 1) for n, q in enumerate(queries) if q for c, conj in enumerate(q) for b, gram in enumerate(sorted(conj)[:62])]
+    terms = [(n, c, gram, 1 << b, (1 << min(len(conj), LOOKED_UP)) - 1) for n, q in enumerate(queries) if q for c, conj in enumerate(q) for b, gram in enumerate(rarest(conj))]
     vocabulary = sorted({t[2] for t in terms})
     every = []
     if vocabulary:
         low = keyed.select("k", F.lower("text").alias("low"))
-        grams = F.array_distinct(F.regexp_extract_all("low", F.lit(index_regex(vocabulary)), F.lit(1)))  # one pass over the text
+        grams = F.array_compact(F.array(*[F.when(F.contains("low", F.lit(g)), F.lit(g)) for g in vocabulary]))
         postings = low.select("k", F.explode(grams).alias("gram"))
         wanted = F.broadcast(spark.createDataFrame(terms, "rule int, part int, gram string, bit long, all long"))  # its size depends on the rules only
         met = postings.join(wanted, "gram").groupBy("k", "rule", "part", "all").agg(F.bit_or("bit").alias("bits")).filter(F.col("bits") == F.col("all"))
