@@ -12,12 +12,12 @@ same hierarchy of a shingle, so the signature, the earliest time in each compone
 between two documents in a component with the probability of their
 weighted Jaccard similarity. Most shingles stop after a point or two.
 
-Signatures are cut into bands; each different text has one. In a band's bucket all members are first compared with
+Signatures are cut into bands. In a band's bucket all members are first compared with
 one leader, not with each other: the text that meets most others in all buckets, such as
 the original of edited copies. In the buckets that still hold several classes, members of different
-classes are then compared by their whole signatures, without texts, in blocks of bounded size; only
-pairs whose signatures agree nearly enough go on, each once. Candidates are verified by the
-overlap of the shingle multisets, and classes are the connected components of verified
+classes are then compared by their whole signatures, in blocks of bounded size; only
+pairs whose signatures agree nearly enough are verified, in the same task, so that no pairs of a group are
+written anywhere. Candidates are verified by the overlap of the shingle multisets, and classes are the connected components of verified
 links. Equal texts are one node throughout. A link of exactly the least similarity
 shares no bucket with a chance of 3e-6, and its signatures agree too little with one of 2e-4, should
 no other path connect the two texts.
@@ -135,11 +135,15 @@ def band_hashes(reg: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def _sign(bands: int, rows: int):
-    """Band hashes of each text, and its signature as 16 bits of each component."""
+    """Band hashes of each text, and its signature as 16 bits of each component. A task signs the copies that it meets once."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = WordHashes()
+        hashes, met = WordHashes(), set()
         for batch in batches:
+            if len(met) > 200_000:
+                met.clear()
+            new = [k not in met and not met.add(k) for k in batch["k"]]
+            batch = batch[new]
             sets = [weighted(x, hashes) for x in batch["text"]]
             some = [i for i, x in enumerate(sets) if len(x[0])]
             if some:
@@ -150,20 +154,26 @@ def _sign(bands: int, rows: int):
     return run
 
 
-def _compare(bands: int, rows: int, least: float):
-    """Candidates in a bucket between its classes so far. Rows come sorted by bucket and pair of blocks.
+def _compare(bands: int, rows: int, least: float, similarity: float):
+    """Links in a bucket between its classes so far. Rows come sorted by bucket and pair of blocks.
 
     Members of different classes are compared by signature; those that agree in a share of at least ``least``
-    of their components are candidates, each pair in the first of its common buckets.
+    of their components are verified, each pair in the first of its common buckets.
     """
 
-    def group(parts: list[pd.DataFrame], out: list[tuple]) -> None:
+    def group(parts: list[pd.DataFrame], hashes: WordHashes, out: list[tuple]) -> None:
         pdf = parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
         n, first, second = (int(pdf[c].iloc[0]) for c in ("n", "i", "j"))
         sig = np.frombuffer(b"".join(pdf["sig"]), np.uint16).reshape(len(pdf), bands * rows)
         root = pd.factorize(pdf["root"])[0]
-        block, key = pdf["block"].to_numpy(), pdf["k"].tolist()
-        right = np.flatnonzero(block == second)
+        block, key, text = pdf["block"].to_numpy(), pdf["k"].tolist(), pdf["text"].tolist()
+        right, bags = np.flatnonzero(block == second), {}
+
+        def of(i: int) -> tuple:
+            if i not in bags:
+                bags[i] = weighted(text[i], hashes)
+            return bags[i]
+
         for x in np.flatnonzero(block == first).tolist():
             near = right[right > x] if first == second else right
             near = near[root[near] != root[x]]
@@ -172,10 +182,10 @@ def _compare(bands: int, rows: int, least: float):
                 good = equal.mean(axis=1) >= least
                 near, equal = near[good], equal[good]
                 good = equal.reshape(len(near), bands, rows).all(axis=2).argmax(axis=1) == n
-                out += [(min(key[x], key[y]), max(key[x], key[y])) for y in near[good].tolist()]
+                out += [(key[x], key[y]) for y in near[good].tolist() if jaccard(of(x), of(y)) >= similarity]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts, now = [], None
+        hashes, parts, now = WordHashes(), [], None
         for batch in batches:
             out: list[tuple] = []
             keys = batch[["band", "i", "j"]].to_numpy(np.int64)
@@ -184,14 +194,14 @@ def _compare(bands: int, rows: int, least: float):
                 if a == b:
                     continue
                 if parts and tuple(keys[a]) != now:
-                    group(parts, out)
+                    group(parts, hashes, out)
                     parts = []
                 parts.append(batch.iloc[a:b])
                 now = tuple(keys[a])
             yield pd.DataFrame(out, columns=["a", "b"])
         out = []
         if parts:
-            group(parts, out)
+            group(parts, hashes, out)
         yield pd.DataFrame(out, columns=["a", "b"])
 
     return run
@@ -217,45 +227,48 @@ def _verify(similarity: float):
     return run
 
 
-#: Signatures of two blocks are compared at a time, some 600 KB each.
-BLOCK = 2000
+BLOCK = 500
 
 
 def links(keyed: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
     """Verified links (a, b) that connect each class of texts; keyed has doc_id, k (content key) and text."""
-    # one row of each different text, so that copies are signed and compared once
-    single = stage(one_of_each(keyed).dropDuplicates(["k"]), "minhash-texts")
-    signed = stage(single.mapInPandas(_sign(bands, rows), "k binary, sig binary, bands array<long>"), "minhash-signed")
+    signed = stage(keyed.select("k", "text").mapInPandas(_sign(bands, rows), "k binary, sig binary, bands array<long>"), "minhash-signed")
     members = signed.select(F.col("k").alias("a"), F.posexplode("bands").alias("n", "band"))
-    several = stage(members.groupBy("band").agg(F.count("*").alias("c")).filter("c > 1"), "minhash-several")
-    live = stage(members.join(several.hint("merge"), "band"), "minhash-live")
+    short = F.xxhash64("a")
+    several = stage(members.groupBy("band").agg(F.min(short).alias("x"), F.max(short).alias("y")).filter("x != y").select("band"), "minhash-several")
+    live = stage(members.join(several.hint("merge"), "band").distinct(), "minhash-live")
     # a text that meets many others leads its buckets: the original of a group of edited copies is like each of them
+    counts = stage(live.groupBy("band").agg(F.count("*").alias("c")), "minhash-counts")
+    live, first = stage(live.join(counts, "band"), "minhash-counted"), live
+    discard(first, counts)
     degree = stage(live.groupBy("a").agg(F.sum("c").alias("d")), "minhash-degree")
     order = F.struct("d", F.xxhash64("a").alias("r"), F.col("a").alias("b"))
     leader = stage(live.join(degree, "a").groupBy("band").agg(F.max(order).alias("m")).select("band", "m.b"), "minhash-leaders")
     pairs = stage(live.join(leader, "band").filter("a != b").select("a", "b").distinct(), "minhash-pairs")
-    texts = stage(single.join(degree.select(F.col("a").alias("k")), "k", "left_semi"), "minhash-needed")
+    needed = live.select(F.col("a").alias("k")).distinct()
+    texts = stage(one_of_each(keyed, needed).dropDuplicates(["k"]), "minhash-texts")
     ta, tb = texts.select(F.col("k").alias("a"), F.col("text").alias("ta")), texts.select(F.col("k").alias("b"), F.col("text").alias("tb"))
-    discard(single, several)
 
-    def verified(pairs: DataFrame, name: str) -> DataFrame:
+    def verified(pairs: DataFrame) -> DataFrame:
         both = pairs.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb")
-        return stage(both.mapInPandas(_verify(similarity), "a binary, b binary, ok boolean").filter("ok").select("a", "b"), name)
+        return stage(both.mapInPandas(_verify(similarity), "a binary, b binary, ok boolean").filter("ok").select("a", "b"), "minhash-links")
 
-    found = verified(pairs, "minhash-links")
+    found = verified(pairs)
     # what a leader did not connect: pairs of different classes in one bucket, by whole signatures, in blocks
     roots = components(found)
-    placed = stage(live.join(roots.withColumnRenamed("k", "a"), "a", "left").select("band", "n", "a", "c", F.coalesce("root", "a").alias("root")), "minhash-placed")
+    placed = live.join(roots.withColumnRenamed("k", "a"), "a", "left").select("band", "n", "a", "c", F.coalesce("root", "a").alias("root"))
     open_ = stage(placed.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select("band"), "minhash-open")
     blocks = F.ceil(F.col("c") / block).cast("int")
     rest = stage(placed.join(open_, "band").withColumn("block", F.pmod(F.xxhash64("a"), blocks).cast("int")), "minhash-rest")
+    keys = stage(rest.select(F.col("a").alias("k")).distinct(), "minhash-keys")
+    sigs = signed.groupBy("k").agg(F.first("sig").alias("sig")).join(keys, "k")  # copies are combined before the shuffle
+    wide = stage(sigs.join(texts, "k"), "minhash-wide")
     dealt = rest.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).select("band", "n", F.col("a").alias("k"), "root", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     least = similarity - 3.5 * (similarity * (1 - similarity) / (bands * rows)) ** 0.5
     parts = max(1, int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ordered = dealt.join(signed.select("k", "sig"), "k").repartition(parts, "band", "i", "j").sortWithinPartitions("band", "i", "j")
-    near = stage(ordered.mapInPandas(_compare(bands, rows, least), "a binary, b binary"), "minhash-near")
-    more = verified(near, "minhash-more")
-    discard(signed, live, degree, leader, pairs, texts, placed, open_, rest, near)
+    ordered = dealt.join(wide, "k").repartition(parts, "band", "i", "j").sortWithinPartitions("band", "i", "j")
+    more = stage(ordered.mapInPandas(_compare(bands, rows, least, similarity), "a binary, b binary"), "minhash-more")
+    discard(signed, several, live, degree, leader, pairs, texts, open_, rest, keys, wide)
     return found.unionByName(more)
 
 
