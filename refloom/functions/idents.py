@@ -5,24 +5,68 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-DOI = r"\b(10\.[0-9]{4,9}/[-._;()/:A-Za-z0-9]+)"
-ARXIV = r"(?i)arxiv[:\s]*([0-9]{4}\.[0-9]{4,5}|[a-z-]+/[0-9]{7})"
+#: Fixed patterns: a DOI ends at a word boundary; a preprint number follows the word arxiv, of the new scheme or the old
+#: (archive, perhaps with a subject class), with its version if there is one.
+DOI = r"\b(10\.[0-9]{4,9}/[-._;()/:A-Za-z0-9]+)\b"
+ARXIV = r"(?i)arxiv[:\s]*([0-9]{4}\.[0-9]{4,5}(?:v[0-9]+)?|[a-z-]+(?:\.[A-Z]{2})?/[0-9]{7}(?:v[0-9]+)?)"
 
 
 def doi(c: Column) -> Column:
     """The first DOI in lower case without trailing dots, or null."""
-    return F.nullif(F.lower(F.regexp_replace(F.regexp_extract(c, DOI, 1), r"\.+$", "")), F.lit(""))
+    return F.nullif(F.lower(F.rtrim(F.regexp_extract(c, DOI, 1), F.lit("."))), F.lit(""))
 
 
 def arxiv_id(c: Column) -> Column:
-    """The first arXiv id that follows the word arxiv, or null."""
-    return F.nullif(F.regexp_extract(c, ARXIV, 1), F.lit(""))
+    """The first arXiv id that follows the word arxiv, with its version, in lower case, or null."""
+    return F.nullif(F.lower(F.regexp_extract(c, ARXIV, 1)), F.lit(""))
 
 
 def arxiv_stem(c: Column) -> Column:
+    """An id without its version."""
     return F.regexp_replace(c, r"v[0-9]+$", "")
 
 
+def cite_keys(cell: Column) -> Column:
+    """All keys of the citation commands in a piece of TeX, in order."""
+    groups = F.regexp_extract_all(cell, F.lit(CITE), F.lit(1))
+    return F.filter(F.transform(F.flatten(F.transform(groups, lambda g: F.split(g, ","))), lambda x: F.trim(x)), lambda k: k != "")
+
+
+#: The citation commands of natbib, biblatex and apacite; two optional arguments may stand before the keys.
+CITE_COMMANDS = (
+    "cite", "citep", "citet", "citealp", "citealt", "citeauthor", "citeyear", "citeyearpar", "Citep", "Citet", "parencite", "Parencite", "autocite", "Autocite",
+    "textcite", "Textcite", "footcite", "smartcite", "shortcite", "shortcites", "citeA", "citeNP", "fullcite",
+)
+CITE = r"\\(?:" + "|".join(CITE_COMMANDS) + r")\*?\s*(?:\[[^\]]*\]\s*){0,2}\{([^}]*)\}"
+
+
+def valid_marker(key: Column, refs: Column) -> Column:
+    """Whether a numeric marker's key is a reference: ref-0 never is; without any reference all others are."""
+    return (key != "ref-0") & ((F.size(refs) <= 0) | F.array_contains(refs, key))
+
+
+def numbered_style(markers: Column, refs: Column) -> Column:
+    """Whether a text cites by numbers: three markers or more, of which 60 % resolve in full. markers: an array of the keys of each."""
+    counted = F.filter(F.transform(markers, lambda keys: F.filter(keys, lambda k: k != "ref-0")), lambda keys: F.size(keys) > 0)
+    hits = F.size(F.filter(counted, lambda keys: F.forall(keys, lambda k: F.array_contains(refs, k))))
+    return (F.size(refs) > 0) & (F.size(counted) >= 3) & (hits >= 0.6 * F.size(counted))
+
+
+def dense_numbering(numbers: Column) -> Column:
+    """Whether line numbers are those of a list: three or more, and 60 % of the range between the least and the largest."""
+    return (F.size(numbers) >= 3) & (F.size(numbers) >= 0.6 * (F.array_max(numbers) - F.array_min(numbers) + 1))
+
+
+def resolved_id(doi_: Column, arxiv: Column, title: Column, cite_key: Column) -> Column:
+    """Identity of a work: its DOI, its preprint, its title, or its key; null if it has none of these."""
+
+    def tagged(tag: str, value: Column, plain: Column) -> Column:
+        return F.when(F.length(value) > 0, F.concat(F.lit(tag), plain))
+
+    flat = F.trim(F.regexp_replace(F.lower(title), r"\s+", " "))
+    return F.coalesce(tagged("doi:", doi_, F.lower(F.trim(doi_))), tagged("arxiv_id:", arxiv, F.lower(F.trim(arxiv))), tagged("title:", title, flat), tagged("cite:", cite_key, cite_key))
+
+
 def _years(c: Column, pattern: str) -> Column:
     return F.transform(F.regexp_extract_all(c, F.lit(pattern), F.lit(1)), lambda x: x.cast("int"))
 
@@ -72,6 +116,11 @@ def safe_id(stem: Column, path: Column) -> Column:
     return F.when(stem.rlike(r"^[A-Za-z0-9._-]+$"), stem).otherwise(F.concat(F.lit("pdf-"), F.substring(F.sha1(path.cast("binary")), 1, 12)))
 
 
+def url_dead(status: Column) -> Column:
+    """Only 404 and 410 say that a link is dead; no answer and all other answers don't."""
+    return F.coalesce(status.isin(404, 410), F.lit(False))
+
+
 def source_kind(c: Column) -> Column:
     """Where an input string leads: a local pdf, an archive, an arXiv id, a URL, or nowhere."""
     low = F.lower(F.trim(c))

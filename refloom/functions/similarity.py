@@ -9,8 +9,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from refloom.functions.text import norm_title
+from refloom.functions.text import clean_title_variant, norm_title
 
+#: Function words that generic titles share.
+CONTENT_STOP = ("the", "a", "an", "and", "or", "of", "to", "in", "for", "on", "with", "by", "as")
+#: Fixed value: least token sort ratio of two strings that say the same.
+SAME = 88.0
 #: Words that say nothing about a title.
 TITLE_STOP = ("a", "an", "and", "are", "as", "at", "by", "for", "from", "in", "is", "of", "on", "or", "the", "to", "toward", "towards", "via", "with", "without")
 
@@ -22,7 +26,13 @@ def tokens(c: Column, longer_than: int = 1, stop: tuple[str, ...] = ()) -> Colum
 
 
 def title_tokens(c: Column) -> Column:
-    return tokens(c, 1, TITLE_STOP)
+    """Tokens of a title without a trailing site that are longer than one character and not stop words."""
+    return tokens(clean_title_variant(c), 1, TITLE_STOP)
+
+
+def content_tokens(c: Column) -> Column:
+    """Distinctive tokens of a title: longer than three characters, without the words that generic titles share."""
+    return tokens(c, 3, CONTENT_STOP)
 
 
 def containment(a: Column, b: Column) -> Column:
@@ -48,12 +58,13 @@ def title_contradiction(cited: Column, found: Column) -> Column:
 
 
 def titles_diverge(a: Column, b: Column) -> Column:
-    """Neither title covers 85 % of the other; both need two tokens."""
+    """Neither title's content tokens cover 85 % of the other's; takes the token arrays, both need two tokens."""
     return (F.size(a) >= 2) & (F.size(b) >= 2) & (F.greatest(containment(a, b), containment(b, a)) < 0.85)
 
 
 def poorly_covered(cited: Column, found: Column) -> Column:
-    return (F.size(cited) >= 3) & (containment(cited, found) < 0.6)
+    """Under 60 % of three or more cited content tokens are in the other title, which has some."""
+    return (F.size(cited) >= 3) & (F.size(found) > 0) & (containment(cited, found) < 0.6)
 
 
 def off_topic(claim: Column, abstract: Column) -> Column:
@@ -93,6 +104,24 @@ def token_set_ratio(a: str, b: str) -> float:
     return max(indel_ratio(one, two), indel_ratio(both, one) if both else 0.0, indel_ratio(both, two) if both else 0.0)
 
 
+@F.pandas_udf(DoubleType())
+def sorted_ratio(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """Token sort ratio (0 to 100) of two normalised strings; null for a null."""
+    for left, right in pairs:
+        yield pd.Series([None if a is None or b is None else token_sort_ratio(a, b) for a, b in zip(left, right, strict=True)], dtype="float64")
+
+
+def strings_match(a: Column, b: Column) -> Column:
+    """Whether two titles or venues say the same: one holds the other, with spaces or without, or their sorted tokens are alike.
+
+    An empty one contradicts nothing. Only pairs that no containment settles are handed to the ratio.
+    """
+    x, y = norm_title(a), norm_title(b)
+    u, v = F.replace(x, F.lit(" "), F.lit("")), F.replace(y, F.lit(" "), F.lit(""))
+    held = (x == "") | (y == "") | F.contains(x, y) | F.contains(y, x) | F.contains(u, v) | F.contains(v, u)
+    return held | F.coalesce(sorted_ratio(F.when(~held, x), F.when(~held, y)) >= SAME, F.lit(False))
+
+
 @F.pandas_udf(DoubleType())
 def fuzzy_title_score(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """max(token sort ratio, token set ratio) of two normalised titles; 0 if either is empty."""

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def squeeze(c: Column) -> Column:
@@ -21,9 +25,37 @@ def norm_title_ascii(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[^a-z0-9]+", " "))
 
 
+def strip_chars(c: Column, chars: str) -> Column:
+    """Without any of chars at both ends."""
+    return F.btrim(c, F.lit(chars))
+
+
 def clean_title_variant(c: Column) -> Column:
     """Drop a trailing ' -- site.tld' and the dots and spaces at the ends."""
-    return F.regexp_replace(F.regexp_replace(squeeze(c), r" (--|—|-) [A-Za-z0-9.]+\.[a-z]{2,}$", ""), r"^[ .]+|[ .]+$", "")
+    plain = strip_chars(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "), " .")
+    return strip_chars(F.regexp_replace(plain, r"(?i)\s+-{2,}\s*[\w.-]+\.[a-z]{2,}\s*$", ""), " .")
+
+
+def folded(text: str | None) -> str:
+    """Lower case without diacritics, compatibility characters by their plain form; None gives ''."""
+    return "".join(x for x in unicodedata.normalize("NFKD", text or "") if not unicodedata.combining(x)).lower()
+
+
+@F.pandas_udf(StringType())
+def fold(texts: pd.Series) -> pd.Series:
+    """folded() of a column."""
+    return texts.map(folded)
+
+
+def short(c: Column, n: int = 60) -> Column:
+    """Stripped, and at most n characters, the last an ellipsis if something was cut."""
+    plain = F.trim(F.coalesce(c, F.lit("")))
+    return F.when(F.length(plain) > n, F.concat(F.substring(plain, 1, n - 1), F.lit("…"))).otherwise(plain)
+
+
+def gold_markup(c: Column, n: int = 600) -> Column:
+    """The gold side's clean markup: cut at n characters, without an ellipsis."""
+    return F.substring(squeeze(F.regexp_replace(F.coalesce(c, F.lit("")), r"<[^>]+>", " ")), 1, n)
 
 
 def clip(c: Column, n: int, mark: str = "…") -> Column:
@@ -58,10 +90,10 @@ def html_structured(c: Column) -> Column:
 
 
 def normalize_url(c: Column) -> Column:
-    """Repair 'http: //', drop a trailing ',2020a', all whitespace and closing punctuation."""
-    c = F.regexp_replace(c, r"(https?)\s*:\s*/\s*/\s*", "$1://")
-    c = F.regexp_replace(c, r",\s*(19|20)[0-9]{2}[a-z]?\s*\.?$", "")
-    return F.regexp_replace(F.regexp_replace(c, r"\s+", ""), r"[.,;:)\]]+$", "")
+    """Repair a torn scheme at the start, drop ',2020a' wherever it stands, all whitespace and closing punctuation."""
+    c = F.regexp_replace(F.trim(F.coalesce(c, F.lit(""))), r"(?i)^\s*(https?)\s*:\s*/\s*/\s*", "$1://")
+    c = F.regexp_replace(F.regexp_replace(c, r",\s*(?:19|20)[0-9]{2}[a-z]?\b", ""), r"\s+", "")
+    return F.regexp_replace(c, r"[\s,;.)\]}>]+$", "")
 
 
 def despace_url(c: Column) -> Column:

@@ -99,3 +99,26 @@ def fabricate(records: DataFrame) -> DataFrame:
         "exists": F.lit("no"), "resolved": F.lit(None).cast(records.schema["resolved"].dataType), "metadata_issues": F.array().cast("array<string>"),
         "notes": F.lit("synthetic fabrication (was a real citation)"), "labels": labels, "severity": severity,
     })
+
+
+#: Fixed texts of planted metadata errors.
+WRONG_AUTHOR, WRONG_VENUE, NEW_EDITION, PLANTED = "Q. Fabricated", "Journal of Imaginary Results", " (revised edition)", " (synthetic perturbation)"
+
+
+def perturb(cited: DataFrame) -> DataFrame:
+    """cited (authors, year, venue, title as cited, field: author, authors, year, venue or title, shift: years to add) with that field corrupted, and issue.
+
+    Without authors one is made up, a missing year (null or 0) counts as 2020, a missing title is called Untitled.
+    """
+    field, none = F.col("field"), F.array().cast("array<string>")
+    who, when = field.isin("author", "authors"), field == "year"
+    year = F.coalesce(F.nullif("year", F.lit(0)), F.lit(2020)) + F.col("shift")
+    issue = (
+        F.when(who, "authors: first author replaced").when(when, F.concat(F.lit("year: shifted to "), year.cast("string"))).when(field == "venue", "venue: replaced with a wrong venue").when(field == "title", "title: altered from canonical")
+    )
+    rest = F.slice(F.coalesce("authors", none), 2, F.greatest(F.size(F.coalesce("authors", none)) - 1, F.lit(0)))
+    title = F.concat(F.coalesce(F.nullif("title", F.lit("")), F.lit("Untitled")), F.lit(NEW_EDITION))
+    return cited.withColumns({
+        "authors": F.when(who, F.concat(F.array(F.lit(WRONG_AUTHOR)), rest)).otherwise(F.col("authors")), "year": F.when(when, year).otherwise(F.col("year")),
+        "venue": F.when(field == "venue", WRONG_VENUE).otherwise(F.col("venue")), "title": F.when(field == "title", title).otherwise(F.col("title")), "issue": F.concat(issue, F.lit(PLANTED)),
+    })

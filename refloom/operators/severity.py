@@ -38,8 +38,14 @@ def finalize_severity(exists: Column, supports: Column, priority: Column, severi
 
 
 def inconclusive_reason(exists: Column, notes: Column) -> Column:
-    return F.when(exists == "unresolved", "unresolved").when(F.contains(F.lower(notes), F.lit("full text")), "fulltext").otherwise("abstract")
+    """Why a verdict is open: whatever does not exist for sure is unresolved; else the notes say, in this spelling, that the full text was read."""
+    return F.when(~F.coalesce(exists == "yes", F.lit(False)), "unresolved").when(F.contains(notes, F.lit("full text")), "fulltext").otherwise("abstract")
 
 
 def hallucination_pred(exists: Column, issues: Column) -> Column:
     return F.coalesce((exists == "no") | (F.size(issues) > 0), F.lit(False))
+
+
+def eligible(exists: Column, in_table: Column) -> Column:
+    """Whether a citation goes to the judge: its work exists and it stands in prose."""
+    return (exists == "yes") & ~F.coalesce(in_table, F.lit(False))

@@ -2,24 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from refloom.operators import evaluate as ev
-from refloom.operators.severity import derive_cell_severity, derive_severity, finalize_severity, inconclusive_reason
+from refloom.operators import report
+from refloom.operators.severity import derive_cell_severity, derive_severity, eligible, finalize_severity, hallucination_pred, inconclusive_reason
 from refloom.plans.registry import query, table
 
-GOLD = """gold AS (
-  SELECT d.source AS paper_id, CAST(d.doc_id AS VARCHAR) AS claim_id, concat(coalesce(d.lang, 'x'), '-', CAST(d.doc_id % 7 AS VARCHAR)) AS cite_key, l.quality = 0 AS is_hallucinated,
-    CASE d.doc_id % 4 WHEN 0 THEN 'supports' WHEN 1 THEN 'partial' WHEN 2 THEN 'does_not' ELSE CASE WHEN d.doc_id % 3 = 0 THEN 'skipped' ELSE 'inconclusive' END END AS supports_gold,
-    CASE WHEN d.doc_id % 11 = 0 THEN 'unresolved' WHEN l.quality = 0 AND d.doc_id % 3 = 0 THEN 'no' ELSE 'yes' END AS exists_gold,
-    CASE WHEN l.toxic = 1 THEN 'obligatory' ELSE 'helpful' END AS priority_gold
-  FROM documents d JOIN labels l ON d.doc_id = l.doc_id)"""
-PRED = """raw_pred AS (
+_PAPER = "concat(coalesce({t}source, 'none'), '/', CAST({t}doc_id // 40 AS VARCHAR))"
+_RID = """CASE WHEN {t}doc_id % 5 = 0 THEN concat('doi:10.1/ab', CAST({t}doc_id % 20 AS VARCHAR)) WHEN {t}doc_id % 5 = 1 THEN concat('arxiv_id:2101.0000', CAST({t}doc_id % 15 AS VARCHAR))
+    WHEN {t}doc_id % 5 = 2 THEN concat('title:a great title ', CAST({t}doc_id % 12 AS VARCHAR)) ELSE concat('cite:', coalesce({t}lang, 'x'), '-', CAST({t}doc_id % 7 AS VARCHAR)) END"""
+#: Gold rows: labels first, then own fields; what has no flag is a hallucination if it does not exist or has issues.
+GOLD = f"""gold0 AS (
+  SELECT d.doc_id, {_PAPER.format(t="d.")} AS paper_id, CAST(d.doc_id AS VARCHAR) AS claim_id, concat(coalesce(d.lang, 'x'), '-', CAST(d.doc_id % 7 AS VARCHAR)) AS cite_key, {_RID.format(t="d.")} AS rid, l.quality,
+    coalesce(CASE d.doc_id % 4 WHEN 0 THEN 'supports' WHEN 1 THEN 'partial' WHEN 2 THEN 'does_not' ELSE CASE WHEN d.doc_id % 3 = 0 THEN 'skipped' END END, 'inconclusive') AS supports_gold,
+    coalesce(CASE WHEN d.doc_id % 11 = 0 THEN 'unresolved' WHEN l.quality = 0 AND d.doc_id % 3 = 0 THEN 'no' WHEN d.doc_id % 17 <> 0 THEN 'yes' END, 'yes') AS exists_gold,
+    coalesce(CASE WHEN d.doc_id % 6 <> 0 THEN CASE WHEN l.toxic = 1 THEN 'obligatory' ELSE 'helpful' END END, CASE WHEN d.doc_id % 9 = 0 THEN 'obligatory' END, 'helpful') AS priority_gold
+  FROM documents d JOIN labels l ON d.doc_id = l.doc_id),
+gold AS (SELECT *, coalesce(CASE WHEN doc_id % 4 <> 3 THEN quality = 0 END, exists_gold = 'no' OR doc_id % 8 = 3) AS is_hallucinated FROM gold0)"""
+PRED = f"""raw_pred AS (
   SELECT doc_id, n_chars, source, lang, text, doc_id AS ord FROM documents WHERE doc_id % 13 <> 5
   UNION ALL SELECT doc_id, n_chars + 1, source, lang, text, doc_id + 1000000000 FROM documents WHERE doc_id % 10 = 3 AND doc_id % 13 <> 5),
 pred AS (
-  SELECT source AS paper_id, CAST(doc_id AS VARCHAR) AS claim_id, concat(coalesce(lang, 'x'), '-', CAST(doc_id % 7 AS VARCHAR)) AS cite_key, doc_id, ord,
+  SELECT {_PAPER.format(t="")} AS paper_id, CAST(doc_id AS VARCHAR) AS claim_id, concat(coalesce(lang, 'x'), '-', CAST(doc_id % 7 AS VARCHAR)) AS cite_key, doc_id, ord,
     CASE WHEN n_chars % 9 = 0 THEN 'unresolved' WHEN n_chars % 17 = 0 THEN 'no' ELSE 'yes' END AS exists_,
     CAST(n_chars % 5 = 0 AS INT) AS n_issues,
     CASE n_chars % 6 WHEN 2 THEN 'partial' WHEN 3 THEN 'does_not' WHEN 4 THEN 'inconclusive' WHEN 5 THEN 'skipped' ELSE 'supports' END AS supports,
@@ -35,15 +41,32 @@ PRF = """n, CASE WHEN tp + fp = 0 THEN 0.0 ELSE tp / (tp + fp) END AS precision,
   CASE WHEN 2 * tp + fp + fn = 0 THEN 0.0 ELSE 2 * tp / (2 * tp + fp + fn) END AS f1"""
 
 
+def _paper() -> Column:
+    return F.concat(F.coalesce("source", F.lit("none")), F.lit("/"), F.floor(F.col("doc_id") / 40).cast("string"))
+
+
+def _identity() -> dict[str, Column]:
+    """DOIs, preprints and titles, spelt in several ways, of some documents."""
+    n = F.col("doc_id")
+    return {
+        "r_doi": F.when(n % 5 == 0, F.concat(F.when(n % 2 == 0, " 10.1/AB").otherwise("10.1/ab"), (n % 20).cast("string"))),
+        "r_arxiv": F.when(n % 5 == 1, F.concat(F.lit("2101.0000"), (n % 15).cast("string"))).when(n % 5 == 2, ""),
+        "r_title": F.when(n % 5 == 2, F.concat(F.when(n % 2 == 0, "A  Great Title ").otherwise("a great\ttitle "), (n % 12).cast("string"))),
+    }
+
+
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     d, labels = table(spark, sf_dir, "documents").select("doc_id", "lang", "source"), table(spark, sf_dir, "labels")
-    n = F.col("doc_id")
-    return d.join(labels, "doc_id").select(
-        F.col("source").alias("paper_id"), n.cast("string").alias("claim_id"), F.concat(F.coalesce("lang", F.lit("x")), F.lit("-"), (n % 7).cast("string")).alias("cite_key"), (F.col("quality") == 0).alias("is_hallucinated"),
-        F.when(n % 4 == 0, "supports").when(n % 4 == 1, "partial").when(n % 4 == 2, "does_not").when(n % 3 == 0, "skipped").otherwise("inconclusive").alias("supports_gold"),
-        F.when(n % 11 == 0, "unresolved").when((F.col("quality") == 0) & (n % 3 == 0), "no").otherwise("yes").alias("exists_gold"),
-        F.when(F.col("toxic") == 1, "obligatory").otherwise("helpful").alias("priority_gold"),
+    n, none = F.col("doc_id"), F.array().cast("array<string>")
+    supports = F.when(n % 4 == 0, "supports").when(n % 4 == 1, "partial").when(n % 4 == 2, "does_not").when(n % 3 == 0, "skipped")
+    exists = F.when(n % 11 == 0, "unresolved").when((F.col("quality") == 0) & (n % 3 == 0), "no").when(n % 17 != 0, "yes")
+    priority = F.when(n % 6 != 0, F.when(F.col("toxic") == 1, "obligatory").otherwise("helpful"))
+    truth = F.struct(exists.alias("exists"), supports.alias("supports_claim"), priority.alias("priority"), F.when(n % 4 != 3, F.col("quality") == 0).alias("is_hallucinated"))
+    rows = d.join(labels, "doc_id").select(
+        _paper().alias("paper_id"), n.cast("string").alias("claim_id"), F.concat(F.coalesce("lang", F.lit("x")), F.lit("-"), (n % 7).cast("string")).alias("cite_key"), *[c.alias(k) for k, c in _identity().items()],
+        truth.alias("labels"), F.lit("yes").alias("exists"), F.lit(None).cast("string").alias("supports"), F.when(n % 9 == 0, "obligatory").alias("priority"), F.when(n % 8 == 3, F.array(F.lit("year"))).otherwise(none).alias("issues"),
     )
+    return ev.gold_axes(rows)
 
 
 CUES = ("based on", "of the")
@@ -55,7 +78,7 @@ def pred(spark: SparkSession, sf_dir: str) -> DataFrame:
     n, low = F.col("n_chars"), F.lower(F.coalesce("text", F.lit("")))
     cue = F.contains(low, F.lit(CUES[0])) | F.contains(low, F.lit(CUES[1]))
     return d.select(
-        F.col("source").alias("paper_id"), F.col("doc_id").cast("string").alias("claim_id"), F.concat(F.coalesce("lang", F.lit("x")), F.lit("-"), (F.col("doc_id") % 7).cast("string")).alias("cite_key"), "doc_id", "ord",
+        _paper().alias("paper_id"), F.col("doc_id").cast("string").alias("claim_id"), F.concat(F.coalesce("lang", F.lit("x")), F.lit("-"), (F.col("doc_id") % 7).cast("string")).alias("cite_key"), "doc_id", "ord", *[c.alias(k) for k, c in _identity().items()],
         F.when(n % 9 == 0, "unresolved").when(n % 17 == 0, "no").otherwise("yes").alias("exists"),
         F.when(n % 5 == 0, F.array(F.lit("year differs"))).otherwise(F.array().cast("array<string>")).alias("issues"),
         F.when(n % 6 == 2, "partial").when(n % 6 == 3, "does_not").when(n % 6 == 4, "inconclusive").when(n % 6 == 5, "skipped").otherwise("supports").alias("supports"),
@@ -116,7 +139,7 @@ def pred_gold_join(spark, sf_dir):
     return joined(spark, sf_dir).select("paper_id", "claim_id", "cite_key", "matched", "exists", "supports", "priority", "confidence")
 
 
-@query(f"""{BASE}, w AS (SELECT bool_or(is_hallucinated) AS g, bool_or(coalesce(exists_ = 'no' OR n_issues > 0, false)) AS p FROM joined GROUP BY paper_id, cite_key),
+@query(f"""{BASE}, w AS (SELECT bool_or(is_hallucinated) AS g, bool_or(coalesce(exists_ = 'no' OR n_issues > 0, false)) AS p FROM joined GROUP BY paper_id, rid),
   c AS (SELECT count_if(g AND p) AS tp, count_if(NOT g AND p) AS fp, count_if(g AND NOT p) AS fn, count(*) AS n FROM w) SELECT CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, CAST(fn AS BIGINT) AS fn, {PRF} FROM c""")
 def correctness_prf(spark, sf_dir):
     return ev.correctness(joined(spark, sf_dir))
@@ -157,7 +180,7 @@ def abstention_calibration(spark, sf_dir):
     return ev.abstention(joined(spark, sf_dir))
 
 
-@query(f"""{BASE}, w AS (SELECT bool_or(is_hallucinated) AS g, bool_or(coalesce(exists_ = 'no' OR n_issues > 0, false)) AS p FROM joined GROUP BY paper_id, cite_key),
+@query(f"""{BASE}, w AS (SELECT bool_or(is_hallucinated) AS g, bool_or(coalesce(exists_ = 'no' OR n_issues > 0, false)) AS p FROM joined GROUP BY paper_id, rid),
   {MACRO}, h AS (SELECT 2 * count_if(g AND p) / (2 * count_if(g AND p) + count_if(g <> p)) AS headline_f1, count(*) AS n_works FROM w),
   q AS ({_PRIORITY})
   SELECT headline_f1, n_works, macro_f1, (SELECT avg(CAST(coalesce(supports, 'inconclusive') = supports_gold AS DOUBLE)) FROM joined) AS relevance_accuracy,
@@ -182,25 +205,61 @@ def report_rollup(spark, sf_dir):
     return pred(spark, sf_dir).rollup("paper_id", "supports").agg(F.count("*").alias("n"))
 
 
-@query(f"""{BASE} SELECT reason, count(*) AS n FROM (SELECT CASE WHEN exists_ = 'unresolved' THEN 'unresolved' WHEN doc_id % 2 = 0 THEN 'fulltext' ELSE 'abstract' END AS reason FROM pred WHERE supports = 'inconclusive') GROUP BY reason""")
+@query(f"""{BASE} SELECT reason, count(*) AS n FROM (SELECT CASE WHEN exists_ <> 'yes' THEN 'unresolved' WHEN doc_id % 3 = 0 THEN 'fulltext' ELSE 'abstract' END AS reason FROM pred WHERE supports = 'inconclusive') GROUP BY reason""")
 def inconclusive_reasons(spark, sf_dir):
-    notes = F.when(F.col("doc_id") % 2 == 0, "judged on Full Text").otherwise("judged on the abstract")
+    notes = F.when(F.col("doc_id") % 3 == 0, "(based on full text) not there").when(F.col("doc_id") % 3 == 1, "judged on Full Text").otherwise(F.lit(None))
     return pred(spark, sf_dir).filter("supports = 'inconclusive'").groupBy(inconclusive_reason(F.col("exists"), notes).alias("reason")).agg(F.count("*").alias("n"))
 
 
+@query(f"""{BASE} SELECT paper_id, count(*) AS n FROM pred WHERE exists_ = 'yes' AND doc_id % 5 <> 0 GROUP BY 1""")
+def eligible_citations(spark, sf_dir):
+    """Citations that go to the judge, per paper."""
+    rows = pred(spark, sf_dir).filter(eligible(F.col("exists"), F.when(F.col("doc_id") % 5 == 0, True).when(F.col("doc_id") % 5 == 1, False)))
+    return rows.groupBy("paper_id").agg(F.count("*").alias("n"))
+
+
+@query(f"""{BASE} SELECT claim_id, exists_gold, supports_gold, priority_gold, is_hallucinated, rid FROM gold""")
+def gold_truth(spark, sf_dir):
+    """Gold axes, flags and identities of works, labels first."""
+    return gold(spark, sf_dir).select("claim_id", "exists_gold", "supports_gold", "priority_gold", "is_hallucinated", ev.unit("", "").alias("rid"))
+
+
 @query(f"""{BASE} SELECT claim_id, ord, positive FROM (SELECT claim_id, ord, exists_ = 'no' OR n_issues > 0 AS positive FROM pred) ORDER BY positive DESC, ord LIMIT 18""")
 def smoke_split(spark, sf_dir):
     rows = pred(spark, sf_dir).select("claim_id", "ord", ((F.col("exists") == "no") | (F.size("issues") > 0)).alias("positive"))
     return rows.orderBy(F.desc("positive"), "ord").limit(18)
 
 
-@query(f"""{BASE}, b AS (SELECT paper_id, claim_id, cite_key, ord, CASE WHEN exists_ = 'no' THEN 0 WHEN priority = 'obligatory' AND supports = 'does_not' THEN 1 WHEN supports = 'does_not' THEN 2 WHEN n_issues > 0 THEN 3 ELSE 99 END AS bucket FROM pred)
-  SELECT paper_id, claim_id, bucket, row_number() OVER (PARTITION BY paper_id ORDER BY bucket, ord) AS place FROM (SELECT *, row_number() OVER (PARTITION BY claim_id, cite_key ORDER BY ord) AS k FROM b WHERE bucket < 99) WHERE k = 1""")
+_FLAG = f"CASE WHEN exists_ = 'no' THEN 0 WHEN {SEVERITY.format(e='exists_', s='supports', p='priority')} = 'high' THEN 1 WHEN supports = 'does_not' THEN 2 WHEN exists_ = 'unresolved' THEN 3 ELSE 99 END"
+_FLAGGED = f"""b AS (SELECT paper_id, claim_id, cite_key, ord, {_FLAG} AS bucket FROM pred),
+  f AS (SELECT paper_id, claim_id, cite_key, bucket, ord FROM (SELECT *, row_number() OVER (PARTITION BY paper_id, claim_id, cite_key ORDER BY bucket, ord) AS k FROM b WHERE bucket < 99) WHERE k = 1),
+  p AS (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY bucket, ord) AS place, count(*) OVER (PARTITION BY paper_id) AS total FROM f)"""
+
+
+def _judged(spark, sf_dir) -> DataFrame:
+    return pred(spark, sf_dir).withColumn("severity", derive_severity(F.col("exists"), F.col("supports"), F.col("priority")))
+
+
+@query(f"{BASE}, {_FLAGGED} SELECT paper_id, claim_id, cite_key, bucket, ord, place FROM p")
 def flagged_records(spark, sf_dir):
-    bucket = F.when(F.col("exists") == "no", 0).when((F.col("priority") == "obligatory") & (F.col("supports") == "does_not"), 1).when(F.col("supports") == "does_not", 2).when(F.size("issues") > 0, 3).otherwise(99)
-    flagged = pred(spark, sf_dir).withColumn("bucket", bucket).filter("bucket < 99")
-    first = flagged.withColumn("k", F.row_number().over(Window.partitionBy("claim_id", "cite_key").orderBy("ord"))).filter("k = 1")
-    return first.select("paper_id", "claim_id", "bucket", F.row_number().over(Window.partitionBy("paper_id").orderBy("bucket", "ord")).cast("long").alias("place"))
+    return report.flagged(_judged(spark, sf_dir))
+
+
+@query(f"{BASE}, {_FLAGGED} SELECT paper_id, claim_id, place, greatest(total - 6, 0) AS more FROM p WHERE place <= 6")
+def flagged_display(spark, sf_dir):
+    """The six worst records of each paper, and how many more there are."""
+    return report.display_cap(report.flagged(_judged(spark, sf_dir)), ["paper_id"]).select("paper_id", "claim_id", "place", "more")
+
+
+@query(f"""{BASE}, q AS (SELECT paper_id, CASE WHEN doc_id % 40 = 0 THEN ['Backend X unavailable'] WHEN doc_id % 40 = 1 THEN ['limited to first 3 of 9 citation pairs'] END AS e FROM pred)
+  SELECT paper_id, bool_or(e IS NOT NULL AND contains(lower(e[1]), 'unavailable')) AS outage FROM q GROUP BY 1 UNION ALL SELECT 'down', true UNION ALL SELECT 'tiny', false""")
+def outage_runs(spark, sf_dir):
+    """Which runs degraded as a whole: by their only record, or by what their errors say."""
+    n = F.col("doc_id") % 40
+    errors = F.when(n == 0, F.array(F.lit("Backend X unavailable"))).when(n == 1, F.array(F.lit("limited to first 3 of 9 citation pairs")))
+    rows = pred(spark, sf_dir).select("paper_id", "claim_id", "cite_key", "exists", errors.alias("errors"))
+    more = spark.createDataFrame([("down", "run", "run", "unresolved", None), ("tiny", "1", "run", "unresolved", None)], "paper_id string, claim_id string, cite_key string, exists string, errors array<string>")
+    return report.outages(rows.unionByName(more))
 
 
 @query(f"""{BASE}, v AS (SELECT 'no fabricated reference' AS rule, count_if(exists_ = 'no') < 3 AS broken FROM pred UNION ALL SELECT 'no wrong metadata', count_if(n_issues > 0) < 3 FROM pred

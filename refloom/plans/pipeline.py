@@ -5,28 +5,62 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from refloom.operators import correctness, evidence, layout, report
-from refloom.plans.evaluation import BASE, pred
+from refloom.operators.severity import derive_severity
+from refloom.plans.evaluation import BASE, SEVERITY, pred
 from refloom.plans.registry import query, table
 from refloom.sources import records, tex
 
 
 def _works(spark, sf_dir):
+    """References of every kind: parts as cited, and what was found for them."""
     n = F.col("p_partkey")
     p = table(spark, sf_dir, "part")
+    title = F.concat(F.lit("The "), "p_name", F.lit(" of common things"))
     return p.select(
-        n, F.col("p_name").alias("title"), F.array(F.col("p_brand")).alias("authors"), F.col("p_size").alias("year"), F.col("p_type").alias("venue"), F.when(n % 6 == 0, "http://x.org").otherwise("").alias("url"),
-        F.when(n % 5 == 4, None).when(n % 2 == 0, "doi").otherwise("fuzzy_title").alias("method"), F.when(n % 7 == 0, "may 2020").otherwise(F.col("p_name")).alias("r_title"),
-        F.when(n % 11 == 0, F.array().cast("array<string>")).otherwise(F.array(F.col("p_brand"))).alias("r_authors"), (F.col("p_size") + n % 3).cast("int").alias("r_year"), F.when(n % 4 == 1, "elsewhere").otherwise(F.col("p_type")).alias("r_venue"),
-        F.when(n % 9 == 0, "live").when(n % 9 == 1, "dead").when(n % 9 == 2, "blocked").alias("url_status"),
+        n, title.alias("title"), F.array(F.lit("Yang Z"), F.lit("Müller, Hans")).alias("authors"), (F.lit(1990) + F.col("p_size")).cast("int").alias("year"), F.col("p_type").alias("venue"), F.when(n % 6 == 0, "http://x.org").otherwise("").alias("url"),
+        F.when(n % 31 == 0, " ").otherwise(title).alias("reference"), F.array(F.lit("crossref"), F.lit("s2")).alias("sources"), F.when(n % 5 == 4, None).when(n % 2 == 0, "doi").otherwise("fuzzy_title").alias("method"),
+        F.when(n % 7 == 0, "May 2020").when(n % 7 == 1, F.concat(F.upper(title), F.lit(": a study"))).otherwise(title).alias("r_title"),
+        F.when(n % 11 == 0, F.array().cast("array<string>")).when(n % 13 == 0, F.array(F.lit("Ann Other"))).when(n % 17 == 0, F.array(F.lit("OpenAI"))).otherwise(F.array(F.lit("Zhengyuan Yang"), F.lit("Hans Muller"))).alias("r_authors"),
+        (F.lit(1990) + F.col("p_size") + n % 4).cast("int").alias("r_year"), F.when(n % 4 == 1, "elsewhere").when(n % 4 == 2, None).otherwise(F.col("p_type")).alias("r_venue"),
+        F.when(n % 9 == 5, False).when(n % 9 == 6, True).alias("r_url_valid"), F.lit("http://y.org").alias("r_url"),
+        F.when(n % 9 == 0, "live").when(n % 9 == 1, "dead").when(n % 9 == 3, "blocked").alias("url_status"), F.lit(403).alias("url_http"), F.lit("http://x.org").alias("checked_url"),
     )
 
 
-@query("""WITH w AS (SELECT *, p_partkey AS n, CASE WHEN p_partkey % 5 = 4 THEN NULL WHEN p_partkey % 2 = 0 THEN 'doi' ELSE 'fuzzy_title' END AS method FROM part),
-  v AS (SELECT *, method = 'fuzzy_title' AND (n % 7 = 0 OR n % 11 = 0) AS vetoed FROM w), r AS (SELECT *, method IS NOT NULL AND NOT coalesce(vetoed, false) AS resolved FROM v)
-  SELECT p_partkey, CASE WHEN resolved OR n % 9 = 0 THEN 'yes' ELSE 'unresolved' END AS "exists", CASE WHEN resolved THEN method WHEN n % 9 = 0 THEN 'direct_url' END AS match_method,
-    CAST(CASE WHEN resolved THEN (CASE WHEN n % 7 = 0 THEN 1 ELSE 0 END) + (CASE WHEN n % 3 = 2 THEN 1 ELSE 0 END) + (CASE WHEN n % 4 = 1 THEN 1 ELSE 0 END) + (CASE WHEN n % 9 = 1 THEN 1 ELSE 0 END) WHEN n % 9 = 0 THEN 0 ELSE 1 END AS INT) AS n_issues FROM r""")
+_SHORT = "CASE WHEN length({x}) > 60 THEN substr({x}, 1, 59) || '…' ELSE {x} END"
+_FOUND = f" (''' || {_SHORT.format(x='r_title')} || ''')'"
+
+
+@query(f"""WITH w AS (SELECT *, p_partkey AS n, 'The ' || p_name || ' of common things' AS title, CASE WHEN p_partkey % 5 = 4 THEN NULL WHEN p_partkey % 2 = 0 THEN 'doi' ELSE 'fuzzy_title' END AS method, p_partkey % 31 = 0 AS void, p_partkey % 6 = 0 AS cites FROM part),
+  t AS (SELECT *, CASE WHEN n % 7 = 0 THEN 'May 2020' WHEN n % 7 = 1 THEN upper(title) || ': a study' ELSE title END AS r_title, n % 11 <> 0 AND n % 13 = 0 AS stranger, n % 11 <> 0 AND (n % 13 = 0 OR n % 17 = 0) AS differs,
+    len(list_filter(string_split(p_name, ' '), lambda x: length(x) > 3)) + 2 AS n_content FROM w),
+  v AS (SELECT *, CASE WHEN method IS DISTINCT FROM 'fuzzy_title' THEN NULL WHEN n % 7 = 0 THEN 'closest candidate is not a real title{_FOUND} WHEN n % 11 = 0 THEN 'closest candidate has no authors to corroborate{_FOUND}
+    WHEN differs AND cites THEN 'different author + the citation is a URL/release, not this paper{_FOUND} WHEN differs AND n_content <= 2 THEN 'different author on a short cited title (coincidental match){_FOUND}
+    WHEN differs AND n % 4 > 1 THEN 'closest candidate''s author and title/year contradict{_FOUND} END AS veto FROM t),
+  r AS (SELECT *, NOT void AND method IS NOT NULL AND veto IS NULL AS resolved, NOT void AND cites AND n % 9 = 0 AS live FROM v)
+  SELECT p_partkey, CASE WHEN resolved OR live THEN 'yes' ELSE 'unresolved' END AS "exists", CASE WHEN resolved THEN method WHEN live THEN 'direct_url' END AS match_method,
+    CASE WHEN resolved THEN array_to_string(list_filter([CASE WHEN n % 7 = 0 THEN 'title mismatch: cited ''' || {_SHORT.format(x='title')} || ''' vs ''May 2020''' END, CASE WHEN n % 4 > 1 THEN 'year mismatch: cited ' || (1990 + p_size) || ' vs ' || (1990 + p_size + n % 4) END,
+        CASE WHEN n % 4 = 1 THEN 'venue mismatch: cited ''' || {_SHORT.format(x='p_type')} || ''' vs ''elsewhere''' END, CASE WHEN stranger THEN 'first-author mismatch: cited ''Yang Z'' vs ''Ann Other''' END,
+        CASE WHEN n % 9 = 5 THEN 'cited/resolved URL did not validate: http://y.org' END], lambda x: x IS NOT NULL), '; ')
+      WHEN live THEN '' WHEN void THEN 'no reference string available to resolve'
+      WHEN cites AND n % 9 = 3 THEN 'url access blocked: HTTP 403 from direct fetch (http://x.org); no configured API/search fallback validated — set GITHUB_TOKEN / S2_API_KEY or a search key and re-run'
+      WHEN veto IS NOT NULL THEN 'abstained from a weak fuzzy-title match — ' || veto ELSE 'could not retrieve a confident match — searched Crossref, Semantic Scholar' END AS issues FROM r""")
 def correctness_decision(spark, sf_dir):
-    return correctness.fill_correctness(_works(spark, sf_dir)).select("p_partkey", "exists", "match_method", F.size("issues").alias("n_issues"))
+    return correctness.fill_correctness(_works(spark, sf_dir)).select("p_partkey", "exists", "match_method", F.array_join("issues", "; ").alias("issues"))
+
+
+@query("""SELECT p_partkey, 'The ' || p_name || ' — A, B — ' || (1990 + p_size) AS quote, CASE WHEN p_partkey % 3 = 0 THEN '10.1/x' WHEN p_partkey % 3 = 1 THEN '2101.1' ELSE 'structured' END AS source,
+  CASE WHEN p_partkey % 2 = 0 THEN 'year;venue;title' ELSE 'year;url;venue;title' END AS issues, CASE WHEN p_partkey % 4 = 0 THEN 1 ELSE 2 END AS n_evidence FROM part""")
+def resolved_evidence(spark, sf_dir):
+    """The matched record as evidence, once each, and two lists of issues as one."""
+    n, none = F.col("p_partkey"), F.lit(None).cast("string")
+    seen = correctness.metadata_evidence(F.concat(F.lit("The "), "p_name"), F.array(F.lit("A"), F.lit(""), F.lit("B")), (F.lit(1990) + F.col("p_size")).cast("int"), F.when(n % 3 == 0, "10.1/x").otherwise(""), F.when(n % 3 == 1, "2101.1"), none, none)
+    other = seen.withField("quote", F.when(n % 4 == 0, seen["quote"]).otherwise("else")).withField("url", F.lit("http://z"))
+    ours = F.array(F.lit("year"), F.when(n % 2 == 0, "venue").otherwise("url"))
+    merged = correctness.merge_issues(ours, F.array(F.lit("venue"), F.lit("year"), F.lit("title")))
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", seen["quote"].alias("quote"), seen["source"].alias("source"), F.array_join(merged, ";").alias("issues"), F.size(correctness.distinct_evidence(F.array(seen, other, seen))).alias("n_evidence")
+    )
 
 
 @query(f"""{BASE} SELECT claim_id, ord, supports IN ('inconclusive', 'does_not') OR (supports = 'partial' AND doc_id % 2 = 0) AS escalates FROM pred""")
@@ -35,17 +69,112 @@ def stage_escalation(spark, sf_dir):
     return pred(spark, sf_dir).select("claim_id", "ord", evidence.escalates(F.col("supports"), evidence.experimental(evidence.words(claim))).alias("escalates"))
 
 
-@query("""SELECT doc_id, CASE WHEN contains(lower(coalesce(text, '')), 'based on') OR contains(lower(coalesce(text, '')), 'of the') OR contains(lower(coalesce(text, '')), 'that are') THEN 'obligatory' ELSE 'helpful' END AS priority FROM documents""")
+_CUE = " OR ".join(f"contains(low, '{c}')" for c in evidence.OBLIGATORY_CUES)
+_TEXT_CUE = "lower(coalesce(text, '')) || CASE doc_id % 4 WHEN 0 THEN ' as shown in it' WHEN 1 THEN ' for example a survey' WHEN 2 THEN ' for a survey of a dataset' ELSE '' END"
+
+
+@query(f"""SELECT doc_id, CASE WHEN {_CUE} THEN 'obligatory' ELSE 'helpful' END AS priority FROM (SELECT doc_id, {_TEXT_CUE} AS low FROM documents)""")
 def priority_cues(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", evidence.priority(F.coalesce("text", F.lit("")), ("based on", "of the", "that are")).alias("priority"))
+    n = F.col("doc_id") % 4
+    cued = F.concat(F.coalesce("text", F.lit("")), F.when(n == 0, " As Shown In it").when(n == 1, " for example a survey").when(n == 2, " for a survey of a DATASET").otherwise(""))
+    return table(spark, sf_dir, "documents").select("doc_id", evidence.priority(cued).alias("priority"))
+
+
+_RECORDS = rf"""{BASE}, rec AS (SELECT *, {SEVERITY.format(e="exists_", s="supports", p="priority")} AS severity, ([[], ['A. Bee'], ['A. Bee', 'C|D'], ['E', 'F', 'G']])[doc_id % 4 + 1] AS authors,
+    CASE WHEN doc_id % 10 <> 0 THEN 'Title ' || doc_id END AS title, CASE WHEN doc_id % 3 = 0 THEN 0 ELSE 2000 + doc_id % 20 END AS year, CASE WHEN doc_id % 7 = 0 THEN 'raw | text' END AS raw, CASE WHEN doc_id % 3 = 1 THEN 'Intro' WHEN doc_id % 3 = 2 THEN '' END AS section,
+    CASE WHEN doc_id % 5 <> 0 THEN doc_id // 2 END AS span, CASE WHEN doc_id % 2 = 0 THEN 'ref-' || (doc_id % 9) ELSE cite_key END AS key, CASE WHEN doc_id % 6 = 0 THEN 'seen in full text' WHEN doc_id % 6 = 1 THEN '' END AS notes, CASE WHEN doc_id % 8 = 1 THEN 'failed' END AS err FROM pred),
+  cel AS (SELECT *, coalesce(nullif(replace(array_to_string(list_filter([CASE WHEN len(authors) > 2 THEN authors[1] || ' et al.' ELSE array_to_string(authors, ', ') END, title, CASE WHEN year <> 0 THEN CAST(year AS VARCHAR) END], lambda x: length(x) > 0), ', '), '|', '\|'), ''),
+      replace(replace(raw, '|', '\|'), '|', '\|'), key) AS citation, CASE WHEN section = 'Intro' THEN '[Intro] ' || claim_id ELSE claim_id END AS claim, CASE WHEN n_issues > 0 THEN 'year differs' ELSE '' END AS issue,
+      coalesce(nullif(notes, ''), err, '') AS expl, '[' || regexp_replace(key, '^ref-([0-9]+)$', '\1') || ']' AS mark,
+      CASE supports WHEN 'supports' THEN 'Relevant' WHEN 'partial' THEN 'Partly Relevant' WHEN 'does_not' THEN 'Irrelevant' WHEN 'inconclusive' THEN 'Inconclusive' END AS label FROM rec)"""
+
+
+def records_of(spark, sf_dir):
+    """Records of every shape, for reports."""
+    n, none = F.col("doc_id"), F.lit(None).cast("string")
+    rows = pred(spark, sf_dir)
+    authors = F.when(n % 4 == 0, F.array().cast("array<string>")).when(n % 4 == 1, F.array(F.lit("A. Bee"))).when(n % 4 == 2, F.array(F.lit("A. Bee"), F.lit("C|D"))).otherwise(F.array(F.lit("E"), F.lit("F"), F.lit("G")))
+    return rows.withColumn("severity", derive_severity(F.col("exists"), F.col("supports"), F.col("priority"))).withColumns({
+        "authors": authors, "title": F.when(n % 10 != 0, F.concat(F.lit("Title "), n)), "year": F.when(n % 3 == 0, 0).otherwise((2000 + n % 20).cast("int")), "raw": F.when(n % 7 == 0, "raw | text"),
+        "section": F.when(n % 3 == 1, "Intro").when(n % 3 == 2, ""), "span": F.when(n % 5 != 0, F.floor(n / 2)), "cite_key": F.when(n % 2 == 0, F.concat(F.lit("ref-"), n % 9)).otherwise(F.col("cite_key")),
+        "notes": F.when(n % 6 == 0, "seen in full text").when(n % 6 == 1, ""), "error": F.when(n % 8 == 1, "failed").otherwise(none), "claim": F.col("claim_id"),
+    })
+
+
+_NL = "chr(10)"
+_MAIN = f"""num AS (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY f, ord) AS no FROM (SELECT *, min(ord) OVER (PARTITION BY paper_id, key) AS f, span IS NOT NULL AND count(*) OVER (PARTITION BY paper_id, span) > 1 AS shared FROM cel WHERE supports <> 'skipped')),
+  main AS (SELECT paper_id, '**Scope:** ' || count(*) || ' (claim, citation) ' || CASE WHEN count(*) = 1 THEN 'pair' ELSE 'pairs' END || ' for `' || paper_id || '`.' || {_NL} || {_NL} || '| {" | ".join(report.HEADER)} |' || {_NL} || '|{" --- |" * 7}' || {_NL}
+    || string_agg('| ' || no || ' | ' || citation || ' | ' || CASE WHEN shared THEN mark || ' ' ELSE '' END || claim || ' | ' || exists_ || ' | ' || issue || ' | ' || label || ' | ' || expl || ' |', {_NL} ORDER BY no) AS "table" FROM num GROUP BY paper_id)"""
+_SKIPPED = f"""num2 AS (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY f, ord) AS no FROM (SELECT *, min(ord) OVER (PARTITION BY paper_id, key) AS f FROM cel WHERE supports = 'skipped')),
+  skip AS (SELECT paper_id, '## Skipped — table/figure citation sites' || {_NL} || {_NL} || 'These **' || count(*) || '**{report.SKIPPED_NOTE[1]}' || {_NL} || {_NL} || '| {" | ".join(report.SKIPPED_HEADER)} |' || {_NL} || '|{"---|" * 5}' || {_NL}
+    || string_agg('| ' || no || ' | ' || citation || ' | ' || claim || ' | ' || exists_ || ' | ' || issue || ' |', {_NL} ORDER BY no) AS skipped FROM num2 GROUP BY paper_id)"""
+
+
+def _sum_row(label: str, count: str, token: str) -> str:
+    return f"'| {label} | ' || {count} || ' |  | {report.SUPPORTS[token]} | ' || s_{token} || ' |' || {_NL}"
+
+
+_REASON = "CASE WHEN supports = 'inconclusive' THEN CASE WHEN exists_ <> 'yes' THEN 'unresolved' WHEN contains(notes, 'full text') THEN 'fulltext' ELSE 'abstract' END END"
+_WHY = {k: v.replace("'", "''") for k, v in report.REASONS.items()}
+_SUMMARY = f"""wrk AS (SELECT paper_id, key, arg_min(exists_, ord) AS e, bool_or(n_issues > 0) AS m FROM cel GROUP BY 1, 2),
+  bw AS (SELECT paper_id, count(*) AS refs, count_if(m) AS meta, {", ".join(f"count_if(e = '{x}') AS e_{x}" for x in report.EXISTS)} FROM wrk GROUP BY 1),
+  br AS (SELECT paper_id, count(*) AS n, count_if(severity = 'high') AS high, {", ".join(f"count_if(supports = '{x}') AS s_{x}" for x in report.SUPPORTS)}, {", ".join(f"count_if(reason = '{x}') AS r_{x}" for x in report.REASONS)},
+    string_agg('- `' || key || '` — ' || citation || ': high' || CASE WHEN expl <> '' THEN ' — ' || expl ELSE '' END, {_NL} ORDER BY ord) FILTER (WHERE severity = 'high') AS fixes FROM (SELECT *, {_REASON} AS reason FROM cel) GROUP BY 1),
+  summ AS (SELECT bw.paper_id, '## Summary' || {_NL} || {_NL} || '**' || n || '** (claim, citation) pairs over **' || refs || '** unique references · **' || meta || '** with metadata issues · **' || high || '** high-severity.' || {_NL} || {_NL}
+    || '| References — Exists? | n |  | Claims — Relevance | n |' || {_NL} || '|:---|---:|:-:|:---|---:|' || {_NL} || {_sum_row("yes", "e_yes", "supports")} || {_sum_row("unresolved", "e_unresolved", "partial")} || {_sum_row("no (fabricated)", "e_no", "does_not")}
+    || '| **total refs** | **' || refs || '** |  | Inconclusive | ' || s_inconclusive || ' |' || CASE WHEN s_inconclusive > 0 THEN {_NL} || {_NL} || '{report.ABSTAINED}' ELSE '' END
+    || {" || ".join(f"CASE WHEN r_{k} > 0 THEN {_NL} || '- {v}: **' || r_{k} || '**' ELSE '' END" for k, v in _WHY.items())}
+    || CASE WHEN s_skipped > 0 THEN {_NL} || {_NL} || '*Plus **' || s_skipped || '**{report.SKIPPED_NOTE[0]}' ELSE '' END || CASE WHEN high > 0 THEN {_NL} || {_NL} || '### Fix before submission' || {_NL} || fixes ELSE '' END AS summary FROM bw JOIN br ON bw.paper_id = br.paper_id)"""
 
 
-@query(f"""{BASE}, k AS (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY f, ord) AS no FROM (SELECT *, min(ord) OVER (PARTITION BY paper_id, cite_key) AS f FROM pred WHERE supports <> 'skipped'))
-  SELECT paper_id, CAST(count(*) AS VARCHAR) || CASE WHEN count(*) = 1 THEN ' citation' ELSE ' citations' END || ' in ' || paper_id || chr(10) || chr(10) || '| # | Citation | Claim | Exists | Metadata | Supports | Explanation |' || chr(10) || '|---|---|---|---|---|---|---|' || chr(10) ||
-    string_agg('| ' || no || ' | ' || cite_key || ' | ' || claim_id || ' | ' || exists_ || ' | ' || CASE WHEN n_issues > 0 THEN 'year differs' ELSE '' END || ' | ' || supports || ' |  |', chr(10) ORDER BY no) AS report FROM k GROUP BY paper_id""")
+@query(f"""{_RECORDS}, {_MAIN} SELECT paper_id, "table" FROM main""")
+def markdown_table(spark, sf_dir):
+    """The main table of each paper's report."""
+    return report.table(records_of(spark, sf_dir))
+
+
+@query(f"{_RECORDS}, {_SKIPPED} SELECT paper_id, skipped FROM skip")
+def skipped_appendix(spark, sf_dir):
+    return report.skipped(records_of(spark, sf_dir))
+
+
+@query(f"{_RECORDS}, {_SUMMARY} SELECT paper_id, summary FROM summ")
+def markdown_summary(spark, sf_dir):
+    return report.summary(records_of(spark, sf_dir))
+
+
+_FOOTER = rf"""foot AS (SELECT paper_id, '## Run' || {_NL} || {_NL} || '- Backend: `b`' || CASE WHEN count(*) % 2 = 0 THEN ' · model `m`' ELSE '' END || {_NL} || '- Tokens: in ' || format('{{:,}}', sum(doc_id)::BIGINT) || ' / out ' || format('{{:,}}', count(*) * 1000) || ' (total ' || format('{{:,}}', (sum(doc_id) + count(*) * 1000)::BIGINT) || ')' || {_NL}
+    || '- Cost: $' || format('{{:.4f}}', count(*) / 8.0) || ' · turns ' || count(*) || ' · tool calls ' || count(DISTINCT key) || CASE WHEN count(*) % 3 <> 0 THEN {_NL} || '- Wall time: ' || format('{{:.1f}}', CAST(count(*) % 3 AS DOUBLE)) || 's' ELSE '' END
+    || CASE WHEN count(*) % 2 = 1 THEN {_NL} || {_NL} || '### Degraded pairs' || {_NL} || '- a \| b' ELSE '' END AS footer FROM cel GROUP BY 1)"""
+
+
+def _usage_of(records):
+    n = F.col("turns")
+    sums = records.groupBy("paper_id").agg(F.count("*").alias("turns"), F.sum("doc_id").alias("n_in"), F.count_distinct("cite_key").alias("tool_calls"))
+    return sums.withColumns({
+        "backend": F.lit("b"), "model": F.when(n % 2 == 0, "m").otherwise(""), "n_out": n * 1000, "cost": n / 8, "seconds": (n % 3).cast("double"), "errors": F.when(n % 2 == 1, F.array(F.lit("a | b"))).otherwise(F.array().cast("array<string>")),
+    })
+
+
+@query(f"{_RECORDS}, {_FOOTER} SELECT paper_id, footer FROM foot")
+def usage_footer(spark, sf_dir):
+    return report.usage_footer(_usage_of(records_of(spark, sf_dir)))
+
+
+@query(f"""{_RECORDS}, {_MAIN}, {_SKIPPED}, {_SUMMARY}, {_FOOTER} SELECT summ.paper_id, '# Citation verification — `' || summ.paper_id || '`' || {_NL} || {_NL}
+    || coalesce("table", '**Scope:** 0 (claim, citation) pairs.' || {_NL} || {_NL} || '| {" | ".join(report.HEADER)} |' || {_NL} || '|{" --- |" * 7}') || {_NL} || {_NL} || summary || coalesce({_NL} || {_NL} || skipped, '') || {_NL} || {_NL} || footer AS report
+  FROM summ LEFT JOIN main ON summ.paper_id = main.paper_id LEFT JOIN skip ON summ.paper_id = skip.paper_id JOIN foot ON summ.paper_id = foot.paper_id""")
 def markdown_report(spark, sf_dir):
-    rows = pred(spark, sf_dir).withColumns({"claim": F.col("claim_id"), "notes": F.lit(None).cast("string")})
-    return report.markdown(rows)
+    """Whole reports: heading, table, summary, appendix, run."""
+    rows = records_of(spark, sf_dir)
+    return report.markdown(rows, _usage_of(rows))
+
+
+@query(f"""{_RECORDS}, k AS (SELECT paper_id, key, arg_min(exists_, ord) AS e, count(*) AS pairs, count_if(severity = 'high') AS high FROM cel GROUP BY 1, 2)
+  SELECT paper_id, CAST(count(*) AS BIGINT) AS refs, CAST(sum(pairs) AS BIGINT) AS pairs, CAST(sum(high) AS BIGINT) AS high, count_if(e = 'yes') AS yes, (SELECT count(*) FROM cel WHERE cel.paper_id = k.paper_id AND supports = 'partial') AS partial FROM k GROUP BY 1""")
+def web_summary(spark, sf_dir):
+    got = report.web_summary(records_of(spark, sf_dir))
+    return got.select("paper_id", "refs", "pairs", "high", F.coalesce(F.try_element_at("exists", F.lit("yes")), F.lit(0)).alias("yes"), F.coalesce(F.try_element_at("supports", F.lit("partial")), F.lit(0)).alias("partial"))
 
 
 @query()

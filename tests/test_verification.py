@@ -83,18 +83,26 @@ def test_matching_of_repeated_rows(spark):
 
 
 def test_veto_and_issues(spark):
-    schema = "title string, authors array<string>, year int, venue string, url string, method string, r_title string, r_authors array<string>, r_year int, r_venue string, url_status string"
+    schema = (
+        "title string, authors array<string>, year int, venue string, url string, reference string, sources array<string>, method string, r_title string, r_authors array<string>, r_year int, r_venue string, r_url_valid boolean, r_url string, "
+        "url_status string, url_http int, checked_url string"
+    )
+    graph, lee = "Graph nets for molecules", ["Ann Lee"]
     rows = [
-        ("Graph nets for molecules", ["Ann Lee"], 2019, "ICML", "", "fuzzy_title", "Graph nets for molecules", ["Lee A"], 2019, "Proc. ICML", None),
-        ("Graph nets for molecules", ["Ann Lee"], 2019, "ICML", "http://x", "fuzzy_title", "Graph nets for molecules", ["Bo Ho"], 2019, "ICML", "live"),
-        ("Graph nets for molecules", ["Ann Lee"], 2019, "ICML", "", "fuzzy_title", "May 2019", ["Lee A"], 2019, "ICML", None),
-        ("Graph nets for molecules", ["Ann Lee"], 2015, "ICML", "", "doi", "Graph nets for molecules", ["Bo Ho"], 2019, "NeurIPS", "dead"),
-        ("Graph nets", ["Ann Lee"], 2015, "", "", None, None, None, None, None, "blocked"),
+        (graph, lee, 2019, "ICML", "", "r", [], "fuzzy_title", graph, ["Lee A"], 2019, "Proc. ICML", None, None, None, None, None),
+        (graph, lee, 2019, "ICML", "http://x", "r", [], "fuzzy_title", graph, ["Bo Ho"], 2019, "ICML", None, None, "live", 200, "http://x"),
+        (graph, lee, 2019, "ICML", "", "r", [], "fuzzy_title", "May 2019", ["Lee A"], 2019, "ICML", None, None, None, None, None),
+        (graph, lee, 2015, "ICML", "", "r", [], "doi", graph, ["Bo Ho"], 2019, "NeurIPS", False, "u", "dead", 404, None),
+        ("Graph nets", lee, 2015, "", "http://x", "r", ["arxiv"], None, None, None, None, None, None, None, "blocked", 403, "http://x"),
+        ("OpenAI o3-mini", ["OpenAI"], 2025, "", "", "r", [], "fuzzy_title", "A case of pneumonia with o3-mini", ["Bo Ho"], 2025, "", None, None, None, None, None),
+        (None, None, None, None, None, "", ["arxiv"], None, None, None, None, None, None, None, None, None, None),
+        (None, None, None, None, None, "r", ["arxiv", "dblp"], None, None, None, None, None, None, None, "error", None, None),
     ]
     got = correctness.fill_correctness(spark.createDataFrame(rows, schema)).collect()
-    assert [(r["exists"], r.match_method) for r in got] == [("yes", "fuzzy_title"), ("yes", "direct_url"), ("unresolved", None), ("yes", "doi"), ("unresolved", None)]
-    assert got[0].issues == [] and got[2].issues == ["match rejected: candidate has no title"] and got[4].issues == ["URL is blocked"]
-    assert got[3].issues == ["year: 2015 vs 2019", "venue: ICML vs NeurIPS", "first author differs", "url is dead"]
+    assert [(r["exists"], r.match_method) for r in got] == [("yes", "fuzzy_title"), ("yes", "direct_url"), ("unresolved", None), ("yes", "doi"), *[("unresolved", None)] * 4]
+    assert got[0].issues == got[1].issues == [] and got[2].issues == ["abstained from a weak fuzzy-title match — closest candidate is not a real title ('May 2019')"] and got[4].issues[0].startswith("url access blocked: HTTP 403")
+    assert got[3].issues == ["year mismatch: cited 2015 vs 2019", "venue mismatch: cited 'ICML' vs 'NeurIPS'", "first-author mismatch: cited 'Ann Lee' vs 'Bo Ho'", "cited/resolved URL did not validate: u"]
+    assert "short cited title" in got[5].issues[0] and got[6].issues == ["no reference string available to resolve"] and got[7].issues == ["could not retrieve a confident match — searched arXiv, DBLP"]
 
 
 def test_evidence(spark):
@@ -107,6 +115,10 @@ def test_evidence(spark):
     passages = spark.createDataFrame([(7, 0, "Introduction", "Cats are nice animals.\n\nDogs and cats differ in accuracy."), (7, 1, "Results", "We find cats outperform dogs in accuracy."), (8, 0, "", "cats outperform dogs in accuracy.")], "paper int, section_no int, heading string, text string")
     top = evidence.top_chunks(claims, passages, 2).orderBy("place").collect()
     assert [(r.heading, r.overlap) for r in top] == [("Results", 1.0), ("Introduction", 0.75)]
+    # without any shared word the leading chunks are taken, headings are not, and inner whitespace is one space
+    other = spark.createDataFrame([(2, 7, "zebra stripes"), (3, 9, None)], "claim_id int, paper int, claim string")
+    more = passages.unionByName(spark.createDataFrame([(7, 2, "", "E.2 High-order Features\n\na  b\n c is said.")], passages.schema))
+    assert [r.chunk for r in evidence.top_chunks(other, more, 9).orderBy("place").collect()] == ["Cats are nice animals.", "Dogs and cats differ in accuracy.", "a b c is said."]  # Results is not in the scope of this claim
 
 
 def test_layout(spark):
@@ -120,9 +132,20 @@ def test_layout(spark):
 
 
 def test_report_and_usage(spark):
-    rows = [("p", "k1", 0, "a|b", "yes", [], "supports", None), ("p", "k2", 1, "c", "no", ["x", "y"], "partial", "n"), ("p", "k1", 2, "d", "yes", [], "supports", None), ("p", "k3", 3, "e", "yes", [], "skipped", None)]
-    text = report.markdown(spark.createDataFrame(rows, "paper_id string, cite_key string, ord int, claim string, exists string, issues array<string>, supports string, notes string")).first().report
-    assert text.split("\n") == ["3 citations in p", "", "| # | Citation | Claim | Exists | Metadata | Supports | Explanation |", "|---|---|---|---|---|---|---|", "| 1 | k1 | a\\|b | yes |  | supports |  |", "| 2 | k1 | d | yes |  | supports |  |", "| 3 | k2 | c | no | x; y | partial | n |"]
+    schema = "paper_id string, cite_key string, ord int, claim string, section string, span int, authors array<string>, title string, year int, raw string, exists string, issues array<string>, supports string, severity string, notes string, error string"
+    rows = [
+        ("p", "ref-6", 0, "a|b", "Intro", 5, ["A", "B", "C"], "T", 2020, None, "yes", [], "supports", "ok", None, None), ("p", "k2", 1, "c", None, 5, [], None, None, "raw\ntext", "no", ["x", "y"], "partial", "high", "n", None),
+        ("p", "ref-6", 2, "d", "", None, ["A"], "T", 0, None, "yes", [], "does_not", "ok", "", "boom"), ("p", "k3", 3, "e", None, None, None, None, None, "", "odd", [], "skipped", "ok", None, None),
+    ]
+    records = spark.createDataFrame(rows, schema)
+    assert report.table(records).first().table.split("\n") == [
+        "**Scope:** 3 (claim, citation) pairs for `p`.", "", "| # | Citation (authors, title, year) | Cited where (the claim) | Exists? | Match notes | Supports claim? | Explanation |", "| --- | --- | --- | --- | --- | --- | --- |",
+        "| 1 | A et al., T, 2020 | [6] [Intro] a\\|b | yes |  | Relevant |  |", "| 2 | A, T | d | yes |  | Irrelevant | boom |", "| 3 | raw text | [k2] c | no | x; y | Partly Relevant | n |",
+    ]
+    assert report.skipped(records).first().skipped.endswith("| 1 | k3 | e | unresolved |  |")
+    summary = report.summary(records).first().summary
+    assert summary.endswith("### Fix before submission\n- `k2` — raw text: high — n") and "**4** (claim, citation) pairs over **3** unique references · **1** with metadata issues · **1** high-severity." in summary
+    assert report.web_summary(records).first().asDict() == {"paper_id": "p", "refs": 3, "pairs": 4, "high": 1, "exists": {"yes": 1, "no": 1, "odd": 1}, "supports": {"supports": 1, "partial": 1, "does_not": 1, "skipped": 1}}
     prices = spark.createDataFrame([("son", 1.0, 2.0), ("sonnet", 3.0, 4.0)], "key string, p_in double, p_out double")
     got = usage.priced(spark.createDataFrame([("X-Sonnet-9",), ("other",)], "model string"), prices).collect()
     assert {(r.model, r.p_in, r.p_out) for r in got} == {("X-Sonnet-9", 3.0, 4.0), ("other", 3.0, 15.0)}
