@@ -20,8 +20,8 @@ the corpus at once:
    than the minimum over the tuples between them. A window is repeated where the
    common prefix with a neighbour reaches ``length``.
 
-Memory is bounded by ``queue_bytes``; what exceeds it is spilled to the executor's
-local disk, so one shard may be far larger than memory.
+Queues, runs and what is known of them are held up to ``queue_bytes`` each; what exceeds it goes to the
+executor's local disk, where it is read in blocks or mapped, so one shard may be far larger than memory.
 """
 
 from __future__ import annotations
@@ -82,7 +82,7 @@ def window_runs(data: bytes, length: int) -> tuple[np.ndarray, ...]:
         starts = np.flatnonzero(np.concatenate(([True], low[1:] != low[:-1])))
         ends = np.append(starts[1:], len(low))
         anchor = (low[starts] & mask).astype(np.int64)
-        parts.append((low[starts] >> np.uint64(_POSITION_BITS), starts + at, ends - starts, anchor - (ends - 1)))
+        parts.append((part[anchor], starts + at, ends - starts, anchor - (ends - 1)))  # the whole hash, so that few anchors meet by chance
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
@@ -181,19 +181,57 @@ def _base_lcp(right: list[bytes], length: int) -> np.ndarray:
     return np.concatenate(([0], np.minimum(lcp, np.minimum(sizes[1:], sizes[:-1])))).astype(np.int32)
 
 
+RUN = np.dtype([("h", np.int64), ("s", np.int64), ("at", np.int64), ("lcp", np.int32), ("low", np.int32), ("depth", np.int32)])
+
+
+class Column:
+    """Rows of a numpy type that are appended: in memory up to ``bound`` bytes, then in a temporary file that is mapped."""
+
+    def __init__(self, dtype: np.dtype, bound: int):
+        self.dtype, self.bound = np.dtype(dtype), bound
+        self.rows, self.parts, self.file = 0, [], None
+
+    def add(self, rows: np.ndarray) -> None:
+        self.rows += len(rows)
+        if self.file is None and self.rows * self.dtype.itemsize > self.bound:
+            self.file = tempfile.TemporaryFile(prefix="refloom-shard-")
+            for x in self.parts:
+                self.file.write(x.tobytes())
+            self.parts = []
+        if self.file is None:
+            self.parts.append(rows)
+        else:
+            self.file.write(rows.tobytes())
+
+    def all(self) -> np.ndarray:
+        if self.file is None:
+            return np.concatenate(self.parts) if self.parts else np.zeros(0, self.dtype)
+        self.file.flush()
+        return np.memmap(self.file, self.dtype, "r+", shape=self.rows)
+
+    def close(self) -> None:
+        self.parts = []
+        if self.file is not None:
+            self.file.close()
+
+
+def _filled(n: int, value: int, dtype, bound: int, block_rows: int) -> Column:
+    out = Column(dtype, bound)
+    for at in range(0, n, block_rows):
+        out.add(np.full(min(block_rows, n - at), value, dtype))
+    return out
+
+
 class Shards:
     """A chunk of whole shards for induced sorting, fed in suffix order.
 
-    Of a run it holds some 30 bytes; the bytes left of the anchors go to a
-    temporary file beyond ``bound`` bytes.
+    What it holds of runs, and the bytes left of their anchors, go to temporary files beyond ``bound`` bytes.
     """
 
     def __init__(self, length: int, bound: int):
         self.length, self.bound = length, bound
-        self.rows, self.held = 0, 0
-        self.columns: list[tuple[np.ndarray, ...]] = []
-        self.left: list[bytes] = []
-        self.file = None
+        self.rows, self.bytes = 0, 0
+        self.runs, self.left = Column(RUN, bound), Column(np.uint8, bound)
         self.last: tuple[int, bytes] | None = None
 
     def add(self, h: np.ndarray, s: np.ndarray, right: list[bytes], left: list[bytes], low: np.ndarray) -> None:
@@ -203,61 +241,69 @@ class Shards:
         lcp = _base_lcp([right0, *right], self.length)[1:]
         lcp[np.concatenate(([h0], h[:-1])) != h] = 0
         self.last = (int(h[-1]), right[-1])
-        self.columns.append((h, s, lcp, low.astype(np.int32), np.fromiter(map(len, left), np.int32, len(left))))
+        runs = np.empty(len(h), RUN)
+        runs["h"], runs["s"], runs["lcp"], runs["low"] = h, s, lcp, low
+        runs["depth"] = np.fromiter(map(len, left), np.int32, len(left))
+        runs["at"] = self.bytes + np.cumsum(runs["depth"], dtype=np.int64) - runs["depth"]
+        joined = np.frombuffer(b"".join(left), np.uint8)
+        self.runs.add(runs)
+        self.left.add(joined)
         self.rows += len(h)
-        joined = b"".join(left)
-        self.held += len(joined)
-        if self.held > self.bound and self.file is None:
-            self.file = tempfile.TemporaryFile(prefix="refloom-shard-")
-            for x in self.left:
-                self.file.write(x)
-            self.left = []
-        if self.file is not None:
-            self.file.write(joined)
-        else:
-            self.left.append(joined)
-
-    def repeated(self, block_rows: int = 1_000_000) -> tuple[np.ndarray, ...]:
-        """(h, s, first offset, last offset) of each stretch of repeated windows."""
-        h, s, lcp, low, depth = (np.concatenate(x) for x in zip(*self.columns, strict=True))
-        if self.file is not None:
-            self.file.flush()
-            left_bytes = np.memmap(self.file, np.uint8, "r") if self.held else np.zeros(0, np.uint8)
-        else:
-            left_bytes = np.frombuffer(b"".join(self.left), np.uint8)
-        row, a, b = _induce(lcp, low, depth, left_bytes, self.length, self.bound, block_rows)
-        if self.file is not None:
-            del left_bytes
-            self.file.close()
-        return h[row], s[row], a, b
-
-
-def _induce(lcp: np.ndarray, low: np.ndarray, depth: np.ndarray, left_bytes: np.ndarray, length: int, queue_bytes: int, block_rows: int) -> tuple[np.ndarray, ...]:
-    """The passes: row i is a run, its common prefix with row i - 1 at the anchor, the smallest and
-    the largest offset of its anchor in its windows; left_bytes joins the bytes before each anchor."""
-    n = len(lcp)
-    left_at = np.concatenate(([0], np.cumsum(depth, dtype=np.int64)))
-    opened = np.full(n, -1, np.int32)  # offset at which the present stretch began
-    found: list[tuple[np.ndarray, ...]] = []
-    base = np.empty(n, TUPLE)
-    base["run"], base["lcp"] = np.arange(n), lcp
-    blocks: Iterator[np.ndarray] = iter([base[i : i + block_rows] for i in range(0, n, block_rows)])
+        self.bytes += len(joined)
+
+    def repeated(self, block_rows: int = 1_000_000) -> Iterator[tuple[np.ndarray, ...]]:
+        """(h, s, first offset, last offset) of stretches of repeated windows, as they end."""
+        runs = self.runs.all()
+        for row, a, b in _induce(runs, self.left.all(), self.length, self.bound, block_rows):
+            yield runs["h"][row], runs["s"][row], a, b
+        self.runs.close()
+        self.left.close()
+
+
+def _ended(open_: np.ndarray, flagged: np.ndarray | None, offset: int, block_rows: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(row, first offset, last offset) of open stretches that are not flagged any more, which are closed. Flags are taken back."""
+    for at in range(0, len(open_), block_rows):
+        part = open_[at : at + block_rows]
+        gone = part >= 0 if flagged is None else (part >= 0) & ~flagged[at : at + block_rows].view(bool)
+        end = np.flatnonzero(gone)
+        if len(end):
+            yield end + at, part[end].copy(), np.full(len(end), offset)
+            part[end] = -1
+        if flagged is not None:
+            flagged[at : at + block_rows] = 0
+
+
+def _induce(runs: np.ndarray, left_bytes: np.ndarray, length: int, queue_bytes: int, block_rows: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """The passes: a row of RUN has its common prefix with the row before at the anchor, the smallest and the largest offset of its
+    anchor in its windows, and where the bytes before its anchor are in left_bytes."""
+    n = len(runs)
+    marks, opened = _filled(n, 0, np.uint8, queue_bytes, block_rows), _filled(n, -1, np.int32, queue_bytes, block_rows)
+    flagged, open_ = marks.all(), opened.all()  # whether a run's window at this offset is repeated; the offset at which its present stretch began
+
+    def base() -> Iterator[np.ndarray]:
+        for at in range(0, n, block_rows):
+            part = runs[at : at + block_rows]
+            block = np.empty(len(part), TUPLE)
+            block["run"], block["lcp"] = np.arange(at, at + len(part)), part["lcp"]
+            yield block
+
+    blocks: Iterator[np.ndarray] = base()
+    deepest = max((int(runs["depth"][at : at + block_rows].max()) for at in range(0, n, block_rows)), default=0)
     offset = 0
-    for offset in range(int(depth.max(initial=0)) + 1):
+    for offset in range(deepest + 1):
         queue = SpillQueue(queue_bytes)
         nxt = _Induction(queue)
-        flagged = np.zeros(n, bool)
         last, carry, alive = -1, _FAR, 0
         for block in blocks:
             run, common = np.ascontiguousarray(block["run"]), np.ascontiguousarray(block["lcp"])
             same = np.flatnonzero(common >= length)
             if len(same):
-                flagged[run[same]] = True
-                flagged[run[same[same > 0] - 1]] = True
-                if same[0] == 0 and last >= 0:
-                    flagged[last] = True
+                both = np.concatenate((run[same], run[same[same > 0] - 1], [last] if same[0] == 0 and last >= 0 else []))
+                both = both.astype(np.int64)
+                flagged[both[(runs["low"][both] <= offset) & (runs["depth"][both] >= offset)]] = 1
             last = int(run[-1])
-            keep = np.flatnonzero(depth[run] > offset)
+            depth = runs["depth"][run]
+            keep = np.flatnonzero(depth > offset)
             if not len(keep):
                 carry = min(carry, int(common.min()))
                 continue
@@ -267,20 +313,18 @@ def _induce(lcp: np.ndarray, low: np.ndarray, depth: np.ndarray, left_bytes: np.
             kept_lcp[0] = min(int(kept_lcp[0]), carry)
             carry = int(common[keep[-1] + 1 :].min(initial=_FAR))
             kept = run[keep]
-            nxt.add(kept, kept_lcp, left_bytes[left_at[kept + 1] - 1 - offset])
+            nxt.add(kept, kept_lcp, np.asarray(left_bytes[runs["at"][kept] + depth[keep] - 1 - offset]))
             alive += len(kept)
-        flagged &= (low <= offset) & (depth >= offset)
-        opened[flagged & (opened < 0)] = offset
-        end = np.flatnonzero(~flagged & (opened >= 0))
-        if len(end):
-            found.append((end, opened[end], np.full(len(end), offset - 1)))
-            opened[end] = -1
+        for at in range(0, n, block_rows):
+            part = open_[at : at + block_rows]
+            part[flagged[at : at + block_rows].view(bool) & (part < 0)] = offset
+        yield from _ended(open_, flagged, offset - 1, block_rows)
         if not alive:
             break
         blocks = queue.drain(block_rows)
-    end = np.flatnonzero(opened >= 0)
-    found.append((end, opened[end], np.full(len(end), offset)))
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+    yield from _ended(open_, None, offset, block_rows)
+    marks.close()
+    opened.close()
 
 
 RUNS = "h long, s long, k binary, p int, n int, o int"
@@ -335,8 +379,19 @@ def _cut(length: int):
 def _sort_shards(length: int, queue_bytes: int, chunk_rows: int):
     """Rows come sorted by (h, r); chunks of whole shards, a huge shard alone."""
 
-    def frame(shards: Shards) -> pd.DataFrame:
-        h, s, a, b = shards.repeated()
+    def frames(shards: Shards) -> Iterator[pd.DataFrame]:
+        held, rows = [], 0
+        for part in shards.repeated():
+            held.append(part)
+            rows += len(part[0])
+            if rows >= 100_000:
+                yield frame(held)
+                held, rows = [], 0
+        if held:
+            yield frame(held)
+
+    def frame(parts: list[tuple]) -> pd.DataFrame:
+        h, s, a, b = (np.concatenate(x) for x in zip(*parts, strict=True))
         return pd.DataFrame({"h": h, "s": s, "a": a.astype(np.int32), "b": b.astype(np.int32)})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -350,16 +405,16 @@ def _sort_shards(length: int, queue_bytes: int, chunk_rows: int):
                 cut = int(other[0]) if len(other) else len(h)
                 shards.add(h[:cut], s[:cut], right[:cut], left[:cut], o[:cut])
                 if cut < len(h):
-                    yield frame(shards)
+                    yield from frames(shards)
                     shards = Shards(length, queue_bytes)
             shards.add(h[cut:], s[cut:], right[cut:], left[cut:], o[cut:])
         if shards.rows:
-            yield frame(shards)
+            yield from frames(shards)
 
     return run
 
 
-def _remove(length: int):
+def _remove(texts: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
@@ -377,18 +432,19 @@ def _remove(length: int):
                     at = b
                 kept.append(data[at:])
                 left = b"".join(kept)
-                rows.append((doc_id, len(data), len(data) - len(left), len(merged), hashlib.sha256(left).hexdigest(), merged, left.decode("utf-8", "replace")))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept_text"]).astype({"doc_id": "Int64"})
+                rows.append((doc_id, len(data), len(data) - len(left), len(merged), hashlib.sha256(left).hexdigest(), merged, *([left.decode("utf-8", "replace")] if texts else [])))
+            columns = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", *(["kept_text"] if texts else [])]
+            yield pd.DataFrame(rows, columns=columns).astype({"doc_id": "Int64"})
 
     return run
 
 
-def suffix_dedup(docs: DataFrame, length: int = 200, queue_bytes: int = 256 << 20, chunk_rows: int = 100_000) -> DataFrame:
+def suffix_dedup(docs: DataFrame, length: int = 200, queue_bytes: int = 64 << 20, chunk_rows: int = 100_000, texts: bool = True) -> DataFrame:
     """Remove every byte that a ``length``-byte string covers which starts elsewhere too.
 
     docs needs doc_id and text; other columns, whatever their names, are not read.
     Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (maximal removed
-    byte ranges, end exclusive) and kept_text (remaining bytes; a character cut
+    byte ranges, end exclusive) and, if texts, kept_text (remaining bytes; a character cut
     in two shows as U+FFFD, the digest is of the bytes). One row per input row:
     null text is empty; texts shorter than ``length`` are kept whole; repeated rows
     are copies of each other, so all their bytes go; null or repeated doc_ids do
@@ -398,8 +454,8 @@ def suffix_dedup(docs: DataFrame, length: int = 200, queue_bytes: int = 256 << 2
         raise ValueError(f"length must be at least {2 * GRAM}")
     spark = docs.sparkSession
     small_batches(spark)
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), text_key(F.col("text")).alias("k"))
-    runs = stage(texts.select("k", "text").mapInPandas(_find_runs(length), RUNS), "suffix-runs")
+    whole_texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), text_key(F.col("text")).alias("k"))
+    runs = stage(whole_texts.select("k", "text").mapInPandas(_find_runs(length), RUNS), "suffix-runs")
     # staged sides make the joins plain exchanges, so that AQE can split a hot key
     shared = stage(runs.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1").select("h"), "suffix-shared")
     runs = stage(runs.join(shared, "h"), "suffix-candidates")
@@ -411,7 +467,7 @@ def suffix_dedup(docs: DataFrame, length: int = 200, queue_bytes: int = 256 << 2
         .groupBy(F.col("x.k").alias("k"))
         .agg(F.collect_list(F.struct("h", "s", F.col("x.p").alias("p"), F.col("x.n").alias("n"), F.col("x.o").alias("o"))).alias("runs"))
     )
-    cut = one_of_each(texts, one).mapInPandas(_cut(length), "h long, s long, r binary, l binary, o int")
+    cut = one_of_each(whole_texts, one).mapInPandas(_cut(length), "h long, s long, r binary, l binary, o int")
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     found = cut.repartition(parts, "h").sortWithinPartitions("h", "r").mapInPandas(_sort_shards(length, queue_bytes, chunk_rows), "h long, s long, a int, b int")
     hits = stage(found.unionByName(whole), "suffix-hits")
@@ -422,17 +478,14 @@ def suffix_dedup(docs: DataFrame, length: int = 200, queue_bytes: int = 256 << 2
         .groupBy("k")
         .agg(F.collect_set(F.struct("a", "b")).alias("spans"))
     )
-    return (
-        texts.join(stage(spans, "suffix-spans"), "k", "left")
-        .select("doc_id", "text", "spans")
-        .mapInPandas(_remove(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<array<long>>, kept_text string")
-    )
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<array<long>>" + (", kept_text string" if texts else "")
+    return whole_texts.join(stage(spans, "suffix-spans"), "k", "left").select("doc_id", "text", "spans").mapInPandas(_remove(texts), schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     from refloom.llm.common import read
 
-    return suffix_dedup(read(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return suffix_dedup(read(spark, sf_dir, "documents"), texts=False).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
 #: DuckDB: every 200-byte string of every text by its start, counted over all; texts are spelt in hex, two characters a byte.

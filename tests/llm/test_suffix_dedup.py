@@ -1,5 +1,6 @@
 import hashlib
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -35,9 +36,10 @@ def local(texts, length, bound, block):
         shards.add(np.array([r[0] for r in part]), np.arange(i, i + len(part)), [r[1] for r in part], [r[2] for r in part], np.array([r[3] for r in part]))
     out = [np.zeros(len(t), bool) for t in texts]
     if rows:
-        for s, a, b in zip(*(x.tolist() for x in shards.repeated(block)[1:]), strict=True):
-            _, _, _, _, d, anchor = rows[s]
-            out[d][anchor - b : anchor - a + length] = True
+        for part in shards.repeated(block):
+            for s, a, b in zip(*(x.tolist() for x in part[1:]), strict=True):
+                _, _, _, _, d, anchor = rows[s]
+                out[d][anchor - b : anchor - a + length] = True
     return out
 
 
@@ -87,3 +89,35 @@ def test_whole_operator_against_brute_force(spark):
 
 def test_empty_table(spark):
     assert suffix_dedup(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_memory_does_not_grow_with_the_shard():
+    """A shard of over 20 times the bound, in parts, against the memory that a small one takes."""
+    r = np.random.default_rng(3)
+    peaks, bound, length = [], 1 << 20, 64
+    for n in (20_000, 200_000):
+        shards, expected = Shards(length, bound), 0
+        tracemalloc.start()
+        for at in range(0, n, 5_000):
+            # pairs of equal runs: the first bytes number them, so they come in order
+            numbers = np.arange(at, at + 5_000) // 2
+            right = [b"%08d" % x + b"-" * 56 for x in numbers.tolist()]
+            left = [bytes(r.integers(0, 256, 100, dtype=np.uint8)) for _ in range(5_000)]
+            shards.add(np.full(5_000, 7), np.arange(at, at + 5_000), right, left, np.zeros(5_000, np.int64))
+        assert shards.bytes + shards.rows * 40 > 2 * bound
+        found = 0
+        for part in shards.repeated(10_000):
+            found += len(part[0])
+            expected = max(expected, int(part[3].max()))
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert found == n  # each run has an equal one at its anchor
+    assert n * 140 > 20 * bound and peaks[1] < 1.5 * peaks[0] + 4 * bound, peaks
+
+
+def test_long_texts_without_texts_in_the_result(spark):
+    r = random.Random(9)
+    base = "".join(r.choice("abcdefgh ") for _ in range(300_000))
+    docs = spark.createDataFrame([(1, base), (2, "x" + base[100_000:150_000]), (3, "unlike " * 3)], "doc_id long, text string")
+    got = {x.doc_id: x for x in suffix_dedup(docs, texts=False).collect()}
+    assert "kept_text" not in got[1] and (got[1].n_removed, got[2].n_removed, got[3].n_removed) == (50_000, 50_000, 0)
