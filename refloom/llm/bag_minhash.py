@@ -80,12 +80,20 @@ def jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
     return common / total if total else 0.0
 
 
-def signatures(sets: list[tuple[np.ndarray, np.ndarray]], m: int) -> np.ndarray:
-    """BagMinHash signatures (rows: documents), by rounds over all processes still of use."""
+def signatures(sets: list[tuple[np.ndarray, np.ndarray]], m: int, reach: float = 1.0) -> np.ndarray:
+    """BagMinHash signatures (rows: documents), by rounds over all processes still of use.
+
+    Processes are followed up to a time by which a document's components are likely to be filled, ``reach`` times the usual one; documents
+    where some are not are signed again with twice the reach. So the points that are drawn depend on m, not on the weights.
+    """
     sizes = np.fromiter((len(h) for h, _ in sets), np.int64, len(sets))
     doc = np.repeat(np.arange(len(sets)), sizes)
     h = np.concatenate([x for x, _ in sets]) if len(sets) else np.zeros(0, np.uint64)
     w = np.concatenate([x for _, x in sets]) if len(sets) else np.zeros(0, np.int64)
+    reg = np.full((len(sets), m), np.inf)
+    if not len(h):
+        return reg
+    flat, latest = reg.reshape(-1), reach * m * (np.log(m) + 4) / np.maximum(np.bincount(doc, w, len(sets)), 1)
     parts, level, low, width = [], 0, 0, 1
     while True:
         on = np.flatnonzero(w > low)
@@ -94,35 +102,32 @@ def signatures(sets: list[tuple[np.ndarray, np.ndarray]], m: int) -> np.ndarray:
         seed = _mix(h[on] ^ _mix(np.full(1, level + 1, np.uint64) * _P))
         parts.append((doc[on], seed, np.full(len(on), width), w[on] - low))
         level, low, width = level + 1, low + width, max(1, low + width)
-    reg = np.full((len(sets), m), np.inf)
-    if not parts:
-        return reg
     # room: how much of a process's interval lies under the weight
     doc, seed, width, room = (np.concatenate(x) for x in zip(*parts, strict=True))
-    t = np.zeros(len(doc))
-    flat, latest, begun = reg.reshape(-1), np.full(len(sets), np.inf), False
+    t, filled = np.zeros(len(doc)), np.zeros(len(sets), bool)
     while len(doc):
         u = _mix(seed + _P)
         t = t - np.log(((u >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53) / width
         useful = t < latest[doc]
-        if not useful.all():
-            doc, seed, width, room, t = doc[useful], seed[useful], width[useful], room[useful], t[useful]
+        doc, seed, width, room, t = doc[useful], seed[useful], width[useful], room[useful], t[useful]
         v = _mix(seed ^ np.uint64(0xD6E8FEB86659FD93))
         component = ((v & np.uint64(0xFFFFFFFF)) * np.uint64(m)) >> np.uint64(32)
         inside = (width <= room) | ((v >> np.uint64(32)).astype(np.float64) / 2.0**32 * width < room)
         np.minimum.at(flat, doc[inside] * m + component[inside].astype(np.int64), t[inside])
-        touched = np.unique(doc) if begun else np.arange(len(sets))
-        latest[touched], begun = reg[touched].max(axis=1), True
-        half = np.maximum(width // 2, 1)
+        touched = np.unique(doc)
+        top = reg[touched].max(axis=1)
+        latest[touched], filled[touched] = np.minimum(latest[touched], top), np.isfinite(top)
         seed = _mix(seed + np.uint64(2 * int(_P) & _ALL))  # the lower half, or the continuation
-        upper = np.flatnonzero((width > 1) & (room > half))
-        if len(upper):
+        wide = np.flatnonzero(width > 1)
+        if len(wide):
+            half = np.maximum(width // 2, 1)
+            upper = wide[room[wide] > half[wide]]
             doc, t = np.concatenate((doc, doc[upper])), np.concatenate((t, t[upper]))
-            room = np.concatenate((room, room[upper] - half[upper]))
+            room, seed = np.concatenate((room, room[upper] - half[upper])), np.concatenate((seed, _mix(seed[upper] ^ np.uint64(0xA0761D6478BD642F))))
             width = np.concatenate((half, half[upper]))
-            seed = np.concatenate((seed, _mix(seed[upper] ^ np.uint64(0xA0761D6478BD642F))))
-        else:
-            width = half
+    again = np.flatnonzero(~filled & (sizes > 0))
+    if len(again):
+        reg[again] = signatures([sets[i] for i in again], m, 2 * reach)
     return reg
 
 
@@ -134,6 +139,18 @@ def band_hashes(reg: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return h.view(np.int64)
 
 
+def _portions(some: list[int], sets: list, most: int = 1 << 17) -> Iterator[list[int]]:
+    """some in portions of about ``most`` different shingles, a longer text alone."""
+    part, n = [], 0
+    for i in some:
+        if part and n + len(sets[i][0]) > most:
+            yield part
+            part, n = [], 0
+        part.append(i)
+        n += len(sets[i][0])
+    yield part
+
+
 def _sign(bands: int, rows: int):
     """Band hashes of each text, and its signature as 16 bits of each component. A task signs the copies that it meets once."""
 
@@ -147,7 +164,7 @@ def _sign(bands: int, rows: int):
             sets = [weighted(x, hashes) for x in batch["text"]]
             some = [i for i, x in enumerate(sets) if len(x[0])]
             if some:
-                reg = signatures([sets[i] for i in some], bands * rows)
+                reg = np.concatenate([signatures([sets[i] for i in part], bands * rows) for part in _portions(some, sets)])
                 short = _mix(reg.view(np.uint64)).astype(np.uint16)
                 yield pd.DataFrame({"k": batch["k"].iloc[some].to_numpy(), "sig": [x.tobytes() for x in short], "bands": list(band_hashes(reg, bands, rows))})
 
