@@ -154,4 +154,4 @@ def overlay(records: DataFrame, verdicts: DataFrame, key: list[str]) -> DataFram
     v = verdicts.select(*key, F.col("supports").alias("v_supports"), F.col("confidence").alias("v_confidence"), F.size(F.coalesce("evidence", F.array().cast("array<string>"))).alias("n_evidence"))
     joined = records.join(v, key, "left")
     supports = F.when((F.col("v_supports") == "supports") & (F.col("n_evidence") == 0), "inconclusive").otherwise(F.coalesce("v_supports", "supports"))
-    return joined.withColumns({"supports": supports, "confidence": F.coalesce(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("v_confidence"))), F.col("confidence"))}).drop("v_supports", "v_confidence", "n_evidence")
+    return joined.withColumns({"supports": supports, "confidence": F.coalesce(F.when(F.col("v_confidence").isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("v_confidence")))), F.col("confidence"))}).drop("v_supports", "v_confidence", "n_evidence")

@@ -13,6 +13,7 @@ PRIORITIES = ("obligatory", "helpful")
 ALIASES = {"does not": "does_not", "doesnt": "does_not", "n/a": "inconclusive", "na": "inconclusive", "unknown": "inconclusive", "unverified": "inconclusive"}
 CONTRADICTION = r"(?i)\bcontradict|\bdoes not support\b|\bdo not support\b|\binconsistent with\b|\brefut|\bchronolog|\bthe opposite\b"
 VERDICT = "supports_claim STRING, priority STRING, confidence DOUBLE, justification STRING"
+_FIELDS = ", ".join(x.replace(" ", ": ", 1) for x in VERDICT.split(", "))
 #: Works in one request to the judge.
 WORKS_PER_REQUEST = 40
 
@@ -26,6 +27,12 @@ def first_json(text: Column, opener: str, closer: str) -> Column:
     return F.when((begin > 0) & F.contains(where, F.lit(closer)) & (end > begin), F.substring(where, begin, end - begin + 1))
 
 
+def _whole(span: Column, schema: str) -> Column:
+    """A span as one value of the type schema; null if it is no JSON or holds more. In brackets, as from_json() would forgive what follows a first value."""
+    values = F.from_json(F.concat(F.lit("["), span, F.lit("]")), f"array<{schema}>")
+    return F.when(F.size(values) == 1, F.get(values, F.lit(0)))
+
+
 def _token(value: Column, allowed: tuple[str, ...], default: str | None) -> Column:
     raw = F.lower(F.trim(value))
     out = F.regexp_replace(raw, "[ -]", "_")
@@ -44,12 +51,12 @@ def verdict(row: Column) -> Column:
 
 def parse_single(text: Column) -> Column:
     """The verdict in an answer with one JSON object; anything else abstains."""
-    return verdict(F.coalesce(F.from_json(first_json(text, "{", "}"), VERDICT), F.from_json(F.lit("{}"), VERDICT)))
+    return verdict(F.coalesce(_whole(first_json(text, "{", "}"), f"struct<{_FIELDS}>"), F.from_json(F.lit("{}"), VERDICT)))
 
 
 def parse_batch(answers: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """carry, i, v of each verdict in answers (answer: text with a JSON array), the last of each i; garbled answers give none."""
-    items = F.from_json(first_json(F.col("answer"), "[", "]"), f"array<struct<i: BIGINT, {', '.join(x.replace(' ', ': ', 1) for x in VERDICT.split(', '))}>>")
+    items = _whole(first_json(F.col("answer"), "[", "]"), f"array<struct<i: BIGINT, {_FIELDS}>>")
     rows = answers.select(*carry, F.posexplode(items).alias("at", "x")).filter("x.i IS NOT NULL")
     return rows.groupBy(*carry, F.col("x.i").alias("i")).agg(F.max_by("x", "at").alias("x")).select(*carry, "i", verdict(F.col("x")).alias("v"))
 
@@ -59,8 +66,7 @@ def parse_groups(answers: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
 
     A work that comes twice counts as its last answer says, as does a claim within it; works and claims without an id are left out.
     """
-    one = ", ".join(x.replace(" ", ": ", 1) for x in VERDICT.split(", "))
-    items = F.from_json(first_json(F.col("answer"), "[", "]"), f"array<struct<cite_key: STRING, claims: array<struct<claim_id: STRING, {one}>>>>")
+    items = _whole(first_json(F.col("answer"), "[", "]"), f"array<struct<cite_key: STRING, claims: array<struct<claim_id: STRING, {_FIELDS}>>>>")
     works = answers.select(*carry, F.posexplode(items).alias("at", "w")).filter("w.cite_key IS NOT NULL").groupBy(*carry, F.col("w.cite_key").alias("cite_key")).agg(F.max_by("w.claims", "at").alias("claims"))
     rows = works.select(*carry, "cite_key", F.posexplode("claims").alias("at", "x")).filter("x.claim_id IS NOT NULL")
     return rows.groupBy(*carry, "cite_key", F.col("x.claim_id").alias("claim_id")).agg(F.max_by("x", "at").alias("x")).select(*carry, "cite_key", "claim_id", verdict(F.col("x")).alias("v"))

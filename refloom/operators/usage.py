@@ -26,3 +26,18 @@ def under_ceiling(ledger: DataFrame, by: list[str], order: list[str], amount: st
     """Rows up to which the running amount stays within the ceiling."""
     spent = F.sum(amount).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     return ledger.withColumn("spent", spent).filter(F.col("spent") <= ceiling)
+
+
+COUNTERS = ("input_tokens", "output_tokens", "cache_read_tokens", "cache_creation_tokens", "num_turns", "tool_calls", "wall_seconds")
+
+
+def full_cost(p_in: Column, p_out: Column) -> Column:
+    """Cost of a row of COUNTERS at prices per million tokens: cached tokens cost what others do."""
+    billed = F.col("input_tokens") + F.col("cache_read_tokens") + F.col("cache_creation_tokens")
+    return cost(billed, F.col("output_tokens"), p_in, p_out)
+
+
+def totals(slices: DataFrame, by: list[str]) -> DataFrame:
+    """Sums of COUNTERS and cost_usd of slices of usage, missing ones as none; a reported cost goes before a computed one. slices: by, COUNTERS, reported_usd, cost_usd."""
+    paid = F.coalesce("reported_usd", "cost_usd", F.lit(0.0))
+    return slices.groupBy(*by).agg(*[F.sum(F.coalesce(c, F.lit(0))).alias(c) for c in COUNTERS], F.round(F.sum(paid), 6).alias("cost_usd"))

@@ -191,14 +191,6 @@ def evidence_chunks(spark, sf_dir):
     return evidence.top_chunks(claims, passages)
 
 
-@query()
-def latex_sites(spark, sf_dir):
-    """Rows only: TeX made of whole documents, their percent signs escaped, parsed into citation sites."""
-    d = table(spark, sf_dir, "documents").filter("text is not null")
-    body = F.concat(F.lit("\\section{Intro} "), F.replace("text", F.lit("%"), F.lit("\\%")), F.lit(" \\citep[see][]{a"), (F.col("doc_id") % 7).cast("string"), F.lit(", b}. % \\cite{gone}\n\\begin{table} x \\cite{t} \\end{table}"))
-    return tex.site_table(d.select(F.col("doc_id").alias("file"), body.alias("text")))
-
-
 @query()
 def bib_parse(spark, sf_dir):
     """Rows only: BibTeX made of parts."""

@@ -144,10 +144,9 @@ def indel_similarity(spark, sf_dir):
     return p.select("p_partkey", similarity.fuzzy_title_score(left, text.norm_title(F.concat(F.split_part("p_name", F.lit(" "), F.lit(2)), F.lit(" "), F.split_part("p_name", F.lit(" "), F.lit(1))))).alias("score"))
 
 
-@query(rf"SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host, CASE WHEN regexp_matches(url, '^https?://(www\.)?arxiv\.org/') THEN 'arxiv' WHEN regexp_matches(url, '^https?://') THEN 'url' ELSE 'unknown' END AS kind, substr(sha256(lower({_SQUEEZE.format(x='url')}) || chr(31) || CAST(page_id AS VARCHAR)), 1, 32) AS cache_key FROM pages")
-def ingest_route(spark, sf_dir):
-    url = F.col("url")
-    return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract(url, "^[a-z]+://([^/?#]*)", 1).alias("host"), idents.source_kind(url).alias("kind"), text.cache_key(url, F.col("page_id").cast("string")).alias("cache_key"))
+@query(rf"SELECT page_id, substr(sha256(lower({_SQUEEZE.format(x='url')}) || chr(31) || CAST(page_id AS VARCHAR)), 1, 32) AS cache_key FROM pages")
+def cache_keys(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", text.cache_key(F.col("url"), F.col("page_id").cast("string")).alias("cache_key"))
 
 
 @query("""SELECT s_suppkey, CASE WHEN link IS NULL OR contains(note, link) THEN note ELSE note || ' · source: ' || link END AS note FROM (SELECT s_suppkey, CASE WHEN s_suppkey % 4 = 0 THEN 'https://doi.org/10.1/' || s_suppkey ELSE s_name END AS note,

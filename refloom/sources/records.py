@@ -79,18 +79,30 @@ def openalex_abstract(index):
     return F.array_join(F.transform(F.sort_array(pairs), lambda x: x["w"]), " ")
 
 
-CROSSREF = "title ARRAY<STRING>, author ARRAY<STRUCT<given: STRING, family: STRING>>, issued STRUCT<`date-parts`: ARRAY<ARRAY<INT>>>, `container-title` ARRAY<STRING>, DOI STRING, URL STRING, abstract STRING"
-
-
-def crossref_candidates(items: DataFrame, column: str = "json") -> DataFrame:
-    """Candidates from Crossref items (one JSON text per row)."""
-    x = items.select(F.from_json(column, CROSSREF).alias("x"))
-    names = F.transform("x.author", lambda a: F.concat_ws(" ", a["given"], a["family"]))
-    return x.select(F.lit("crossref").alias("source"), F.get("x.title", F.lit(0)).alias("title"), names.alias("authors"), F.get(F.get(F.col("x.issued")["date-parts"], F.lit(0)), F.lit(0)).alias("year"), F.get(F.col("x")["container-title"], F.lit(0)).alias("venue"), F.lower("x.DOI").alias("doi"), F.col("x.URL").alias("url"), F.col("x.abstract").alias("abstract"))
-
-
 def dblp_authors(column):
     """DBLP's author field: one or many objects or strings; numbers that tell namesakes apart go."""
     many = F.from_json(column, "array<string>")
     text = F.when(column.startswith("["), many).when(column.startswith("{"), F.array(column)).otherwise(F.array(F.regexp_replace(column, '^"|"$', "")))
     return F.transform(text, lambda a: F.regexp_replace(F.coalesce(F.when(a.startswith("{"), F.get_json_object(a, "$.text")), a), r" [0-9]{4}$", ""))
+
+
+def write_report(reports: DataFrame, path: str, name: str = "report", extension: str = "md") -> None:
+    """A text file of each paper (paper_id, report) in a folder of its own below path: written side by side, partitioned by paper."""
+    reports.select("paper_id", reports[name].alias("value")).write.partitionBy("paper_id").option("lineSep", "\n").text(f"{path}/{extension}")
+
+
+def write_runs(runs: DataFrame, path: str) -> None:
+    """A JSON object of each run's figures, partitioned by paper."""
+    runs.write.partitionBy("paper_id").json(path)
+
+
+def read_runs(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Runs as they were written; what is damaged gives nulls."""
+    return spark.read.schema(schema).option("mode", "PERMISSIVE").json(path)
+
+
+def json_schema() -> str:
+    """The record type as a JSON text."""
+    from pyspark.sql.types import StructType
+
+    return StructType.fromDDL(RECORD).json()

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from refloom.functions.similarity import title_contradiction, title_tokens
 from refloom.operators import correctness, evidence, layout, linkage, report, usage
-from refloom.sources import records, tex
+from refloom.sources import records, services, tex
 from refloom.streaming import event_log
 
 
@@ -33,7 +33,7 @@ def test_broken_line_fails_the_read(spark, tmp_path):
 
 def test_payload_parsers(spark):
     item = {"title": ["T"], "author": [{"given": "A", "family": "B"}, {"family": "C"}], "issued": {"date-parts": [[2020, 1]]}, "container-title": ["V"], "DOI": "10.1/X"}
-    got = records.crossref_candidates(spark.createDataFrame([(json.dumps(item),)], "json string")).first()
+    got = services.crossref(spark.createDataFrame([(json.dumps(item),)], "json string")).first()
     assert (got.title, got.authors, got.year, got.venue, got.doi) == ("T", ["A B", "C"], 2020, "V", "10.1/x")
     rows = [('["Ann Lee 0001", "Bo"]',), ('{"text": "Cy 0002"}',), ('[{"text": "Di 0003"}, {"text": "Ed"}]',), ("Flo",)]
     got = spark.createDataFrame(rows, "a string").select(records.dblp_authors(F.col("a")).alias("x")).collect()
