@@ -13,14 +13,13 @@ the pieces between them, summed up per text and rule.
 
 from __future__ import annotations
 
-import re._constants as rc
-import re._parser as rp
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from refloom.llm.common import one_of_each, stage, text_key
+from refloom.llm.regex import Chars, Either, parse
 
 
 @dataclass(frozen=True)
@@ -66,65 +65,45 @@ def _conjoin(a: list[frozenset[str]] | None, b: list[frozenset[str]] | None) ->
     return [x | y for x in a for y in b]
 
 
-def _analyse(nodes) -> tuple[set[str] | None, list[frozenset[str]] | None]:
+def _analyse(nodes: tuple) -> tuple[set[str] | None, list[frozenset[str]] | None]:
     """(all strings that the sequence can match, or None if too many; its trigram query, or None)."""
     run: set[str] = {""}
     query, whole = None, True
-
-    def flush() -> None:
-        nonlocal run, query, whole
-        query, run, whole = _conjoin(query, _grams(run)), {""}, False
-
-    for op, arg in nodes:
-        strings, inner = None, None
-        if op is rc.LITERAL:
-            strings = {chr(arg).lower()}
-        elif op is rc.IN:
-            strings = set()
-            for kind, x in arg:
-                if kind is rc.LITERAL:
-                    strings.add(chr(x).lower())
-                elif kind is rc.RANGE and x[1] - x[0] < _SET_LIMIT:
-                    strings |= {chr(c).lower() for c in range(x[0], x[1] + 1)}
-                else:
-                    strings = None
-                    break
-            if strings is not None and len(strings) > _SET_LIMIT:
-                strings = None
-        elif op is rc.SUBPATTERN:
-            strings, inner = _analyse(arg[3])
-        elif op is rc.BRANCH:
-            parts = [_analyse(x) for x in arg[1]]
-            if all(s is not None for s, _ in parts) and sum(len(s) for s, _ in parts) <= _SET_LIMIT:
-                strings = set().union(*(s for s, _ in parts))
-            else:
-                queries = [q if s is None else _conjoin(q, _grams(s)) for s, q in parts]
-                inner = None if any(q is None for q in queries) else [x for q in queries for x in q]
-        elif op in (rc.MAX_REPEAT, rc.MIN_REPEAT):
-            low, high, sub = arg
-            s, q = _analyse(sub)
-            if high == 1 and low == 0 and s is not None and len(s) < _SET_LIMIT:
-                strings = s | {""}
-            elif low == high and low <= 8 and s is not None and len(s) == 1:
-                strings = {next(iter(s)) * low}
-            elif low > 0:
-                inner = q if s is None else _conjoin(q, _grams(s))
+    for node in nodes:
+        strings, inner = _of(node)
         if strings is not None and len(run) * len(strings) <= _SET_LIMIT:
             run = {a + b for a in run for b in strings}
             continue
-        flush()
-        if strings is not None:
-            run = strings
-        else:
-            query = _conjoin(query, inner)
-    if whole:
-        return run, None
-    return None, _conjoin(query, _grams(run))
+        query, whole = _conjoin(query, _grams(run)), False
+        run = {""} if strings is None else strings
+        query = query if strings is not None else _conjoin(query, inner)
+    return (run, None) if whole else (None, _conjoin(query, _grams(run)))
+
+
+def _of(node) -> tuple[set[str] | None, list[frozenset[str]] | None]:
+    """The same of one node."""
+    if isinstance(node, Chars):
+        some = None if node.some is None else {c.lower() for c in node.some}
+        return (None if some is None or len(some) > _SET_LIMIT else some), None
+    if isinstance(node, Either):
+        parts = [_analyse(way) for way in node.ways]
+        if all(s is not None for s, _ in parts) and sum(len(s) for s, _ in parts) <= _SET_LIMIT:
+            return set().union(*(s for s, _ in parts)), None
+        queries = [q if s is None else _conjoin(q, _grams(s)) for s, q in parts]
+        return None, None if any(q is None for q in queries) else [x for q in queries for x in q]
+    strings, inner = _of(node.node)
+    if (node.low, node.high) == (0, 1) and strings is not None and len(strings) < _SET_LIMIT:
+        return strings | {""}, None
+    if node.low == node.high and node.low <= 8 and strings is not None and len(strings) == 1:
+        return {next(iter(strings)) * node.low}, None
+    if node.low == 0:
+        return None, None
+    return None, inner if strings is None else _conjoin(inner, _grams(strings))
 
 
 def trigram_query(regex: str) -> list[frozenset[str]] | None:
     """Disjunction of conjunctions of lower-case trigrams that any match contains; None if there is none."""
-    strings, query = _analyse(rp.parse(regex))
+    strings, query = _of(parse(regex))
     query = _grams(strings) if strings is not None else query
     return None if query is None else sorted(set(query), key=sorted)
 
@@ -211,7 +190,8 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[SECRE
     """docs with each span replaced by mark (overlapping spans by one) and n_chars brought up to date.
 
     docs needs doc_id and text; n_chars, where there is one, is set for changed texts. Null
-    texts stay null; other columns and rows stay as they are.
+    texts stay null, empty ones empty; long texts are scanned whole; other columns, whatever their names (but __key, __k, __cuts and __text), and
+    all rows stay as they are, equal ones alike; an empty table gives none.
     """
     keyed = docs.select("doc_id", "text", text_key(F.col("text")).alias("k")).filter("text is not null")
     w = Window.partitionBy("k").orderBy("start", "end")

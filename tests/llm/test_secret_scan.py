@@ -3,6 +3,7 @@ import re
 
 import pytest
 
+from refloom.llm.regex import parse
 from refloom.llm.secret_scan import LOOKED_UP, RULES, rarest, redact, scan, trigram_query
 
 
@@ -77,3 +78,21 @@ def test_rarest_trigrams_are_looked_up():
     for r in RULES:
         for conj in trigram_query(r.regex) or ():
             assert set(rarest(conj)) <= conj and len(rarest(conj)) == min(LOOKED_UP, len(conj))
+
+
+def test_reader_of_regular_expressions():
+    r = random.Random(7)
+    atoms = ["a", "bc", "[abc]", "[a-d]", "[^x]", r"\x20", r"\.", ".", "(ab|cd)", "(?:a(b|c)d|ef)", "(?i:Key)", r"\w", "x-y", "[-a]", r"\n"]
+    for _ in range(300):
+        regex = "".join(r.choice(atoms) + r.choice(["", "", "", "?", "+", "{2}", "{1,3}", "*"]) for _ in range(r.randint(1, 7)))
+        if r.random() < 0.3:
+            regex += "|" + r.choice(["abcdef", "x+yz", "key[0-9]{4}"])
+        query = trigram_query(regex)
+        for _ in range(60):
+            text = "".join(r.choice(["a", "b", "c", "d", "ab", "cd", "abd", "ef", "KEY", "x", "y", "z", "-", " ", ".", "key", "1", "bc"]) for _ in range(r.randint(1, 14)))
+            found = re.search(regex, text)
+            if found:
+                assert query is None or any(all(g in found.group().lower() for g in conj) for conj in query), (regex, found.group())
+    for bad in ("(a", "a)", "(?=a)b", r"\q", "[a"):
+        with pytest.raises(ValueError):
+            parse(bad)
