@@ -114,7 +114,7 @@ def signatures(sets: list[tuple[np.ndarray, np.ndarray]], m: int, reach: float =
         component = ((v & np.uint64(0xFFFFFFFF)) * np.uint64(m)) >> np.uint64(32)
         inside = (width <= room) | ((v >> np.uint64(32)).astype(np.float64) / 2.0**32 * width < room)
         np.minimum.at(flat, doc[inside] * m + component[inside].astype(np.int64), t[inside])
-        touched = np.unique(doc)
+        touched = np.flatnonzero(np.bincount(doc, minlength=len(sets)))
         top = reg[touched].max(axis=1)
         latest[touched], filled[touched] = np.minimum(latest[touched], top), np.isfinite(top)
         seed = _mix(seed + np.uint64(2 * int(_P) & _ALL))  # the lower half, or the continuation
@@ -157,7 +157,7 @@ def _sign(bands: int, rows: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes, met = WordHashes(), set()
         for batch in batches:
-            if len(met) > 200_000:
+            if len(met) > 50_000:
                 met.clear()
             new = [k not in met and not met.add(k) for k in batch["k"]]
             batch = batch[new]

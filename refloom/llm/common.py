@@ -108,7 +108,7 @@ def words_of(text: str | None) -> list[bytes]:
 class WordHashes(dict):
     """word -> 64-bit hash, remembered up to a bound."""
 
-    BOUND = 1_000_000
+    BOUND = 250_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.BOUND:

@@ -111,7 +111,7 @@ CHUNK_CHARS = 1 << 20
 class TokenHashes(dict):
     """token -> 64-bit hash, remembered up to a bound."""
 
-    BOUND = 1_000_000
+    BOUND = 250_000
 
     def __missing__(self, token: str) -> int:
         if len(self) >= self.BOUND:
