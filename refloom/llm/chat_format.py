@@ -142,7 +142,9 @@ def read_back(segments: DataFrame) -> DataFrame:
     """Reparse formatted conversations: one row each of conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars.
 
     Turns stream through in order (turn, nulls first, then the segment's text), so that no conversation is
-    held as a whole; only its digests are.
+    held as a whole; only its digests are. Null conv_ids are one conversation; empty texts are turns without characters; turns of one number go by
+    their text, and equal ones each count; a turn of any length is parsed whole; segments' other columns, whatever their names, are not read; an empty
+    table gives none. A segment that no parser of the grammar accepts is an error.
     """
     parts = max(1, int(segments.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
@@ -162,7 +164,7 @@ def read_back(segments: DataFrame) -> DataFrame:
         if begun:
             yield pd.DataFrame([now.row()], columns=DIGESTS).astype({"conv_id": "Int64"})
 
-    ordered = segments.repartition(parts, "conv_id").sortWithinPartitions("conv_id", "turn", "rendered")
+    ordered = segments.select("conv_id", "turn", "rendered", "loss_begin", "loss_end").repartition(parts, "conv_id").sortWithinPartitions("conv_id", "turn", "rendered")
     return ordered.mapInPandas(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 

@@ -137,6 +137,9 @@ def read_warc(index: DataFrame, folder: str, gap_bytes: int = GAP_BYTES, read_by
 
     Rows are dealt out by file and block of offsets; in a task, ranges closer than gap_bytes are read
     at once, up to read_bytes. A payload of another digest than its header's is an error.
+    Null page_ids and URLs come back as null, an empty payload as an empty one, a revisit's as null; a record longer than read_bytes is read alone;
+    a row that the index holds twice is read twice, one that it leaves out isn't read; other columns of the index, whatever their names, are not
+    read; an empty index gives none.
     """
     parts = max(1, int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     dealt = index.select("file", "offset", "length").withColumn("block", F.floor(F.col("offset") / block_bytes)).repartition(parts, "file", "block").sortWithinPartitions("file", "offset")
