@@ -6,6 +6,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from refloom.sources.claims import entry_text
+
+#: Fixed pattern: a line that goes on with a link rather than begin an entry.
+LINK_GOES_ON = r"^(?:https?://|www\.|doi:|10\.[0-9]{4,}/)"
+
 
 def baselines(words: DataFrame, tolerance: float = 1.5, gap: float = 24.0) -> DataFrame:
     """Lines of text from words (doc_id, page, x0, y0, x1, text): a word joins the first line whose first word is
@@ -39,12 +44,14 @@ def baselines(words: DataFrame, tolerance: float = 1.5, gap: float = 24.0) -> Da
 
 
 def hanging_entries(lines: DataFrame, indent: float = 6.0) -> DataFrame:
-    """Reference entries from lines (doc_id, page, y0, x0, text): a line at the column's left edge begins one."""
-    left = F.min("x0").over(Window.partitionBy("doc_id", "page"))
-    marked = lines.withColumn("begins", (F.col("x0") <= left + indent).cast("int"))
-    entry = F.sum("begins").over(Window.partitionBy("doc_id").orderBy("page", "y0", "x0").rowsBetween(Window.unboundedPreceding, 0))
-    ordered = F.sort_array(F.collect_list(F.struct("page", "y0", "x0", "text")))
-    return marked.withColumn("entry", entry).groupBy("doc_id", "entry").agg(F.array_join(F.transform(ordered, lambda x: x["text"]), " ").alias("text"))
+    """Reference entries from lines (doc_id, page, col, y0, x0, text): a line at the left edge of its page's column begins one, unless
+    it is under three characters long or goes on with a link. Entries run on over columns and pages; doc_id, entry, text."""
+    edges = lines.groupBy("doc_id", "page", "col").agg(F.min("x0").alias("edge"))
+    begins = (F.col("x0") <= F.col("edge") + indent) & (F.length("text") >= 3) & ~F.col("text").rlike(LINK_GOES_ON)
+    marked = lines.join(edges, ["doc_id", "page", "col"]).withColumn("begins", begins.cast("int"))
+    entry = F.sum("begins").over(Window.partitionBy("doc_id").orderBy("page", "col", "y0", "x0").rowsBetween(Window.unboundedPreceding, 0))
+    ordered = F.array_sort(F.collect_list(F.struct("page", "col", "y0", "x0", "text")))
+    return marked.withColumn("entry", entry).groupBy("doc_id", "entry").agg(entry_text(F.transform(ordered, lambda x: x["text"])).alias("text"))
 
 
 def keep_non_overlapping(spans: DataFrame, key: list[str]) -> DataFrame:
@@ -63,6 +70,15 @@ def keep_non_overlapping(spans: DataFrame, key: list[str]) -> DataFrame:
 
 
 def nearest_anchor(words: DataFrame, anchors: DataFrame, reach: float) -> DataFrame:
-    """Each word (word_id, page, x) with the nearest anchor (page, col, ax) of its page within reach."""
-    near = words.join(anchors, "page").withColumn("dx", F.abs(F.col("x") - F.col("ax"))).filter(F.col("dx") <= reach)
-    return near.groupBy("word_id", "page").agg(F.min_by("col", F.struct("dx", "col")).alias("col"))
+    """Each word (word_id, page, x) with the nearest anchor (page, col, ax) of its page within reach, the one of the least col of equally near ones.
+
+    Words and anchors are sorted together, and each word looks at the anchor before and the one after it: no pairs are formed.
+    """
+    places = anchors.groupBy("page", F.col("ax").alias("x")).agg(F.min("col").alias("col"))
+    both = words.select("page", "x", "word_id", F.lit(None).cast(dict(anchors.dtypes)["col"]).alias("col")).unionByName(places, allowMissingColumns=True)
+    w = Window.partitionBy("page").orderBy("x", F.col("word_id").isNotNull())
+    spot = F.when(F.col("word_id").isNull(), F.struct("x", "col"))
+    seen = both.withColumns({"before": F.last(spot, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "after": F.first(spot, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))}).filter("word_id IS NOT NULL")
+    away = lambda a: F.when(a.isNotNull(), F.struct(F.abs(F.col("x") - a["x"]).alias("dx"), a["col"].alias("col")))
+    best = F.array_min(F.array_compact(F.array(away(F.col("before")), away(F.col("after")))))
+    return seen.withColumn("best", best).filter(F.col("best.dx") <= reach).select("word_id", "page", "best.col")

@@ -49,9 +49,10 @@ def verdict(row: Column) -> Column:
     return F.struct(token.alias("supports"), _token(row["priority"], PRIORITIES, None).alias("priority"), row["confidence"].alias("confidence"), said.alias("justification"))
 
 
-def parse_single(text: Column) -> Column:
-    """The verdict in an answer with one JSON object; anything else abstains."""
-    return verdict(F.coalesce(_whole(first_json(text, "{", "}"), f"struct<{_FIELDS}>"), F.from_json(F.lit("{}"), VERDICT)))
+def parse_single(answers: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """carry, v of answers (answer: text with one JSON object); anything else abstains."""
+    rows = answers.select(*carry, F.coalesce(_whole(first_json(F.col("answer"), "{", "}"), f"struct<{_FIELDS}>"), F.from_json(F.lit("{}"), VERDICT)).alias("x"))
+    return rows.select(*carry, verdict(F.col("x")).alias("v"))
 
 
 def parse_batch(answers: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:

@@ -192,26 +192,73 @@ def evidence_chunks(spark, sf_dir):
 
 
 @query()
+def latex_sites(spark, sf_dir):
+    """Rows only: TeX made of whole documents, their percent signs escaped, parsed into citation sites."""
+    d = table(spark, sf_dir, "documents").filter("text is not null")
+    body = F.concat(F.lit("\\section{Intro} "), F.replace("text", F.lit("%"), F.lit("\\%")), F.lit(" \\citep[see][]{a"), (F.col("doc_id") % 7).cast("string"), F.lit(", b}. % \\cite{gone}\n\\begin{table} x \\cite{t} \\end{table}"))
+    return tex.site_table(d.select(F.col("doc_id").alias("file"), body.alias("text")))
+
+
+_WORDS = f"list_distinct(list_filter(string_split(regexp_replace(lower({{x}}), '[^a-z0-9]+', ' ', 'g'), ' '), lambda t: length(t) > 2 AND NOT list_contains({list(evidence.STOP)}, t)))"
+
+
+@query(f"""WITH p AS (SELECT p_partkey AS n, p_partkey // 20 AS paper, p_name, p_type FROM part), c AS (SELECT n AS claim_id, paper, n % 2 = 0 AS exp, {_WORDS.format(x="CASE WHEN n % 2 = 0 THEN 'accuracy of ' || p_name || ' and big things' ELSE 'it sees ' || p_name END")} AS cw FROM p),
+  k AS (SELECT paper, n AS section_no, CASE n % 3 WHEN 0 THEN 'Results' WHEN 1 THEN 'Introduction' ELSE '' END AS heading, unnest([0, 1]) AS chunk_no, unnest(['The ' || p_name || ' is good.', 'It has ' || p_type || ' accuracy.']) AS chunk FROM p),
+  s AS (SELECT claim_id, c.paper, heading, chunk, section_no, chunk_no, len(list_intersect(cw, {_WORDS.format(x='chunk')})) / len(cw) AS overlap FROM c JOIN k ON c.paper = k.paper WHERE heading <> 'Results' OR exp)
+  SELECT claim_id, paper, CAST(place AS INT) AS place, heading, chunk, overlap FROM (SELECT *, row_number() OVER (PARTITION BY claim_id, paper ORDER BY overlap DESC, section_no, chunk_no) AS place FROM s) WHERE place <= 3""")
+def evidence_topk(spark, sf_dir):
+    """The passages of its paper that cover most of a claim's words: sections in scope, chunks, no headings."""
+    n, name = F.col("p_partkey"), F.col("p_name")
+    p = table(spark, sf_dir, "part").withColumn("paper", F.floor(n / 20))
+    claims = p.select(n.alias("claim_id"), "paper", F.when(n % 2 == 0, F.concat(F.lit("Accuracy of "), name, F.lit(" and big things"))).otherwise(F.concat(F.lit("it sees "), name)).alias("claim"))
+    heading = F.when(n % 3 == 0, "Results").when(n % 3 == 1, "Introduction").otherwise("")
+    passages = p.select("paper", n.alias("section_no"), heading.alias("heading"), F.concat(F.lit("The  "), name, F.lit(" is\ngood.\n\nIt has "), "p_type", F.lit(" accuracy.\n \nE.2 Big Things of Accuracy")).alias("text"))
+    return evidence.top_chunks(claims, passages)
+
+
+@query("""SELECT p_partkey AS file, 'p' || p_partkey AS key, 'article' AS type, p_name AS title, 'A and B' AS author, CAST(1990 + p_size AS VARCHAR) AS year FROM part""")
 def bib_parse(spark, sf_dir):
-    """Rows only: BibTeX made of parts."""
+    """BibTeX files as entries."""
     p = table(spark, sf_dir, "part")
-    entry = F.concat(F.lit("@article{p"), F.col("p_partkey"), F.lit(",\n title = {{"), "p_name", F.lit("}},\n author = \"A and B\", year = "), (F.lit(1990) + F.col("p_size")).cast("string"), F.lit("\n}\n"))
-    return tex.bib_table(p.select(F.col("p_partkey").alias("file"), entry.alias("text")))
+    entry = F.concat(F.lit("@comment{x}\n@Article{p"), F.col("p_partkey"), F.lit(",\n title = {{"), "p_name", F.lit("}},\n author = \"A and\n B\", year = "), (F.lit(1990) + F.col("p_size")).cast("string"), F.lit("\n}\n"))
+    got = tex.bib_table(p.select(F.col("p_partkey").alias("file"), entry.alias("text")))
+    return got.select("file", "key", "type", *[F.col("fields")[c].alias(c) for c in ("title", "author", "year")])
 
 
-@query()
+@query("""SELECT p_partkey AS file, CAST(r AS INT) AS r, CAST(c AS INT) AS c, replace(raw, 'BRAND', p_brand) AS raw, CAST(span AS INT) AS span FROM part, (VALUES (0, 0, 'Method', 1), (0, 1, 'Marks', 2), (1, 0, 'BRAND', 1), (1, 1, '\\cmark', 1), (1, 2, '{a & b}', 1), (2, 0, 'ours', 1), (2, 1, '5\\%', 1), (2, 2, 'x', 1)) v(r, c, raw, span)""")
 def tabular_cells(spark, sf_dir):
-    """Rows only: LaTeX tables made of parts."""
+    """LaTeX tables as cells."""
     p = table(spark, sf_dir, "part")
     body = F.concat(F.lit("\\toprule Method & \\multicolumn{2}{c}{Marks} \\\\ \\midrule "), "p_brand", F.lit(" & \\cmark & {a & b} \\\\[2pt] ours & 5\\% & x \\\\"))
     return tex.cell_table(p.select(F.col("p_partkey").alias("file"), body.alias("text")))
 
 
-@query()
+@query("""SELECT CAST(s_suppkey AS BIGINT) AS doc_id, CAST(page AS INT) AS page, y0, x0, x1, replace(text, 'NAME', s_name) AS text FROM supplier, (SELECT unnest([0, 1]) AS page), (VALUES (100.0, 10.0, 60.0, '[1] Ann NAME'), (100.0, 200.0, 220.0, 'far'), (112.0, 16.0, 30.0, 'wrapped'), (124.0, 10.0, 40.0, '[2] Bo')) v(y0, x0, x1, text)""")
 def word_grid(spark, sf_dir):
-    """Rows only: words with positions into lines."""
-    w = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("doc_id"), (F.col("l_orderkey") % 3).cast("int").alias("page"), (F.col("l_quantity") * 10).alias("x0"), (F.col("l_linenumber") * 12 + F.col("l_orderkey") % 2).cast("double").alias("y0"), (F.col("l_quantity") * 10 + 8).alias("x1"), F.col("l_returnflag").alias("text"))
-    return layout.baselines(w)
+    """Words with positions into lines: a word joins the first line that begins within reach of it, and lines part at wide gaps."""
+    at = (("[2]", 10.0, 124.0, 20.0), ("Bo", 25.0, 125.0, 40.0), ("far", 200.0, 101.4, 220.0), ("wrapped", 16.0, 112.0, 30.0), ("Ann", 22.0, 101.5, 40.0), ("[1]", 10.0, 100.0, 20.0))
+    words = F.array(*[F.struct(F.lit(t).alias("text"), F.lit(x).alias("x0"), F.lit(y).alias("y0"), F.lit(z).alias("x1")) for t, x, y, z in at], F.struct(F.col("s_name").alias("text"), F.lit(45.0).alias("x0"), F.lit(100.9).alias("y0"), F.lit(60.0).alias("x1")))
+    rows = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("doc_id"), F.explode(F.array(F.lit(0), F.lit(1))).alias("page"), words.alias("w")).select("doc_id", "page", F.inline("w"))
+    return layout.baselines(rows)
+
+
+@query("""SELECT CAST(s_suppkey AS BIGINT) AS doc_id, CAST(e AS BIGINT) AS entry, replace(text, 'NAME', s_name) AS text FROM supplier, (VALUES (1, 'Ann NAME. One thing here. https://a.org/xgoes'), (2, 'Bo. Two things of the wordnet'), (3, 'Cy. Three.')) v(e, text)""")
+def hanging_entries(spark, sf_dir):
+    """Lines of reference lists in columns, cut at the left edges."""
+    at = ((0, 0, 10.0, 50.0, None), (0, 0, 20.0, 60.0, "One thing here. https://a.org/"), (0, 0, 30.0, 60.0, "x"), (0, 0, 35.0, 61.0, "goes"), (0, 0, 40.0, 52.0, "Bo. Two"), (0, 1, 5.0, 312.0, "things of the word-"), (0, 1, 10.0, 312.0, "net"), (0, 1, 20.0, 300.0, "Cy. Three."))
+    line = lambda t: F.concat(F.lit("Ann "), F.col("s_name"), F.lit(".")) if t is None else F.lit(t)
+    lines = F.array(*[F.struct(F.lit(p).alias("page"), F.lit(c).alias("col"), F.lit(y).alias("y0"), F.lit(x).alias("x0"), line(t).alias("text")) for p, c, y, x, t in at])
+    return layout.hanging_entries(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("doc_id"), F.inline(lines)))
+
+
+@query("""WITH w AS (SELECT l_orderkey * 10 + l_linenumber AS word_id, l_partkey, l_suppkey AS page, CAST(l_partkey % 500 AS DOUBLE) AS x FROM lineitem), a AS (SELECT s_suppkey AS page, k AS col, (s_suppkey * 7 + k * 61) % 500 AS ax FROM supplier, (SELECT unnest([0, 1, 2, 3, 4, 5]) AS k))
+  SELECT page, col, count(*) AS n FROM (SELECT w.word_id, w.page, w.x, w.l_partkey, arg_min(col, abs(x - ax) * 1000 + col) AS col FROM w JOIN a ON w.page = a.page WHERE abs(x - ax) <= 25 GROUP BY ALL) GROUP BY 1, 2""")
+def nearest_anchor(spark, sf_dir):
+    """Words by the nearest column of their page."""
+    n = F.col("s_suppkey")
+    anchors = table(spark, sf_dir, "supplier").select(n.alias("page"), F.explode(F.sequence(F.lit(0), F.lit(5))).alias("col")).select("page", "col", ((F.col("page") * 7 + F.col("col") * 61) % 500).cast("double").alias("ax"))
+    words = table(spark, sf_dir, "lineitem").select(F.monotonically_increasing_id().alias("word_id"), F.col("l_suppkey").alias("page"), (F.col("l_partkey") % 500).cast("double").alias("x"))
+    return layout.nearest_anchor(words, anchors, 25.0).groupBy("page", "col").agg(F.count("*").alias("n"))
 
 
 @query("""SELECT item_id, list_aggregate(list_transform(range(len(w)), lambda i: w[i + 1]), 'string_agg', ' ') AS abstract FROM (SELECT item_id, string_split_regex(trim(text), '\\s+') AS w FROM benchmark)""")

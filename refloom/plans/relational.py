@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from refloom.functions import idents, names
 from refloom.operators import candidates, correctness, order, report
 from refloom.plans.registry import query, table
+from refloom.sources import claims
 
 
 @query("""WITH t AS (SELECT conv_id, turn, role, row_number() OVER (ORDER BY conv_id, turn) AS ord FROM conversations), f AS (SELECT *, min(turn) OVER (PARTITION BY conv_id, role) AS first_turn FROM t)
@@ -154,15 +155,15 @@ def entry_segmentation(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", (end - F.col("turn")).cast("long").alias("span"))
 
 
-_BODY = r"regexp_replace(coalesce(html, ''), '(?s)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g')"
-
-
-@query(rf"""WITH s AS (SELECT page_id, unnest(string_split_regex({_BODY}, '<h[1-6][^>]*>')) AS part, generate_subscripts(string_split_regex({_BODY}, '<h[1-6][^>]*>'), 1) - 1 AS no FROM pages)
-  SELECT page_id, CAST(no AS INT) AS no, CASE WHEN no = 0 THEN '' ELSE trim(regexp_extract(part, '^([^<]*)', 1)) END AS heading, CAST(length(part) AS INT) AS n FROM s""")
+@query("""SELECT p_partkey, CAST(no AS INT) AS no, heading, body FROM (SELECT p_partkey, 0 AS no, '' AS heading, 'Before.' AS body FROM part UNION ALL SELECT p_partkey, 1, CASE WHEN p_partkey % 2 = 0 THEN 'Intro Part' ELSE 'Introduction' END, 'About ' || p_name || '. And so.' FROM part
+  UNION ALL SELECT p_partkey, 2, 'Method', 'We do it.' FROM part)""")
 def section_split(spark, sf_dir):
-    body = F.regexp_replace(F.coalesce("html", F.lit("")), r"(?s)<(script|style)[^>]*>.*?</(script|style)>", " ")
-    parts = table(spark, sf_dir, "pages").select("page_id", F.posexplode(F.split(body, r"<h[1-6][^>]*>")).alias("no", "part"))
-    return parts.select("page_id", "no", F.when(F.col("no") == 0, "").otherwise(F.trim(F.regexp_extract("part", "^([^<]*)", 1))).alias("heading"), F.length("part").alias("n"))
+    """Sections of TeX and of plain text."""
+    n, name = F.col("p_partkey"), F.col("p_name")
+    tex = F.concat(F.lit("Before. \\section{Intro Part} About "), name, F.lit(". And so. \\subsection*{Gone} \\subsubsection{Method} We do it."))
+    plain = F.concat(F.lit("Before.\n1 Introduction\nAbout "), name, F.lit(". And so.\n2.1. Method\nWe do it."))
+    texts = table(spark, sf_dir, "part").select(n.alias("paper_id"), F.when(n % 2 == 0, tex).otherwise(plain).alias("text"))
+    return claims.section_table(texts).select(F.col("paper_id").alias("p_partkey"), F.col("section_no").alias("no"), "heading", F.col("text").alias("body"))
 
 
 @query("""WITH r AS (SELECT coalesce(source, 'none') || '/' || (doc_id // 40) AS paper, doc_id, sum(n_chars + 1) OVER w AS used, row_number() OVER w AS k FROM documents WINDOW w AS (PARTITION BY coalesce(source, 'none') || '/' || (doc_id // 40) ORDER BY doc_id ROWS UNBOUNDED PRECEDING))

@@ -50,7 +50,7 @@ def verdict_single(spark, sf_dir):
     """Answers of one object, some garbled."""
     body = F.to_json(F.struct("supports_claim", "justification"))
     answer = F.when(F.col("turn") % 4 == 0, F.concat(F.lit("x "), body)).when(F.col("turn") % 4 == 1, F.concat(F.lit("```\n"), body, F.lit("\n```"))).when(F.col("turn") % 4 == 2, body).otherwise("{ not json }")
-    return _answers(spark, sf_dir).select("conv_id", "turn", relevance.parse_single(answer)["supports"].alias("supports"))
+    return relevance.parse_single(_answers(spark, sf_dir).withColumn("answer", answer), ("conv_id", "turn")).select("conv_id", "turn", "v.supports")
 
 
 @query(f"""{BASE}, i AS (SELECT paper_id, cite_key, claim_id, ord, row_number() OVER (PARTITION BY paper_id, cite_key ORDER BY ord) AS k FROM pred),

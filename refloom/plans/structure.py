@@ -16,7 +16,7 @@ _SITES = """SELECT p_partkey, cite_key, section, in_table, sentence FROM (SELECT
 
 
 @query(f"SELECT p_partkey AS file, cite_key AS key, section, in_table, sentence FROM ({_SITES})")
-def latex_sites(spark, sf_dir):
+def latex_citations(spark, sf_dir):
     """Citation sites of TeX files: keys, sections, tables and sentences."""
     p = table(spark, sf_dir, "part")
     text = F.concat(

@@ -136,12 +136,17 @@ def jaccard_similarity(spark, sf_dir):
     return _titles(spark, sf_dir).select("p_partkey", similarity.jaccard(F.col("a"), F.col("b")).alias("jaccard"))
 
 
-@query()
+_T = "replace(p_name, ' ', '')"
+
+
+@query(f"""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 100.0 WHEN 1 THEN 100.0 * 2 * (length({_T}) + 1) / (2 * length({_T}) + 4) WHEN 2 THEN 100.0 ELSE 0.0 END AS score FROM part""")
 def indel_similarity(spark, sf_dir):
-    """Rows only: the library's ratio has no SQL form; tests pin it."""
-    p = table(spark, sf_dir, "part")
-    left = text.norm_title(F.col("p_name"))
-    return p.select("p_partkey", similarity.fuzzy_title_score(left, text.norm_title(F.concat(F.split_part("p_name", F.lit(" "), F.lit(2)), F.lit(" "), F.split_part("p_name", F.lit(" "), F.lit(1))))).alias("score"))
+    """How alike titles are: words swapped, one letter of one word changed, words added, nothing there."""
+    n, one = F.col("p_partkey") % 4, F.replace("p_name", F.lit(" "), F.lit(""))
+    swapped = F.concat(F.split_part("p_name", F.lit(" "), F.lit(2)), F.lit(" "), F.split_part("p_name", F.lit(" "), F.lit(1)))
+    a = F.when(n == 1, F.concat(F.lit("!"), F.lit("zx"), one)).otherwise(F.col("p_name"))
+    b = F.when(n == 0, swapped).when(n == 1, F.concat(F.lit("zy"), one)).when(n == 2, F.concat("p_name", F.lit(": a study of more"))).otherwise(" ?")
+    return table(spark, sf_dir, "part").select("p_partkey", similarity.fuzzy_title_score(text.norm_title(a), text.norm_title(b)).alias("score"))
 
 
 @query(rf"SELECT page_id, substr(sha256(lower({_SQUEEZE.format(x='url')}) || chr(31) || CAST(page_id AS VARCHAR)), 1, 32) AS cache_key FROM pages")

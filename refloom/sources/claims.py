@@ -184,6 +184,31 @@ def text_sites(texts: DataFrame) -> DataFrame:
     return texts.select("paper_id", "text").mapInPandas(run, f"paper_id {kind}, cite_key string, claim string, `begin` int, `end` int")
 
 
+#: Fixed patterns: a heading in TeX, and a line that is one in plain text; words of such a line at most.
+TEX_HEADING, PLAIN_HEADING, HEADING_WORDS = re.compile(r"\\(?:sub){0,2}section\*?\s*\{([^}]{1,120})\}"), re.compile(r"(?m)^[^\S\n]*(?:\d+(?:\.\d+)*\.?[^\S\n]+)?([A-Z][A-Za-z][^.\n]{1,60})[^\S\n]*$\n?"), 6
+
+
+def sections(text: str | None) -> list[tuple[str, str]]:
+    """(heading, body) of a text: by its TeX headings, else by lines that look like headings; what stands before the first has none, empty bodies are left out."""
+    text = (text or "").strip()
+    found = list(TEX_HEADING.finditer(text)) or [m for m in PLAIN_HEADING.finditer(text) if len(re.findall(r"[a-z0-9]{3,}", m[0].lower())) <= HEADING_WORDS]
+    ends = [m.start() for m in found] + [len(text)]
+    parts = [("", text[: ends[0]]), *((m[1].strip(), text[m.end() : end]) for m, end in zip(found, ends[1:], strict=True))]
+    return [(heading, body.strip()) for heading, body in parts if body.strip()]
+
+
+def section_table(texts: DataFrame) -> DataFrame:
+    """sections() of texts (paper_id, text): paper_id, section_no, heading, text."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(p, i, *part) for p, t in zip(batch["paper_id"], batch["text"], strict=True) for i, part in enumerate(sections(t))]
+            yield pd.DataFrame(rows, columns=["paper_id", "section_no", "heading", "text"])
+
+    kind = texts.schema["paper_id"].dataType.simpleString()
+    return texts.select("paper_id", "text").mapInPandas(run, f"paper_id {kind}, section_no int, heading string, text string")
+
+
 # ---- pages -----------------------------------------------------------------------------------------------------------
 def two_columns(words: DataFrame, keys: list[str]) -> DataFrame:
     """keys, two: whether a page of words (keys, x0, x1, width) has two columns: 40 words, under 2 % across the middle, over a quarter on each side."""

@@ -97,21 +97,21 @@ def environments(text: str, names: tuple[str, ...]) -> list[tuple[int, int]]:
     return spans
 
 
-def cite_sites(text: str, window: int = TEX_WINDOW) -> list[tuple[str, int, int, str, bool, str]]:
-    """(key, begin, end, section, in a table, sentence) of each key of each citation; begin and end are those of its sentence. The sentence is TeX still.
+def cite_sites(text: str, window: int = TEX_WINDOW) -> list[tuple[str, int, int, str, bool, str, int, int]]:
+    """(key, start, end, section, in a table, sentence, first, last) of each key of each citation: where the citation stands, and where its sentence does, which is TeX still.
 
-    Line comments don't count; a text without any citation gives none.
+    Line comments don't count; a key that a sentence cites twice counts once; a text without any citation gives none.
     """
     text = re.sub(r"(?<!\\)%[^\n]*", "", text)
     places = Places([(b, re.sub(r"\\[a-zA-Z]+", "", arg).strip()) for name, b, _, arg in commands(text) if name.rstrip("*") in SECTIONS], environments(text, TABLES))
     out, seen = [], set()
-    for name, begin, _, argument in commands(text):
+    for name, begin, end, argument in commands(text):
         if name.rstrip("*") in CITES:
             first, last = sentence(text, begin, window, TEX_SENTENCE)
             for key in (k.strip() for k in argument.split(",")):
                 if key and (key, first, last) not in seen:
                     seen.add((key, first, last))
-                    out.append((key, first, last, " ".join(places.section(begin).split()), places.inside(begin), text[first:last]))
+                    out.append((key, begin, end, " ".join(places.section(begin).split()), places.inside(begin), text[first:last], first, last))
     return out
 
 
@@ -175,7 +175,7 @@ def bib_table(files: DataFrame) -> DataFrame:
 
 def site_table(files: DataFrame) -> DataFrame:
     """Citation sites of each file, their sentences as plain prose."""
-    sites = parsed(files, "key string, start int, end int, section string, in_table boolean, sentence string", cite_sites)
+    sites = parsed(files, "key string, start int, end int, section string, in_table boolean, sentence string, first int, last int", cite_sites)
     return sites.withColumn("sentence", strip_tex("sentence"))
 
 

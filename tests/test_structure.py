@@ -42,7 +42,7 @@ def test_unknown_inputs_are_errors(spark):
 def test_tex_sites_and_environments():
     text = r"\section{Intro}A b. We use \citep[see][]{a, b} here. Next \begin{table}\begin{tabular}{c} x \cite{t} \end{tabular}\end{table} % \cite{gone}" + "\n\\begin{table*} open \\cite{u}"
     got = tex.cite_sites(text)
-    assert [(k, s, t) for k, _, _, s, t, _ in got] == [("a", "Intro", False), ("b", "Intro", False), ("t", "Intro", True), ("u", "Intro", False)]
+    assert [(k, s, t) for k, _, _, s, t, *_ in got] == [("a", "Intro", False), ("b", "Intro", False), ("t", "Intro", True), ("u", "Intro", False)]
     assert tex.cite_sites("") == [] and tex.environments(r"\end{table}", tex.TABLES) == []
 
 
@@ -133,7 +133,7 @@ def test_answers_of_every_kind(spark):
     rows = [('x ```json\n[{"i": 1, "supports_claim": "Partial", "justification": "refuted"}]\n```',), ("[broken",), (None,), ('[{"i": "1"}, {"supports_claim": "supports"}]',), ("[]",)]
     got = relevance.parse_batch(spark.createDataFrame(rows, "answer string")).collect()
     assert [(r.i, r.v.supports) for r in got] == [(1, "does_not")]
-    single = spark.createDataFrame([('{"supports_claim": "supports", "confidence": 0.7} tail }',), ("",), (None,)], "answer string").select(relevance.parse_single(F.col("answer")).alias("v")).collect()
+    single = relevance.parse_single(spark.createDataFrame([('{"supports_claim": "supports", "confidence": 0.7} tail }',), ("",), (None,)], "answer string")).collect()
     assert [r.v.supports for r in single] == ["inconclusive"] * 3  # the outermost braces take in the tail
 
 
@@ -154,3 +154,22 @@ def test_verified_cells_on_odd_rows(spark):
     assert (got[1, 0].verdict, got[1, 0].note, got[1, 0].confidence) == ("unverifiable", "why", None)
     assert (got[1, 1].verdict, got[1, 1].severity, got[1, 1].understates, got[1, 1].confidence) == ("contradicted", "low", True, 0.25) and got[1, 1].note.startswith("[weakly grounded")
     assert got[2, 0].note == verify.NO_EVIDENCE and "pipeline failure" in got[3, 0].note
+
+
+def test_sections_of_tex_and_of_plain_text():
+    assert claims.sections("pre \\section{One} a \\subsubsection*{Two x} b \\section{Empty} ") == [("", "pre"), ("One", "a"), ("Two x", "b")]
+    assert claims.sections("Before.\n1 Introduction\nBody one goes.\n2.1. Method Used Here\nBody two. More.\n") == [("", "Before."), ("Introduction", "Body one goes."), ("Method Used Here", "Body two. More.")]
+    assert claims.sections("no structure at all, just this.") == [("", "no structure at all, just this.")] and claims.sections(" ") == claims.sections(None) == []
+
+
+def test_nearest_anchors_against_all_pairs(spark):
+    import random
+
+    from refloom.operators import layout
+
+    r = random.Random(2)
+    words = [(i, r.randint(0, 3), float(r.randint(0, 40))) for i in range(200)]
+    anchors = [(r.randint(0, 2), c, float(r.randint(0, 40))) for c in range(20)]
+    got = layout.nearest_anchor(spark.createDataFrame(words, "word_id int, page int, x double"), spark.createDataFrame(anchors, "page int, col int, ax double"), 3.0).collect()
+    want = {(w, p, min((abs(x - ax), c) for q, c, ax in anchors if q == p and abs(x - ax) <= 3)[1]) for w, p, x in words if any(q == p and abs(x - ax) <= 3 for q, _, ax in anchors)}
+    assert {tuple(x) for x in got} == want and len(got) == len(want) > 30

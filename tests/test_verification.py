@@ -126,7 +126,7 @@ def test_layout(spark):
     lines = layout.baselines(spark.createDataFrame(words, "doc_id long, page int, x0 double, y0 double, x1 double, text string"))
     assert sorted(r.text for r in lines.collect()) == ["[1] Ann", "[2]", "far", "wrapped"]
     flush = lines.withColumn("x0", F.when(F.col("text") == "wrapped", 30.0).otherwise(F.col("x0"))).filter("text <> 'far'")
-    assert sorted(r.text for r in layout.hanging_entries(flush).collect()) == ["[1] Ann wrapped", "[2]"]
+    assert sorted(r.text for r in layout.hanging_entries(flush.withColumn("col", F.lit(0))).collect()) == ["[1] Ann wrapped", "[2]"]
     spans = spark.createDataFrame([("a", 0, 5), ("a", 0, 9), ("a", 4, 12), ("a", 9, 10), ("b", 1, 2)], "k string, start int, end int")
     assert sorted(map(tuple, layout.keep_non_overlapping(spans, ["k"]).collect())) == [("a", 0, 9), ("a", 9, 10), ("b", 1, 2)]
 
