@@ -251,7 +251,7 @@ def hanging_entries(spark, sf_dir):
     return layout.hanging_entries(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("doc_id"), F.inline(lines)))
 
 
-@query("""WITH w AS (SELECT l_orderkey * 10 + l_linenumber AS word_id, l_partkey, l_suppkey AS page, CAST(l_partkey % 500 AS DOUBLE) AS x FROM lineitem), a AS (SELECT s_suppkey AS page, k AS col, (s_suppkey * 7 + k * 61) % 500 AS ax FROM supplier, (SELECT unnest([0, 1, 2, 3, 4, 5]) AS k))
+@query("""WITH w AS (SELECT row_number() OVER () AS word_id, l_partkey, l_suppkey AS page, CAST(l_partkey % 500 AS DOUBLE) AS x FROM lineitem), a AS (SELECT s_suppkey AS page, k AS col, (s_suppkey * 7 + k * 61) % 500 AS ax FROM supplier, (SELECT unnest([0, 1, 2, 3, 4, 5]) AS k))
   SELECT page, col, count(*) AS n FROM (SELECT w.word_id, w.page, w.x, w.l_partkey, arg_min(col, abs(x - ax) * 1000 + col) AS col FROM w JOIN a ON w.page = a.page WHERE abs(x - ax) <= 25 GROUP BY ALL) GROUP BY 1, 2""")
 def nearest_anchor(spark, sf_dir):
     """Words by the nearest column of their page."""

@@ -11,6 +11,8 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 
 def plain(v):
+    if isinstance(v, list):
+        return tuple(map(plain, v))
     if isinstance(v, float):
         return None if v != v else float(f"{v:.9g}")
     return v
