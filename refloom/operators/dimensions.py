@@ -216,3 +216,38 @@ def best_gloss(passages: DataFrame, keys: list[str]) -> DataFrame:
     place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("s"), "ord"))
     best = scored.withColumn("place", place).filter("place = 1")
     return best.select(*keys, F.when(F.col("source") != "header_only", F.col("passage")).alias("gloss"), F.col("source").alias("gloss_source"))
+
+
+#: A passage about the citing paper's own work: background, never a definition.
+BACKGROUND = "self-context"
+#: Words of prose that a method's name hardly holds.
+PROSE_WORDS = r"(?i)\b(?:the|and|of|for|with|that|this|which|while|from|are|is|was|were|has|have)\b"
+
+
+def names_method(label: Column) -> Column:
+    """Whether a row label names a method: 60 characters at most, and one word of prose at most."""
+    plain = F.trim(F.coalesce(label, F.lit("")))
+    return (plain != "") & (F.length(plain) <= 60) & (F.regexp_count(plain, F.lit(PROSE_WORDS)) <= 1)
+
+
+def column_query(header: Column, gloss: Column) -> Column:
+    """What to search a cited text for: a column's header and gloss; null without both."""
+    head, meaning = F.trim(F.coalesce(header, F.lit(""))), F.trim(F.coalesce(gloss, F.lit("")))
+    asked = F.trim(F.when(meaning != "", F.concat(head, F.lit(". "), meaning)).otherwise(head))
+    return F.when(asked != "", asked)
+
+
+def qualified(passages: DataFrame, keys: list[str]) -> DataFrame:
+    """Passages (keys, parent, source, quote) of columns below a group header: those that mention the group, or, where none does, all of them as mere mentions. Background stays as it is, and so do columns without a group."""
+
+    def meets(parents: pd.Series, quotes: pd.Series) -> pd.Series:
+        return pd.Series([bool(p) and bool(q) and mentioned([p], q) for p, q in zip(parents, quotes, strict=True)], dtype=bool)
+
+    found = F.pandas_udf(meets, "boolean")(F.col("parent"), F.col("quote"))
+    background = F.col("source") == BACKGROUND
+    marked = passages.withColumn("_meets", found)
+    marked = marked.withColumn("_any", F.max(F.col("_meets") & ~background).over(Window.partitionBy(*keys)))
+    grouped = F.coalesce(F.col("parent") != "", F.lit(False))
+    kept = marked.filter(~grouped | background | F.col("_meets") | ~F.col("_any"))
+    demoted = F.when(grouped & ~background & ~F.col("_any"), "mention").otherwise(F.col("source"))
+    return kept.withColumn("source", demoted).drop("_meets", "_any")

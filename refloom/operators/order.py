@@ -93,3 +93,8 @@ def closure(edges: DataFrame) -> DataFrame:
         if size == last:
             break
     return now.unionByName(edges.select(F.col("a").alias("root"), F.col("a").alias("node"))).distinct()
+
+
+def smoke(rows: DataFrame, positive: Column, order: list[Column], n: int = 18) -> DataFrame:
+    """The first n rows, positive ones before the others."""
+    return rows.orderBy(F.desc(positive), *order).limit(n)

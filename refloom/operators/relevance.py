@@ -33,20 +33,21 @@ def _whole(span: Column, schema: str) -> Column:
     return F.when(F.size(values) == 1, F.get(values, F.lit(0)))
 
 
-def _token(value: Column, allowed: tuple[str, ...], default: str | None) -> Column:
+def token(value: Column, allowed: tuple[str, ...], default: str | None) -> Column:
+    """A loosely spelled value of a closed set; default for any other."""
     raw = F.lower(F.trim(value))
     out = F.regexp_replace(raw, "[ -]", "_")
-    for alias, token in ALIASES.items():
-        out = F.when(raw == alias, token).otherwise(out)
+    for alias, meant in ALIASES.items():
+        out = F.when(raw == alias, meant).otherwise(out)
     return F.when(out.isin(*allowed), out).otherwise(F.lit(default))
 
 
 def verdict(row: Column) -> Column:
     """supports, priority, confidence, justification of one answer (VERDICT). What is no verdict is inconclusive; what its own words contradict is does_not."""
     said = F.trim(F.coalesce(row["justification"], F.lit("")))
-    token = _token(row["supports_claim"], SUPPORTS, "inconclusive")
-    token = F.when(token.isin("supports", "partial") & said.rlike(CONTRADICTION), "does_not").otherwise(token)
-    return F.struct(token.alias("supports"), _token(row["priority"], PRIORITIES, None).alias("priority"), row["confidence"].alias("confidence"), said.alias("justification"))
+    found = token(row["supports_claim"], SUPPORTS, "inconclusive")
+    found = F.when(found.isin("supports", "partial") & said.rlike(CONTRADICTION), "does_not").otherwise(found)
+    return F.struct(found.alias("supports"), token(row["priority"], PRIORITIES, None).alias("priority"), row["confidence"].alias("confidence"), said.alias("justification"))
 
 
 def parse_single(answers: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:

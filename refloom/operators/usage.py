@@ -41,3 +41,23 @@ def totals(slices: DataFrame, by: list[str]) -> DataFrame:
     """Sums of COUNTERS and cost_usd of slices of usage, missing ones as none; a reported cost goes before a computed one. slices: by, COUNTERS, reported_usd, cost_usd."""
     paid = F.coalesce("reported_usd", "cost_usd", F.lit(0.0))
     return slices.groupBy(*by).agg(*[F.sum(F.coalesce(c, F.lit(0))).alias(c) for c in COUNTERS], F.round(F.sum(paid), 6).alias("cost_usd"))
+
+
+_TOKENS = ("input_tokens", "output_tokens", "cache_read_input_tokens", "cache_creation_input_tokens")
+
+
+def reported(messages: DataFrame, message: str, single_calls: bool = False) -> DataFrame:
+    """messages with COUNTERS and reported_usd by the JSON text in a column: usage, num_turns, duration_ms, total_cost_usd. What is missing or no number counts nothing; single calls are one turn each and report no time or cost."""
+    v = F.try_parse_json(message)
+    number = lambda path: F.coalesce(F.try_variant_get(v, path, "double"), F.lit(0.0))
+    tokens = {c: number(f"$.usage.{t}").cast("long") for c, t in zip(COUNTERS[:4], _TOKENS, strict=True)}
+    if single_calls:
+        run = {"num_turns": F.lit(1).cast("long"), "wall_seconds": F.lit(0.0), "reported_usd": F.lit(None).cast("double")}
+    else:
+        run = {"num_turns": number("$.num_turns").cast("long"), "wall_seconds": number("$.duration_ms") / 1000, "reported_usd": F.try_variant_get(v, "$.total_cost_usd", "double")}
+    return messages.withColumns({**tokens, **run, "tool_calls": F.lit(0).cast("long")})
+
+
+def model_of(tier: Column, bulk: str, judge: str) -> Column:
+    """The model of a tier; that of the bulk for all but judges."""
+    return F.when(tier == "judge", judge).otherwise(bulk)

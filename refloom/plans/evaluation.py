@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from refloom.operators import evaluate as ev
-from refloom.operators import report
+from refloom.operators import order, report
 from refloom.operators.severity import derive_cell_severity, derive_severity, eligible, finalize_severity, hallucination_pred, inconclusive_reason
 from refloom.plans.registry import query, table
 
@@ -227,7 +227,7 @@ def gold_truth(spark, sf_dir):
 @query(f"""{BASE} SELECT claim_id, ord, positive FROM (SELECT claim_id, ord, exists_ = 'no' OR n_issues > 0 AS positive FROM pred) ORDER BY positive DESC, ord LIMIT 18""")
 def smoke_split(spark, sf_dir):
     rows = pred(spark, sf_dir).select("claim_id", "ord", ((F.col("exists") == "no") | (F.size("issues") > 0)).alias("positive"))
-    return rows.orderBy(F.desc("positive"), "ord").limit(18)
+    return order.smoke(rows, F.col("positive"), [F.col("ord")])
 
 
 _FLAG = f"CASE WHEN exists_ = 'no' THEN 0 WHEN {SEVERITY.format(e='exists_', s='supports', p='priority')} = 'high' THEN 1 WHEN supports = 'does_not' THEN 2 WHEN exists_ = 'unresolved' THEN 3 ELSE 99 END"

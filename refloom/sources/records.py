@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from refloom.operators.order import smoke
+
 #: Fixed format: the record type, field by field in its published order.
 RECORD = """
 schema_version STRING, paper_id STRING, claim_id STRING, cite_key STRING,
@@ -73,6 +75,14 @@ def write_jsonl(records: DataFrame, path: str) -> None:
     records.write.option("ignoreNullFields", "false").json(path)
 
 
+def write_splits(records: DataFrame, positive: Column, order: list[Column], path: str, n: int = 18) -> dict[str, str]:
+    """All records and the first n, positive ones first, as JSON lines in folders of path; where they are."""
+    where = {"smoke": f"{path}/smoke", "full": f"{path}/full"}
+    write_jsonl(smoke(records, positive, order, n).coalesce(1), where["smoke"])
+    write_jsonl(records, where["full"])
+    return where
+
+
 def openalex_abstract(index):
     """{word: [positions]} as text in order."""
     pairs = F.flatten(F.transform(F.map_entries(index), lambda e: F.transform(e["value"], lambda p: F.struct(p.alias("p"), e["key"].alias("w")))))

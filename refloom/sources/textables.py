@@ -6,10 +6,12 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from refloom.functions.idents import CITE
 from refloom.functions.tex import DROPPED, SWITCHES, UNWRAPPED
+from refloom.functions.text import squeeze
 from refloom.operators.grid import DASHES, EMPTY_WORDS, NO_SIGN, NO_WORDS, NUMERIC, PARTIAL_SIGN, PARTIAL_WORDS, YES_SIGN, YES_WORDS
 from refloom.sources.tex import balanced, commands, tabular_cells
 
@@ -198,3 +200,12 @@ def comparison_table_cells(files: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=columns)
 
     return files.select("file", "text").mapInPandas(run, f"`file` {kind}, {CELLS}")
+
+
+#: Fixed pattern: a numbered table caption in the text of a page.
+CAPTION = r"((?:Table|TABLE|Tab\.)\s*[IVXLC0-9]+\s*[.:]\s+.{0,300})"
+
+
+def page_caption(text: Column) -> Column:
+    """The first numbered table caption of a page's text, or an empty one."""
+    return F.trim(F.regexp_extract(squeeze(F.coalesce(text, F.lit(""))), CAPTION, 1))

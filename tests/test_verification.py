@@ -158,3 +158,12 @@ def test_event_stream(spark, sf_dir, tmp_path):
     event_log.drain(stream, "activity", str(tmp_path / "state"))
     want = spark.read.parquet(str(tmp_path / "log")).groupBy(F.window(F.col("ts").cast("timestamp"), "1 hour").start.alias("start"), "event_type").agg(F.count("*").alias("n"))
     assert sorted(map(tuple, spark.table("activity").select("start", "event_type", "n").collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_splits_are_written(spark, tmp_path):
+    from refloom.sources.records import write_splits
+
+    rows = spark.createDataFrame([(i, i % 10 == 7) for i in range(100)], "ord int, bad boolean")
+    where = write_splits(rows, F.col("bad"), [F.col("ord")], str(tmp_path), 12)
+    assert sorted(r["ord"] for r in spark.read.json(where["smoke"]).collect()) == sorted([*range(7, 100, 10), 0, 1])
+    assert spark.read.json(where["full"]).count() == 100
