@@ -19,7 +19,7 @@ PDF_YES_WORDS, PDF_NO_WORDS, PDF_PARTIAL_WORDS = ("yes", "y", "true", "full"), (
 YES_SIGN = r"(?i)\\ding\s*\{\s*5[12]\s*\}|\\(?:checkmark|cmark|greencheck|CheckmarkBold|Checkmark)\b|\\usym\s*\{\s*2713\s*\}|[✓✔🗸]"
 NO_SIGN = r"(?i)\\ding\s*\{\s*5[3-6]\s*\}|\\(?:xmark|redcross|XSolidBrush|ding55)\b|\\usym\s*\{\s*271[78]\s*\}|\$?\\times\$?|[✗✘×✕✖]"
 PARTIAL_SIGN = r"(?i)\\(?:halfcirc|LEFTcircle|RIGHTcircle|halfstar|Circle|tmark|mmark|pmark|midmark|hmark|partialmark|yellowcheck)\b|[▲◐◑⯨◒◓]"
-PDF_YES, PDF_NO, PDF_PARTIAL = "✓✔√", "✗✘✕×", "▲◐◑半"
+PDF_YES, PDF_NO, PDF_PARTIAL = "\uf0fc\uf052\uf051✓✔√", "\uf0fb\uf056\uf055✗✘✕×", "▲◐◑半"
 #: Fixed patterns: what a legend's wording stands for, tested in this order.
 ABSTAINS = r"(?i)\b(?:not\s+applicable|n/?\.?a\.?|not\s+(?:reported|measured|evaluated|available|studied|tested)|unknown|unclear|undetermined|to\s+be\s+determined)\b"
 MIDDLING = r"(?i)\b(medium|partial(ly)?|moderate|limited|some|weakly|mid)\b"

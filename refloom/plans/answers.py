@@ -8,6 +8,7 @@ from refloom.operators import answers, dimensions, relevance, usage
 from refloom.operators.severity import derive_severity
 from refloom.plans.evaluation import BASE, SEVERITY, pred
 from refloom.plans.registry import query, table
+from refloom.sources import pagetables
 from refloom.sources.textables import page_caption
 
 #: (JSON value as answered, its text, its issues joined by '|', its evidence as kind/source/quote/url joined by '|').
@@ -117,3 +118,31 @@ def table_words(spark, sf_dir):
     label = F.when(n % 5 == 0, "Skeleton of Merger [29]").when(n % 5 == 1, "adaptability and the deeper understanding").when(n % 5 == 2, F.repeat(F.lit("x"), F.lit(61))).when(n % 5 == 3, "OurNet")
     page = F.when(n % 3 == 0, F.concat(F.lit("Some text\nTable "), "p_size", F.lit(":\n "), name, F.lit("."))).when(n % 3 == 1, F.concat(F.lit("TABLE  IV. "), name)).otherwise(F.concat(F.lit("As Table 3 shows, "), name))
     return table(spark, sf_dir, "part").select(n, dimensions.column_query(header, gloss).alias("asked"), dimensions.names_method(label).alias("is_method"), page_caption(page).alias("caption"))
+
+
+#: Words of a page (text or null for a supplier's name, x0, x1, y0), 8 points high: caption, headers, three rows beside prose.
+_PAGE = (
+    ("Table", 150, 170, 62), ("1:", 172, 180, 62), ("Marks", 250, 270, 62), ("Low", 190, 210, 84), ("cost", 212, 228, 84), ("Fast", 250, 270, 84), ("Open", 310, 330, 84),
+    ("prose", 20, 50, 100), (None, 100, 140, 100), ("[3]", 145, 160, 100), ("✓", 196, 204, 100), ("✗", 256, 264, 100), ("\x13", 316, 324, 100),
+    ("Ours", 120, 150, 112), ("✗", 196, 204, 112), ("✓", 256, 264, 112), ("Bo", 100, 115, 124), ("et", 117, 125, 124), ("al.,", 127, 140, 124), ("2020", 142, 160, 124), ("✓", 196, 204, 124), ("✓", 256, 264, 124), ("✗", 316, 324, 124),
+)
+_OTHER = [["Method", "A", "B"], ["Net", "yes", "N/A"], ["Old [1, 2]", "no", None], []]
+
+
+@query("""WITH s AS (SELECT s_suppkey, s_name, s_suppkey % 2 = 1 AS whole, s_suppkey % 4 = 0 AS seen FROM supplier),
+  g AS (SELECT s_suppkey, 'pdf' AS source, CASE WHEN whole THEN '' ELSE '1/3 row(s) have a partial mark count' END AS warnings, r, CASE r WHEN 0 THEN s_name || ' [3]' ELSE label END AS row_label, keys, r = 1 AS is_self, c, header, CASE WHEN r = 1 AND c = 3 AND whole THEN 'ILP' ELSE raw END AS raw
+    FROM s, (VALUES (0, '', '3', 1, 'Low cost', '✓'), (0, '', '3', 2, 'Fast', '✗'), (0, '', '3', 3, 'Open', '✓'), (1, 'Ours', '', 1, 'Low cost', '✗'), (1, 'Ours', '', 2, 'Fast', '✓'), (1, 'Ours', '', 3, 'Open', ''),
+      (2, 'Bo et al., 2020', 'Bo 2020', 1, 'Low cost', '✓'), (2, 'Bo et al., 2020', 'Bo 2020', 2, 'Fast', '✓'), (2, 'Bo et al., 2020', 'Bo 2020', 3, 'Open', '✗')) v(r, label, keys, c, header, raw) WHERE NOT seen
+    UNION ALL SELECT s_suppkey, 'pdf+ocr', '', r, label, keys, false, c, header, raw FROM s, (VALUES (0, 'Net', '', 1, 'A', 'yes'), (0, 'Net', '', 2, 'B', 'N/A'), (1, 'Old [1, 2]', '1;2', 1, 'A', 'no'), (1, 'Old [1, 2]', '1;2', 2, 'B', '.')) v(r, label, keys, c, header, raw) WHERE seen)
+  SELECT s_suppkey AS doc_id, source, warnings, r AS row_index, row_label, keys, is_self, c AS col_index, header, raw, CASE WHEN raw IN ('✓', 'yes') THEN 'yes' WHEN raw IN ('✗', 'no') THEN 'no' WHEN raw IN ('', 'N/A') THEN 'empty' ELSE 'value' END AS mark FROM g""")
+def page_tables(spark, sf_dir):
+    """Comparison tables from words with places: marks without a character map, prose beside labels, captions above headers, damaged grids and another reader's rows."""
+    n = F.col("s_suppkey")
+    at = F.array(*[F.struct((F.col("s_name") if t is None else F.lit(t)).alias("text"), F.lit(float(x)).alias("x0"), F.lit(float(z)).alias("x1"), F.lit(float(y)).alias("y0")) for t, x, z, y in _PAGE])
+    value = F.array(F.struct(F.lit("ILP").alias("text"), F.lit(312.0).alias("x0"), F.lit(328.0).alias("x1"), F.lit(112.0).alias("y0")))
+    prose = F.transform(F.slice(at, 1, 7), lambda w: w)
+    pages = F.array(F.struct(F.lit(0).alias("page"), F.when(n % 2 == 1, F.concat(at, value)).otherwise(at).alias("w")), F.struct(F.lit(1).alias("page"), prose.alias("w")), F.struct(F.lit(12).alias("page"), at.alias("w")))
+    seen = F.array(*[F.array(*[F.lit("." if c is None else c) for c in row]).cast("array<string>") for row in _OTHER])
+    rows = table(spark, sf_dir, "supplier").select(n.alias("doc_id"), "s_name", F.when(n % 4 == 0, seen).alias("other"), F.inline(pages))
+    words = rows.select("doc_id", "page", F.lit(612.0).alias("width"), "other", F.inline("w")).withColumn("y1", F.col("y0") + 8)
+    return pagetables.page_tables(words).select("doc_id", "source", F.array_join("warnings", ";").alias("warnings"), "row_index", "row_label", F.array_join("cite_keys", ";").alias("keys"), "is_self", "col_index", "header", "raw", "mark")

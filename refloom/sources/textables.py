@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -52,9 +52,9 @@ def cell_mark(raw: str | None) -> str:
     return next((mark for mark, some in words.items() if low in some), "value")
 
 
-def column_kind(raw: list[str]) -> str:
+def column_kind(raw: list[str], mark: Callable[[str], str] = cell_mark) -> str:
     """The kind of a column's body, as operators.grid.column_kinds() has it."""
-    marks = [m for m in map(cell_mark, raw) if m != "empty"]
+    marks = [m for m in map(mark, raw) if m != "empty"]
     signs = sum(m != "value" for m in marks)
     texts = [t for t in map(cell_text, raw) if t]
     short = [t.lower() for t in texts if len(t) <= 25]
@@ -152,11 +152,11 @@ def own_row(label: str, keys: list[str], names: list[str], strict: bool = False)
     return bool(said) or (not strict and not keys and bool(low))
 
 
-def compares(rows: list[list[str]]) -> bool:
+def compares(rows: list[list[str]], mark: Callable[[str], str] = cell_mark) -> bool:
     """Whether a grid compares works, as operators.grid.comparison_tables() has it; the first row and column are its labels."""
     body = [r[1:] for r in rows[1:]]
-    kinds = [column_kind([r[c] for r in body]) for c in range(len(rows[0]) - 1)] if rows else []
-    filled = sum(cell_mark(c) in ("yes", "no", "partial") for r in body for c in r)
+    kinds = [column_kind([r[c] for r in body], mark) for c in range(len(rows[0]) - 1)] if rows else []
+    filled = sum(mark(c) in ("yes", "no", "partial") for r in body for c in r)
     marked, worded = kinds.count("mark"), kinds.count("categorical")
     return len(body) >= 2 and ((marked >= 2 and filled >= 0.35 * len(body) * len(kinds)) or (worded >= 2 and kinds.count("numeric") <= 1))
 
