@@ -144,6 +144,15 @@ def citation_cell(authors: Column, title: Column, year: Column, raw: Column, cit
     return F.coalesce(F.nullif(parts, F.lit("")), F.nullif(flat, F.lit("")), cite_key)
 
 
+def who_year(authors: Column, title: Column, year: Column, raw: Column, cite_key: Column) -> Column:
+    """'A, B (2020)' in 80 characters, with 'A et al.' for three authors and more; without any the title, 40 characters of the raw reference, or the key."""
+    people = F.coalesce(authors, F.array().cast("array<string>"))
+    named = F.when(F.size(people) > 2, F.concat(F.get(people, F.lit(0)), F.lit(" et al."))).when(F.size(people) > 0, F.array_join(people, ", "))
+    who = F.coalesce(named, F.nullif(title, F.lit("")), F.nullif(F.substring(raw, 1, 40), F.lit("")), cite_key)
+    label = F.concat(who, F.when(F.coalesce(year, F.lit(0)) != 0, F.concat(F.lit(" ("), year, F.lit(")"))).otherwise(""))
+    return F.when(F.length(label) > 80, F.concat(F.rtrim(F.substring(label, 1, 79)), F.lit("…"))).otherwise(label)
+
+
 def split_authors(c: Column) -> Column:
     """The names of an 'A and B and C' list."""
     return F.filter(F.transform(F.split(c, r"\s+and\s+"), lambda x: F.trim(x)), lambda x: x != "")

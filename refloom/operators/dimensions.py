@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, MapType, StringType
 
+from refloom.functions.text import squeeze
+
 # ---- fixed values ----------------------------------------------------------------------------------------------------
 #: Fixed patterns: an entry of a legend, and cues of a definition with their weights.
 LEGEND = re.compile(
@@ -220,14 +222,6 @@ def best_gloss(passages: DataFrame, keys: list[str]) -> DataFrame:
 
 #: A passage about the citing paper's own work: background, never a definition.
 BACKGROUND = "self-context"
-#: Words of prose that a method's name hardly holds.
-PROSE_WORDS = r"(?i)\b(?:the|and|of|for|with|that|this|which|while|from|are|is|was|were|has|have)\b"
-
-
-def names_method(label: Column) -> Column:
-    """Whether a row label names a method: 60 characters at most, and one word of prose at most."""
-    plain = F.trim(F.coalesce(label, F.lit("")))
-    return (plain != "") & (F.length(plain) <= 60) & (F.regexp_count(plain, F.lit(PROSE_WORDS)) <= 1)
 
 
 def column_query(header: Column, gloss: Column) -> Column:
@@ -251,3 +245,17 @@ def qualified(passages: DataFrame, keys: list[str]) -> DataFrame:
     kept = marked.filter(~grouped | background | F.col("_meets") | ~F.col("_any"))
     demoted = F.when(grouped & ~background & ~F.col("_any"), "mention").otherwise(F.col("source"))
     return kept.withColumn("source", demoted).drop("_meets", "_any")
+
+
+def top_passages(passages: DataFrame, keys: list[str], n: int = 4, background: int = 2) -> DataFrame:
+    """The n best passages of each column (keys), each once by its first 120 word characters, and the first ones that are background; passages: keys, ord, source, quote, s (score)."""
+    text = squeeze(F.coalesce("quote", F.lit("")))
+    same = F.substring(F.regexp_replace(F.lower("quote"), r"[^\p{L}\p{N}_]+", ""), 1, 120)
+    behind = F.col("source") == BACKGROUND
+    ranked = passages.withColumn("same", F.when(behind, F.col("ord").cast("string")).otherwise(same)).withColumn("behind", behind)
+    best = F.row_number().over(Window.partitionBy(*keys, "behind", "same").orderBy(F.desc("s"), "ord"))
+    once = ranked.withColumn("copy", best).filter("copy = 1")
+    place = F.row_number().over(Window.partitionBy(*keys, "behind").orderBy(F.when(F.col("behind"), 0).otherwise(-F.col("s")), "ord"))
+    shown = once.withColumn("place", place).filter(F.col("place") <= F.when(F.col("behind"), background).otherwise(n))
+    cut = F.substring(text, 1, 600)
+    return shown.select(*keys, F.when(F.col("behind"), F.col("place") + n).otherwise(F.col("place")).alias("place"), "source", F.when(F.col("behind"), F.substring(text, 1, 400)).otherwise(cut).alias("quote"), F.when(F.col("behind"), 0).otherwise(F.col("s")).alias("s"))

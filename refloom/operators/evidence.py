@@ -33,6 +33,15 @@ def words(c: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]+", " "), " "), lambda t: (F.length(t) > 2) & ~t.isin(*STOP)))
 
 
+def names_work(text: Column, title: Column, head: int = 6000) -> Column:
+    """Whether a fetched text is the work of a title: its head has the title's words of four letters on (all words where there are none), but for one of seven and more."""
+    every = words(title)
+    long = F.filter(every, lambda t: F.length(t) > 3)
+    wanted = F.when(F.size(long) > 0, long).otherwise(every)
+    missing = F.size(F.array_except(wanted, words(F.substring(text, 1, head))))
+    return (F.size(wanted) > 0) & (missing <= F.when(F.size(wanted) >= 7, 1).otherwise(0))
+
+
 def experimental(claim_words: Column) -> Column:
     """Whether a claim is about methods, data or results."""
     return F.arrays_overlap(claim_words, F.array(*map(F.lit, EXPERIMENTAL_HINTS)))

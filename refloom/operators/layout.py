@@ -82,3 +82,19 @@ def nearest_anchor(words: DataFrame, anchors: DataFrame, reach: float) -> DataFr
     away = lambda a: F.when(a.isNotNull(), F.struct(F.abs(F.col("x") - a["x"]).alias("dx"), a["col"].alias("col")))
     best = F.array_min(F.array_compact(F.array(away(F.col("before")), away(F.col("after")))))
     return seen.withColumn("best", best).filter(F.col("best.dx") <= reach).select("word_id", "page", "best.col")
+
+
+def reading_order(blocks: DataFrame) -> DataFrame:
+    """blocks (doc_id, page, width, x0, y0, x1, y1, text) with their place on the page: wide blocks of the top fifth, the left column, the right one, other wide blocks."""
+    page = Window.partitionBy("doc_id", "page")
+    wide, middle = F.col("x1") - F.col("x0") >= 0.72 * F.col("width"), (F.col("x0") + F.col("x1")) / 2
+    part = F.when(wide, F.when(F.col("y1") < 0.22 * F.max("y1").over(page), 0).otherwise(3)).when(middle < F.col("width") / 2, 1).otherwise(2)
+    order = page.orderBy("part", F.bround("y0"), "x0", "text")
+    return blocks.withColumn("part", part).withColumn("place", F.row_number().over(order)).drop("part")
+
+
+def carried_headers(cells: DataFrame, keys: list[str], order: str, name: str, span: str) -> DataFrame:
+    """cells with the group above each column of a table (keys): the name of the last cell that spans several columns and goes on over those of span 0; none below cells of one column."""
+    before = Window.partitionBy(*keys).orderBy(order)
+    own = F.when(F.col(span) != 0, F.struct(F.when(F.col(span) > 1, F.col(name)).alias("g")))
+    return cells.withColumn("group", F.last(own, ignorenulls=True).over(before)["g"])

@@ -196,13 +196,59 @@ def display_cap(listed: DataFrame, keys: list[str], place: str = "place", cap: i
     return listed.withColumn("more", more).filter(F.col(place) <= cap)
 
 
+def _degraded() -> Column:
+    low = F.transform(F.coalesce("errors", F.array().cast("array<string>")), F.lower)
+    has = lambda e, *words: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(e, w))
+    said = F.exists(low, lambda e: has(e, "extract layer unavailable", "extraction failed") | (F.contains(e, F.lit("backend")) & has(e, "unavailable", "failed")))
+    stub = (F.col("exists") == "unresolved") & (F.col("cite_key") == "run") & (F.col("claim_id") == "run")
+    return ((F.count("*") == 1) & F.bool_and(stub)) | F.bool_or(said)
+
+
 def outages(records: DataFrame) -> DataFrame:
     """paper_id, outage: whether a whole run degraded. A run that did has one record, with 'run' as its key and claim; or an error that says so.
 
     records: paper_id, claim_id, cite_key, exists, errors (of the run).
     """
-    low = F.transform(F.coalesce("errors", F.array().cast("array<string>")), F.lower)
-    has = lambda e, *words: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(e, w))
-    said = F.exists(low, lambda e: has(e, "extract layer unavailable", "extraction failed") | (F.contains(e, F.lit("backend")) & has(e, "unavailable", "failed")))
-    stub = (F.col("exists") == "unresolved") & (F.col("cite_key") == "run") & (F.col("claim_id") == "run")
-    return records.groupBy("paper_id").agg((((F.count("*") == 1) & F.bool_and(stub)) | F.bool_or(said)).alias("outage"))
+    return records.groupBy("paper_id").agg(_degraded().alias("outage"))
+
+
+#: The headline of a run in chat, by what was found, and its colours.
+HEADLINES = {
+    "outage": "⚠️ Couldn't verify — the pipeline degraded (extraction/backend unavailable). Nothing was checked; please try again later.",
+    "empty": "📭 No citations were extracted from `{paper}` — the paper may have no reference list, or extraction found none.",
+    "fabricated": ("🚨 {k} of {n} sampled citation(s) fabricated / not found", "🚨 {k} fabricated / not-found citation(s)"),
+    "high": ("⚠️ {k} of {n} sampled with high-severity issues", "⚠️ {k} high-severity issue(s)"),
+    "clean": ("✅ No hallucinations in this sample", "✅ No citation hallucinations detected"),
+}
+
+
+def _filled(template: str, **columns: Column) -> Column:
+    out = F.lit(template)
+    for name, c in columns.items():
+        out = F.replace(out, F.lit("{" + name + "}"), c.cast("string"))
+    return out
+
+
+def run_headlines(records: DataFrame, papers: DataFrame, sample: bool) -> DataFrame:
+    """paper_id, n, total (of the run's note of its limit), headline and colour of each paper (paper_id), those without records included. A sample is never green, an outage always red.
+
+    records: paper_id, claim_id, cite_key, exists, supports, severity, errors (of the run).
+    """
+    note = F.get(F.filter(F.coalesce("errors", F.array().cast("array<string>")), lambda e: e.startswith("limited to first")), F.lit(0))
+    counts = records.groupBy("paper_id").agg(
+        F.count("*").alias("n"), _degraded().alias("outage"), F.max(F.nullif(F.regexp_extract(note, r"of (\d+) citation pairs", 1), F.lit("")).cast("long")).alias("total"),
+        F.count_if(F.col("exists") == "no").alias("fabricated"), F.count_if(F.col("exists") == "unresolved").alias("unresolved"), F.count_if(F.col("supports") == "does_not").alias("unsupported"), F.count_if(F.col("severity") == "high").alias("high"),
+    )
+    x = papers.select("paper_id").distinct().join(counts, "paper_id", "left").fillna(0, ["n", "fabricated", "unresolved", "unsupported", "high"]).fillna(False, ["outage"])
+    pick = lambda k: HEADLINES[k][0 if sample else 1]
+    bits = F.concat_ws(", ", F.when(F.col("unsupported") > 0, F.concat("unsupported", F.lit(" not supporting their claim"))), F.when(F.col("unresolved") > 0, F.concat("unresolved", F.lit(" unverifiable"))))
+    headline = (
+        F.when(F.col("outage"), HEADLINES["outage"])
+        .when(F.col("n") == 0, _filled(HEADLINES["empty"], paper=F.col("paper_id")))
+        .when(F.col("fabricated") > 0, _filled(pick("fabricated"), k=F.col("fabricated"), n=F.col("n")))
+        .when(F.col("high") > 0, _filled(pick("high"), k=F.col("high"), n=F.col("n")))
+        .when(bits != "", F.concat(F.lit("🔍 "), bits))
+        .otherwise(pick("clean"))
+    )
+    found = F.when((F.col("n") > 0) & (F.col("fabricated") + F.col("high") > 0), "red").when((F.col("n") == 0) | (bits != ""), "amber").otherwise("green")
+    return x.select("paper_id", "n", "total", headline.alias("headline"), F.when(F.col("outage"), "red").when(F.lit(sample), "amber").otherwise(found).alias("colour"))

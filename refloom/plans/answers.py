@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from refloom.operators import answers, dimensions, relevance, usage
+from refloom.functions.names import who_year
+from refloom.operators import answers, dimensions, evidence, layout, relevance, report, usage, verify
 from refloom.operators.severity import derive_severity
 from refloom.plans.evaluation import BASE, SEVERITY, pred
 from refloom.plans.registry import query, table
@@ -117,7 +118,7 @@ def table_words(spark, sf_dir):
     header, gloss = F.when(n % 4 < 2, F.concat(name, F.lit(" "))), F.when((n % 4 == 1) | (n % 4 == 2), " It is new.")
     label = F.when(n % 5 == 0, "Skeleton of Merger [29]").when(n % 5 == 1, "adaptability and the deeper understanding").when(n % 5 == 2, F.repeat(F.lit("x"), F.lit(61))).when(n % 5 == 3, "OurNet")
     page = F.when(n % 3 == 0, F.concat(F.lit("Some text\nTable "), "p_size", F.lit(":\n "), name, F.lit("."))).when(n % 3 == 1, F.concat(F.lit("TABLE  IV. "), name)).otherwise(F.concat(F.lit("As Table 3 shows, "), name))
-    return table(spark, sf_dir, "part").select(n, dimensions.column_query(header, gloss).alias("asked"), dimensions.names_method(label).alias("is_method"), page_caption(page).alias("caption"))
+    return table(spark, sf_dir, "part").select(n, dimensions.column_query(header, gloss).alias("asked"), verify.method_name(label).alias("is_method"), page_caption(page).alias("caption"))
 
 
 #: Words of a page (text or null for a supplier's name, x0, x1, y0), 8 points high: caption, headers, three rows beside prose.
@@ -146,3 +147,69 @@ def page_tables(spark, sf_dir):
     rows = table(spark, sf_dir, "supplier").select(n.alias("doc_id"), "s_name", F.when(n % 4 == 0, seen).alias("other"), F.inline(pages))
     words = rows.select("doc_id", "page", F.lit(612.0).alias("width"), "other", F.inline("w")).withColumn("y1", F.col("y0") + 8)
     return pagetables.page_tables(words).select("doc_id", "source", F.array_join("warnings", ";").alias("warnings"), "row_index", "row_label", F.array_join("cite_keys", ";").alias("keys"), "is_self", "col_index", "header", "raw", "mark")
+
+
+_SEVERITY = SEVERITY.format(e="exists_", s="supports", p="priority")
+
+
+@query(f"""{BASE}, q AS (SELECT paper_id, exists_, supports, {_SEVERITY} AS sev, CASE WHEN doc_id % 40 = 0 THEN 'Backend X unavailable' WHEN doc_id % 40 = 1 THEN 'limited to first 3 of 9 citation pairs' END AS e FROM pred),
+  a AS (SELECT paper_id, count(*) AS n, bool_or(e IS NOT NULL AND e LIKE '%unavail%') AS outage, max(CASE WHEN e LIKE 'limited%' THEN 9 END) AS total, count(*) FILTER (exists_ = 'no') AS f, count(*) FILTER (exists_ = 'unresolved') AS u, count(*) FILTER (supports = 'does_not') AS d, count(*) FILTER (sev = 'high') AS h FROM q GROUP BY 1),
+  x AS (SELECT * FROM a UNION ALL SELECT 'none', 0, false, NULL, 0, 0, 0, 0 UNION ALL SELECT 'good', 1, false, NULL, 0, 0, 0, 0 UNION ALL SELECT 'loud', 1, false, NULL, 0, 0, 0, 1 UNION ALL SELECT 'weak', 2, false, NULL, 0, 1, 1, 0), s AS (SELECT unnest([true, false]) AS sample)
+  SELECT paper_id, sample, CAST(n AS BIGINT) AS n, CAST(total AS BIGINT) AS total, CASE WHEN outage THEN '⚠️ Couldn''t verify — the pipeline degraded (extraction/backend unavailable). Nothing was checked; please try again later.'
+    WHEN n = 0 THEN '📭 No citations were extracted from `' || paper_id || '` — the paper may have no reference list, or extraction found none.'
+    WHEN f > 0 THEN '🚨 ' || f || CASE WHEN sample THEN ' of ' || n || ' sampled citation(s) fabricated / not found' ELSE ' fabricated / not-found citation(s)' END
+    WHEN h > 0 THEN '⚠️ ' || h || CASE WHEN sample THEN ' of ' || n || ' sampled with high-severity issues' ELSE ' high-severity issue(s)' END
+    WHEN d + u > 0 THEN '🔍 ' || CASE WHEN d > 0 THEN d || ' not supporting their claim' ELSE '' END || CASE WHEN d > 0 AND u > 0 THEN ', ' ELSE '' END || CASE WHEN u > 0 THEN u || ' unverifiable' ELSE '' END
+    WHEN sample THEN '✅ No hallucinations in this sample' ELSE '✅ No citation hallucinations detected' END AS headline,
+  CASE WHEN outage THEN 'red' WHEN sample THEN 'amber' WHEN n > 0 AND f + h > 0 THEN 'red' WHEN n = 0 OR d + u > 0 THEN 'amber' ELSE 'green' END AS colour FROM x, s""")
+def run_headlines(spark, sf_dir):
+    """What is said of each run first, for samples and whole papers."""
+    n = F.col("doc_id") % 40
+    errors = F.when(n == 0, F.array(F.lit("Backend X unavailable"))).when(n == 1, F.array(F.lit("limited to first 3 of 9 citation pairs")))
+    judged = pred(spark, sf_dir).withColumn("severity", derive_severity(F.col("exists"), F.col("supports"), F.col("priority"))).select("paper_id", "claim_id", "cite_key", "exists", "supports", "severity", errors.alias("errors"))
+    few = [("good", "1", "a", "yes", "supports", "ok", None), ("loud", "1", "a", "yes", "partial", "high", None), ("weak", "1", "a", "unresolved", "inconclusive", "low", None), ("weak", "2", "b", "yes", "does_not", "low", None)]
+    rows = judged.unionByName(spark.createDataFrame(few, "paper_id string, claim_id string, cite_key string, exists string, supports string, severity string, errors array<string>"))
+    papers = rows.select("paper_id").unionByName(spark.createDataFrame([("none",)], "paper_id string"))
+    sample, whole = (report.run_headlines(rows, papers, s).withColumn("sample", F.lit(s)) for s in (True, False))
+    return sample.unionByName(whole)
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'Ann Lee et al.' WHEN 1 THEN 'Ann Lee, Bo Wu' WHEN 2 THEN p_name ELSE 'key' END || CASE WHEN p_partkey % 3 = 0 THEN ' (2020)' ELSE '' END AS who,
+  CASE p_partkey % 5 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN true WHEN 3 THEN false ELSE false END AS same FROM part""")
+def work_labels(spark, sf_dir):
+    """Short labels of cited works, and whether a fetched text is the work it was looked up for."""
+    n, name = F.col("p_partkey"), F.col("p_name")
+    people = F.when(n % 4 == 0, F.array(F.lit("Ann Lee"), F.lit("Bo Wu"), F.lit("Cy Ng"))).when(n % 4 == 1, F.array(F.lit("Ann Lee"), F.lit("Bo Wu")))
+    who = who_year(people, F.when(n % 4 == 2, name), F.when(n % 3 == 0, 2020), F.lit(""), F.lit("key"))
+    long = "Language Models Learn Unsupervised Multitask Skills From Webpages"
+    title = F.when(n % 5 == 1, "Unsupervised Multitask Learners").when(n % 5 == 2, long).when(n % 5 == 3, long).when(n % 5 == 4, "").otherwise("Deep Nets")
+    text = F.when(n % 5 == 1, "Supervised multitask learners").when(n % 5 == 2, "language models learn multitask skills from webpages").when(n % 5 == 3, "language models learn skills from webpages").otherwise(F.concat(F.lit("On DEEP-nets: "), name))
+    return table(spark, sf_dir, "part").select(n, who.alias("who"), evidence.names_work(text, title).alias("same"))
+
+
+@query("""WITH v AS (SELECT * FROM (VALUES (1, 'title', 20, 590, 10, 30), (2, 'a1', 40, 280, 100, 200), (3, 'b1', 320, 590, 90, 180), (4, 'a2', 40, 290, 210, 700), (5, 'b2', 320, 580, 200, 700), (6, 'wide', 20, 600, 400, 500)) t(i, w, x0, x1, y0, y1)),
+  o AS (SELECT * FROM (VALUES ('title', 1), ('a1', 2), ('a2', 3), ('b1', 4), ('b2', 5), ('wide', 6)) t(w, place))
+  SELECT s_suppkey AS doc_id, s_name || w AS text, place, CASE w WHEN 'a1' THEN 'top' WHEN 'a2' THEN 'top' WHEN 'b2' THEN 'side' WHEN 'wide' THEN 'side' END AS above FROM supplier, v JOIN o USING (w)""")
+def page_reading(spark, sf_dir):
+    """Blocks of two columns below a title in reading order, and group headers over the cells that they span."""
+    at = (("title", 20, 590, 10, 30, 1, "x"), ("a1", 40, 280, 100, 200, 2, "top"), ("a2", 40, 290, 210, 700, 0, ""), ("b1", 320, 590, 90, 180, 1, "alone"), ("b2", 320, 580, 200, 700, 2, "side"), ("wide", 20, 600, 400, 500, 0, ""))
+    items = F.array(*[F.struct(F.concat("s_name", F.lit(w)).alias("text"), *[F.lit(float(v)).alias(k) for k, v in zip(("x0", "x1", "y0", "y1"), box, strict=True)], F.lit(span).alias("span"), F.lit(name).alias("name")) for w, *box, span, name in at])
+    rows = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("doc_id"), F.lit(0).alias("page"), F.lit(612.0).alias("width"), "s_name", F.inline(items))
+    placed = layout.reading_order(rows)
+    return layout.carried_headers(placed, ["doc_id"], "place", "name", "span").select("doc_id", "text", "place", F.col("group").alias("above"))
+
+
+@query("""WITH s AS (SELECT p_partkey, p_name, CASE WHEN p_partkey % 2 = 0 THEN 9 ELSE 3 END AS s2 FROM part), v AS (SELECT p_partkey, x.* FROM s, LATERAL (SELECT * FROM (VALUES
+    ('body', p_name || ' is defined here', 8, 0), ('mention', 'Second of ' || p_name, s2, 0), ('body', 'third', 2, 0), ('mention', 'fourth one', 1, 0), ('mention', 'fifth', 1, 0), ('self-context', 'we use it', 0, 1), ('self-context', 'ours is new', 0, 2)) t(source, quote, s, b)) x)
+  SELECT p_partkey, CASE WHEN b > 0 THEN 4 + b ELSE row_number() OVER (PARTITION BY p_partkey, b > 0 ORDER BY s DESC, length(quote) DESC) END AS place, source, quote, s FROM v WHERE quote <> 'fifth'""")
+def passages_of_columns(spark, sf_dir):
+    """The four best passages of a column, repeated ones once, and two on the paper's own work."""
+    n, name = F.col("p_partkey"), F.col("p_name")
+    second = F.when(n % 2 == 0, 9).otherwise(3)
+    every = (
+        (1, "body", F.concat(name, F.lit("  is defined\nhere")), F.lit(8)), (2, "mention", F.concat(F.lit("Second of "), name), second), (3, "mention", F.concat(F.lit("SECOND -- of "), name, F.lit("!")), second - 1), (4, "body", F.lit("third"), F.lit(2)),
+        (5, "mention", F.lit("fourth one"), F.lit(1)), (6, "mention", F.lit("fifth"), F.lit(1)), (7, "self-context", F.lit("we use it"), F.lit(0)), (8, "self-context", F.lit("ours is new"), F.lit(0)), (9, "self-context", F.lit("and more"), F.lit(0)),
+    )
+    items = F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(src).alias("source"), q.alias("quote"), s.alias("s")) for i, src, q, s in every])
+    rows = table(spark, sf_dir, "part").select(n, name, F.inline(items))
+    return dimensions.top_passages(rows, ["p_partkey"])
