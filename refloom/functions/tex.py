@@ -83,13 +83,16 @@ def strip_tex(c: Column) -> Column:
 
 def strip_cell(c: Column) -> Column:
     """Text of a table cell, header or caption; escaped signs are kept, so that 84.21\\% is a number."""
-    c = F.regexp_replace(strip_comments(F.coalesce(c, F.lit(""))), CITE, " ")
+    raw = c = F.coalesce(c, F.lit(""))
+    c = F.regexp_replace(strip_comments(c), CITE, " ")
     c = F.regexp_replace(c, r"\\(?:" + "|".join(DROPPED) + r")\s*(?:\[[^\]]*\])?\s*\{[^}]*\}", " ")
     for _ in range(6):  # innermost first
         c = F.regexp_replace(c, r"\\(?:" + "|".join(UNWRAPPED) + r")\s*(?:\{[^{}]*\})?\s*\{([^{}]*)\}", "$1")
     c = F.regexp_replace(F.regexp_replace(c, r"\\(?:" + "|".join(SWITCHES) + r")\b", " "), r"\\([%&_#\$])", "$1")
     c = F.regexp_replace(F.regexp_replace(c, r"\\[a-zA-Z@]+\s*(?:\[[^\]]*\])?", " "), r"[{}$]", "")
-    return strip_chars(squeeze(F.replace(c, F.lit("~"), F.lit(" "))), " .,;:")
+    # most cells hold no TeX, and none of the above changes them
+    plain = F.when(raw.rlike(r"[\\{}$%~]"), F.replace(c, F.lit("~"), F.lit(" "))).otherwise(raw)
+    return strip_chars(squeeze(plain), " .,;:")
 
 
 def heading_text(c: Column) -> Column:

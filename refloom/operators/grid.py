@@ -35,7 +35,12 @@ def grade_from_meaning(meaning: Column) -> Column:
 
 
 def _words(low: Column, partial: tuple, yes: tuple, no: tuple) -> Column:
-    return F.when(low.isin(*DASHES), "no").when(low.isin(*EMPTY_WORDS), "empty").when(low.isin(*partial), "partial").when(low.isin(*yes), "yes").when(low.isin(*no), "no")
+    """The mark of a cell's whole text by one lookup; null if it is no word of any."""
+    marks: dict[str, str] = {}
+    for mark, some in (("no", DASHES), ("empty", EMPTY_WORDS), ("partial", partial), ("yes", yes), ("no", no), ("empty", ("",))):
+        for word in some:
+            marks.setdefault(word, mark)
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in marks.items() for x in pair]), low)
 
 
 def normalize_mark(raw: Column, legend: Column | None = None) -> Column:
@@ -46,7 +51,6 @@ def normalize_mark(raw: Column, legend: Column | None = None) -> Column:
         F.when(cell.rlike(PARTIAL_SIGN), "partial")
         .when(yes & ~no, "yes")
         .when(no & ~yes, "no")
-        .when(low == "", "empty")
         .otherwise(F.coalesce(_words(low, PARTIAL_WORDS, YES_WORDS, NO_WORDS), F.lit("value")))
     )
     if legend is not None:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -26,17 +27,31 @@ OURS = re.compile(r"\b(ours?|our method|this (?:work|paper)|proposed)\b")
 MACRO_CHARS = 40
 
 
+_STEPS = (
+    (re.compile(r"(?<!\\)%[^\n]*"), ""),
+    (re.compile(CITE), " "),
+    (re.compile(r"\\(?:" + "|".join(DROPPED) + r")\s*(?:\[[^\]]*\])?\s*\{[^}]*\}"), " "),
+    *[(re.compile(r"\\(?:" + "|".join(UNWRAPPED) + r")\s*(?:\{[^{}]*\})?\s*\{([^{}]*)\}"), r"\1")] * 6,
+    (re.compile(r"\\(?:" + "|".join(SWITCHES) + r")\b"), " "),
+    (re.compile(r"\\([%&_#\$])"), r"\1"),
+    (re.compile(r"\\[a-zA-Z@]+\s*(?:\[[^\]]*\])?"), " "),
+    (re.compile(r"~"), " "),
+    (re.compile(r"[{}$]"), ""),
+)
+_MARKUP = re.compile(r"[\\{}$%~]")
+
+
+@lru_cache(maxsize=4096)
 def cell_text(raw: str | None) -> str:
     """The text of a cell, as functions.tex.strip_cell() has it."""
-    s = re.sub(CITE, " ", re.sub(r"(?<!\\)%[^\n]*", "", raw or ""))
-    s = re.sub(r"\\(?:" + "|".join(DROPPED) + r")\s*(?:\[[^\]]*\])?\s*\{[^}]*\}", " ", s)
-    for _ in range(6):
-        s = re.sub(r"\\(?:" + "|".join(UNWRAPPED) + r")\s*(?:\{[^{}]*\})?\s*\{([^{}]*)\}", r"\1", s)
-    s = re.sub(r"\\([%&_#\$])", r"\1", re.sub(r"\\(?:" + "|".join(SWITCHES) + r")\b", " ", s))
-    s = re.sub(r"[{}$]", "", re.sub(r"\\[a-zA-Z@]+\s*(?:\[[^\]]*\])?", " ", s).replace("~", " "))
+    s = raw or ""
+    if _MARKUP.search(s):
+        for pattern, to in _STEPS:
+            s = pattern.sub(to, s)
     return " ".join(s.split()).strip(" .,;:")
 
 
+@lru_cache(maxsize=4096)
 def cell_mark(raw: str | None) -> str:
     """The mark of a cell, as operators.grid.normalize_mark() has it without a legend."""
     cell = re.sub(r"(?<!\\)%[^\n]*", "", raw or "").strip()
